@@ -23,7 +23,7 @@ BINS, ROWS = 128, 4
 #: Equal bins below which a pair is not looked at: at similarity 0.8, 5e-7 of the pairs have fewer (102 on average).
 LEAST_EQUAL = 80
 #: Members of a bucket that one block comparison holds.
-BLOCK = 512
+BLOCK = 256
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -73,6 +73,12 @@ def sketches(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     return arrow_map(rows, step, "id long, n_shingles long, set_id long, signature binary")
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def linked(edges: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The edges (a, b) whose full shingle sets reach the similarity. texts: id, text of all that occur in edges."""
     rows = (
@@ -87,9 +93,7 @@ def linked(edges: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
         for i, (x, s) in enumerate(zip(a, shingle_sets(cols["text_a"], shingle))):
             if centre != b[i]:
                 centre, other = b[i], next(shingle_sets([cols["text_b"][i]], shingle))
-            at = np.minimum(np.searchsorted(other, s), len(other) - 1)
-            both = int((other[at] == s).sum())
-            if 100 * both >= percent * (len(s) + len(other) - both):
+            if similar(s, other, percent):
                 kept[0].append(x)
                 kept[1].append(b[i])
         yield {"a": kept[0], "b": kept[1]}
@@ -110,8 +114,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
         sk.filter("set_id is not null").groupBy("set_id")
         .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     )
-    bands = [F.struct(F.xxhash64(F.lit(i), F.substring("signature", 1 + 2 * ROWS * i, 2 * ROWS)).alias("bucket")) for i in range(BINS // ROWS)]
-    in_bands = reps.select("id", F.explode(F.array(*bands)).alias("x")).select("id", "x.bucket")
+    bands = [F.xxhash64(F.lit(i), F.substring("signature", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BINS // ROWS)]
+    in_bands = reps.select("id", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     centres = in_bands.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).filter("size > 1")
     hits = written(in_bands.join(centres, "bucket"), "buckets")  # members of buckets that hold more than one
 
@@ -125,9 +129,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     links = written(linked(best, texts, shingle, percent), "links")
     links = written(links.union(linked(_apart(stars.join(best, ["a", "b"], "left_anti"), components(links)), texts, shingle, percent)), "links")
     joined = components(links)
-    rest = _residual(hits, reps, joined).join(stars, ["a", "b"], "left_anti")
-    links = links.union(linked(rest, texts, shingle, percent))
-    joined = components(links)
+    joined = components(links.union(_residual(hits, texts, joined, shingle, percent)))
 
     classes = reps.select("set_id", "id").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
     classes = classes.select("set_id", F.coalesce("component", "id").alias("component"))
@@ -144,34 +146,43 @@ def _apart(edges: DataFrame, joined: DataFrame) -> DataFrame:
     return edges.filter("component_a != component_b").select("a", "b")
 
 
-def _residual(hits: DataFrame, reps: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of one bucket, of different components, whose signatures and sizes allow a link."""
+def _residual(hits: DataFrame, texts: DataFrame, joined: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links within a bucket between different components: those outside its main component against all members.
+
+    Both sides are cut into blocks and each pair of blocks is one group, which looks at a pair only in the first band
+    that it shares, compares signatures first and the full sets then, and returns links alone."""
     member = hits.join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-    member = written(member.select("bucket", "id", "size", F.coalesce("component", "id").alias("component")), "members")
+    member = written(member.select("bucket", "band", "id", "size", F.coalesce("component", "id").alias("component")), "members")
     main = (
         member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        .groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("x"), F.sum(F.when(F.lit(True), F.col("n"))).alias("all"))
+        .groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("x"), F.sum("n").alias("all"))
         .filter("x.n < all").select("bucket", F.col("x.component").alias("main"), (F.col("all") - F.col("x.n")).alias("outside"))
     )
-    rows = member.join(main, "bucket").join(reps.select("id", "n_shingles", "signature"), "id")
+    rows = member.join(main, "bucket")
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), parts(n)).cast("int")
-    both = ("bucket", "id", "component", "n_shingles", "signature")
+    both = ("bucket", "band", "id", "component")
     asks = rows.filter("component != main").select(*both, F.lit(True).alias("asks"), own("outside").alias("p"), spread("size").alias("q"))
     answers = rows.select(*both, F.lit(False).alias("asks"), spread("outside").alias("p"), own("size").alias("q"))
 
     def compare(table: pa.Table) -> pa.Table:
-        asks = np.array(table["asks"].to_pylist(), bool)
-        ids, comp, n = (table[c].to_numpy() for c in ("id", "component", "n_shingles"))
-        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(ids), BINS)
+        asks, band = np.array(table["asks"].to_pylist(), bool), table["band"][0].as_py()
+        ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
+        sets = list(shingle_sets(table["text"].to_pylist(), shingle))
+        n, sig = np.array([len(s) for s in sets]), np.stack([signature(s) for s in sets])
         them = np.flatnonzero(~asks)
         out_a, out_b = [], []
         for i in np.flatnonzero(asks):
-            near = them[(comp[them] != comp[i]) & ((sig[them] == sig[i]).sum(axis=1) >= LEAST_EQUAL)]
-            near = near[np.minimum(n[near], n[i]) * 100 >= np.maximum(n[near], n[i]) * 80]
-            out_a += np.maximum(ids[near], ids[i]).tolist()
-            out_b += np.minimum(ids[near], ids[i]).tolist()
+            fits = (comp[them] != comp[i]) & (np.minimum(n[them], n[i]) * 100 >= np.maximum(n[them], n[i]) * percent)
+            near = them[fits]
+            equal = sig[near] == sig[i]
+            first = equal.reshape(len(near), BINS // ROWS, ROWS).all(axis=2).argmax(axis=1) == band
+            for j in near[first & (equal.sum(axis=1) >= LEAST_EQUAL)]:
+                if similar(sets[i], sets[j], percent):
+                    out_a.append(int(ids[i]))
+                    out_b.append(int(ids[j]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return asks.unionByName(answers).groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+    pairs = asks.unionByName(answers).join(texts, "id")
+    return pairs.groupBy("bucket", "band", "p", "q").applyInArrow(compare, "a long, b long")
