@@ -1,4 +1,294 @@
-"""Registered queries and their SQL."""
+"""Registered queries over scenes that are derived from the given tables, and the SQL of each.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+The canonical scene has one rectangle for each supplier on a 400 x 400 canvas; the multi-image scene gives each nation
+a canvas of its own, so both the rows and the canvases follow the input."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from rasterloom.functions import colour, reports
+from rasterloom.functions.predicates import frame_layer, is_red, is_red_tolerant, not_white, on_tile_frame
+from rasterloom.operators import components, fill, runs, scan, stats, tiles
+from rasterloom.sources import scenes
+
+SIZE = 400
+#: Part of an order's lines, as a 200 x 200 canvas of scattered pixels, where 4- and 8-connectivity differ.
+DOTS = 200
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rects(spark: SparkSession, sf_dir: str, by_nation: bool = False) -> DataFrame:
+    k = F.col("s_suppkey")
+    image = F.col("s_nationkey").cast("long") if by_nation else F.lit(0).cast("long")
+    rects = _table(spark, sf_dir, "supplier").select(image.alias("image_id"), (k * 104729 % SIZE).alias("r0"), (k * 7919 % SIZE).alias("c0"), (5 + k * 17 % 20).alias("h"), (5 + k * 31 % 20).alias("w"))
+    return scenes.clip(rects, SIZE, SIZE)
+
+
+def _dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select(F.pmod(F.col("o_custkey"), F.lit(7)).alias("image_id"), (k * 7919 % DOTS).alias("r"), (k * 104729 % 49999 % DOTS).alias("c")).distinct()
+
+
+def _runs(spark, sf_dir, by_nation=False):
+    return scenes.runs_of_rects(_rects(spark, sf_dir, by_nation), SIZE)
+
+
+def _labelled(spark, sf_dir, connectivity=4):
+    made = _runs(spark, sf_dir)
+    return made, components.label_runs(made, connectivity)
+
+
+def _blobs(spark, sf_dir, connectivity=4):
+    return components.blob_table(*_labelled(spark, sf_dir, connectivity))
+
+
+def _pixels(spark, sf_dir):
+    return components.labelled_pixels(*_labelled(spark, sf_dir))
+
+
+def scene_pixels(spark, sf_dir):
+    return scenes.pixels_of_rects(_rects(spark, sf_dir))
+
+
+def scene_runs(spark, sf_dir):
+    return _runs(spark, sf_dir)
+
+
+def pixel_runs(spark, sf_dir):
+    return runs.runs_of_pixels(_dots(spark, sf_dir), DOTS)
+
+
+def blob_table_4(spark, sf_dir):
+    return _blobs(spark, sf_dir)
+
+
+def blob_table_8(spark, sf_dir):
+    return _blobs(spark, sf_dir, 8)
+
+
+def dots_blobs_4(spark, sf_dir):
+    return components.blobs(_dots(spark, sf_dir), DOTS, 4)
+
+
+def dots_blobs_8(spark, sf_dir):
+    return components.blobs(_dots(spark, sf_dir), DOTS, 8)
+
+
+def blob_count(spark, sf_dir):
+    return _blobs(spark, sf_dir).groupBy("image_id").agg(F.countDistinct("blob_id").alias("blobs"), F.sum("area").alias("area"), F.max("area").alias("largest"))
+
+
+def multi_image_blob_counts(spark, sf_dir):
+    made = _runs(spark, sf_dir, by_nation=True)
+    table = components.blob_table(made, components.label_runs(made))
+    return table.groupBy("image_id").agg(F.count("*").alias("blobs"), F.sum("area").alias("area"))
+
+
+def object_points(spark, sf_dir):
+    out = components.objects(*_labelled(spark, sf_dir))
+    return out.select("object_id", "blob_id", F.size("points").cast("long").alias("points"), F.element_at("points", 1)["c"].alias("first_c"), F.element_at("points", -1)["r"].alias("last_r"))
+
+
+def _recolour(scheme: str):
+    def query(spark, sf_dir):
+        table = components.ordinals(_blobs(spark, sf_dir))
+        by = {"label": F.col("blob_id"), "ordinal": F.col("object_id") - 1, "patch": F.col("object_id"), "dense": F.col("object_id")}[scheme]
+        return table.withColumn("k", colour.SCHEMES[scheme](by)).select("blob_id", "k.red", "k.green", "k.blue")
+
+    return query
+
+
+def seed_first_red(spark, sf_dir):
+    return fill.first_foreground(scenes.pixels_of_rects(_rects(spark, sf_dir, by_nation=True)))
+
+
+def _filled(spark, sf_dir):
+    seeds = fill.first_foreground(scenes.pixels_of_rects(_rects(spark, sf_dir, True)))
+    made = _runs(spark, sf_dir, True)
+    labels = components.label_runs(made, 8)
+    # the first pixel of an image belongs to its smallest blob_id
+    first = labels.groupBy("image_id").agg(F.min("blob_id").alias("blob_id"))
+    blob = components.labelled_pixels(made, labels).join(first, ["image_id", "blob_id"], "left_semi").select("image_id", "r", "c")
+    return blob, seeds
+
+
+def seeded_fill(spark, sf_dir):
+    return _filled(spark, sf_dir)[0]
+
+
+def bfs_levels(spark, sf_dir):
+    return fill.levels(*_filled(spark, sf_dir))
+
+
+def frontier_sizes(spark, sf_dir):
+    return fill.frontier_sizes(bfs_levels(spark, sf_dir))
+
+
+def fill_iterations(spark, sf_dir):
+    per = bfs_levels(spark, sf_dir).groupBy("image_id").agg(F.max("level").alias("deepest"), F.count("*").alias("pixels"))
+    return per.select("image_id", "pixels", (F.col("deepest") + 1).alias("levels"), fill.checked_iterations(F.col("deepest"), 10).alias("iterations"))
+
+
+def chunk_distribution(spark, sf_dir):
+    return fill.chunk_plan(frontier_sizes(spark, sf_dir), blocks=4, chunk=3, warps=2)
+
+
+def visited_ring(spark, sf_dir):
+    return fill.visited_ring(_filled(spark, sf_dir)[0], SIZE, SIZE)
+
+
+def edge_pixels(spark, sf_dir):
+    return fill.edge_pixels(scenes.pixels_of_rects(_rects(spark, sf_dir)))
+
+
+def tile_tier(spark, sf_dir):
+    return tiles.tile_tiers(_pixels(spark, sf_dir))
+
+
+def visited_state(spark, sf_dir):
+    return tiles.states(tiles.tile_tiers(_pixels(spark, sf_dir))).groupBy("state").agg(F.count("*").alias("blobs"), F.sum("area").alias("pixels"))
+
+
+def boundary_pixels(spark, sf_dir):
+    return tiles.boundary_pixels(_pixels(spark, sf_dir)).select("blob_id", "r", "c", "tile_size")
+
+
+def frame_pixel_count(spark, sf_dir):
+    p = scenes.pixels_of_rects(_rects(spark, sf_dir))
+    return p.groupBy("image_id").agg(F.count_if(on_tile_frame(100)).alias("on_100"), F.count_if(on_tile_frame(400)).alias("on_400"), F.count("*").alias("pixels"))
+
+
+def tile_local_components(spark, sf_dir):
+    made, labels = tiles.tile_components(scenes.pixels_of_rects(_rects(spark, sf_dir)), SIZE, 100)
+    return components.blob_table(made, labels).select("blob_id", "area")
+
+
+def frame_layers(spark, sf_dir):
+    p = scenes.pixels_of_rects(_rects(spark, sf_dir)).withColumn("layer", frame_layer(100))
+    return p.groupBy("layer").agg(F.count("*").alias("pixels"))
+
+
+def scan_ticks(spark, sf_dir):
+    return scan.scan_clock(_dots(spark, sf_dir), DOTS, 10, "row")
+
+
+def scan_first_found(spark, sf_dir):
+    return scan.first_found(scan.scan_clock(_dots(spark, sf_dir), DOTS, 10, "diagonal"))
+
+
+def scan_last_found(spark, sf_dir):
+    return scan.last_found(scan.scan_clock(_dots(spark, sf_dir), DOTS, 10, "row"))
+
+
+def scan_colours(spark, sf_dir):
+    p = scan.scan_clock(_dots(spark, sf_dir), DOTS, 10, "row").withColumn("k", colour.brightened(colour.golden_hue(F.col("worker")), F.col("tick")))
+    return p.groupBy("image_id").agg(F.sum("k.red").alias("red"), F.sum("k.green").alias("green"), F.sum("k.blue").alias("blue"))
+
+
+def _channels(spark, sf_dir):
+    k = F.col("p_partkey")
+    return _table(spark, sf_dir, "part").select(k, (k * 53 % 256).cast("int").alias("red"), (k * 17 % 64).cast("int").alias("green"), (k * 29 % 64).cast("int").alias("blue"))
+
+
+def tolerant_vs_exact(spark, sf_dir):
+    p = _channels(spark, sf_dir)
+    k = F.col("p_partkey")
+    exact = p.withColumns({"red": F.when(k % 5 == 0, 255).otherwise(F.col("red")), "green": F.when(k % 5 == 0, 0).otherwise(F.when(k % 7 == 0, 255).otherwise(F.col("green"))), "blue": F.when(k % 5 == 0, 0).otherwise(F.when(k % 7 == 0, 255).otherwise(F.col("blue")))})
+    exact = exact.withColumn("red", F.when(k % 7 == 0, 255).otherwise(F.col("red")))
+    return exact.agg(F.count_if(is_red()).alias("exact_red"), F.count_if(is_red_tolerant()).alias("red_tolerant"), F.count_if(not_white()).alias("not_white"))
+
+
+def pack_unpack_rgb(spark, sf_dir):
+    p = _channels(spark, sf_dir).withColumn("packed", colour.pack(F.col("red"), F.col("green"), F.col("blue"))).withColumn("k", colour.unpack(F.col("packed")))
+    return p.select("p_partkey", "packed", "k.red", "k.green", "k.blue")
+
+
+def worker_blue(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").groupBy(colour.worker_blue(F.col("o_custkey")).alias("blue")).agg(F.count("*").alias("n"))
+
+
+def size_and_duration_text(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(k, reports.bytes_text(k * k * 37).alias("size_text"), reports.duration_text(k % 2000 / F.lit(1024.0)).alias("duration_text"))
+
+
+def occupancy(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    threads, blocks = F.col("p_size") * 32, 1 + F.col("p_partkey") % 12
+    share = reports.occupancy(threads, blocks)
+    return p.select("p_partkey", share.alias("share"), reports.occupancy_class(share).alias("class"))
+
+
+def blocks_per_processor(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select((F.col("p_size") * 32).alias("threads"), (F.col("p_partkey") % 5 * 16).alias("shared_kb")).distinct()
+    return p.withColumn("blocks", reports.blocks_per_processor(F.col("threads"), F.col("shared_kb")).cast("long"))
+
+
+def queue_work(spark, sf_dir):
+    sizes = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("queued"))
+    work = reports.work_per_warp(F.col("queued"), F.lit(32)).cast("long")
+    return sizes.select("l_suppkey", "queued", reports.queue_bytes(F.col("queued")).alias("bytes"), work.alias("work"), reports.percent(F.col("queued"), work * 32).alias("efficiency"))
+
+
+def sweep_grid(spark, sf_dir):
+    """The grid of sweep parameters over which the mean value of each event type is laid out."""
+    grid = stats.sweep_grid(spark)
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("events")).crossJoin(F.broadcast(grid))
+
+
+def bench_group_stats(spark, sf_dir):
+    out = stats.run_statistics(_table(spark, sf_dir, "events"), "value", "event_type")
+    return out.select("event_type", "runs", F.round("mean", 6).alias("mean"), "least", "most", F.round("deviation", 6).alias("deviation"))
+
+
+def bench_topk(spark, sf_dir):
+    return stats.top(_table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "value", 5, ["event_id"])
+
+
+def bench_argmax(spark, sf_dir):
+    one = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
+    return _table(spark, sf_dir, "events").withColumn("n", F.row_number().over(one)).filter("n = 1").select("event_type", "event_id", "value")
+
+
+def bench_grouping_sets(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").withColumn("slot", F.col("user_id") % 4)
+    e.createOrReplaceTempView("raster_events")
+    return spark.sql("SELECT event_type, slot, count(*) AS runs, max(value) AS most, round(avg(value), 6) AS mean FROM raster_events GROUP BY GROUPING SETS ((event_type), (slot), ())")
+
+
+def first_and_last(spark, sf_dir):
+    out = stats.first_and_last(_table(spark, sf_dir, "events"), "value", "event_id")
+    return out.select(F.round("mean", 6).alias("mean"), "most", "first", "last")
+
+
+def used_workers(spark, sf_dir):
+    per = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("n"))
+    return stats.used_workers(per, "n", 100)
+
+
+def tanh_sum(spark, sf_dir):
+    """Each value plus the sum of the hyperbolic tangents of a diagonal: here of one event in every hundredth place."""
+    e = _table(spark, sf_dir, "events")
+    total = e.filter("event_id % 100 = 0").agg(F.sum(F.tanh(F.col("value") / 100)).alias("total"))
+    return e.crossJoin(F.broadcast(total)).groupBy("event_type").agg(F.round(F.sum(F.col("value") + F.col("total")), 4).alias("value"))
+
+
+def vector_add(spark, sf_dir):
+    o = _table(spark, sf_dir, "lineitem")
+    return o.select("l_orderkey", "l_linenumber", (F.col("l_quantity") + F.col("l_extendedprice")).alias("total"))
+
+
+_OWN = (
+    scene_pixels, scene_runs, pixel_runs, blob_table_4, blob_table_8, dots_blobs_4, dots_blobs_8, blob_count, multi_image_blob_counts, object_points, seed_first_red, seeded_fill,
+    bfs_levels, frontier_sizes, fill_iterations, chunk_distribution, visited_ring, edge_pixels, tile_tier, visited_state, boundary_pixels, frame_pixel_count, tile_local_components,
+    frame_layers, scan_ticks, scan_first_found, scan_last_found, scan_colours, tolerant_vs_exact, pack_unpack_rgb, worker_blue, size_and_duration_text, occupancy, blocks_per_processor,
+    queue_work, sweep_grid, bench_group_stats, bench_topk, bench_argmax, bench_grouping_sets, first_and_last, used_workers, tanh_sum, vector_add,
+)
+QUERIES = {f.__name__: f for f in _OWN} | {f"blob_recolour_{k}": _recolour(k) for k in colour.SCHEMES}
+
+from rasterloom.plans.sql import ORACLE_SQL  # noqa: E402, F401
