@@ -36,7 +36,9 @@ def _documents(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 
 def repeated_windows(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents dealt out by id, windows that also start in a document with a smaller id: id, starts)."""
+    """(documents dealt out by id, windows that also start in a document with a smaller id: id, repeated hashes).
+
+    A document tells of equal windows once, so no window has more rows than there are documents."""
     docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def anchors(cols: dict) -> Iterator[dict]:
@@ -49,23 +51,23 @@ def repeated_windows(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key:
     by_id = docs.repartition("id")
 
     def windows(cols: dict) -> Iterator[dict]:
-        out: dict[str, list] = {k: [] for k in ("id", "start", "low", "high")}
+        out: dict[str, list] = {k: [] for k in ("id", "low", "high")}
         for i, w, a in zip(cols["id"], _documents(cols["text"]), cols["anchors"]):
             if not a:
                 continue
             own = np.sort(np.array(a, np.int64).view(np.uint64))
             seed = seeds(w, length, anchor)
             start = np.flatnonzero(own[np.minimum(np.searchsorted(own, seed), len(own) - 1)] == seed)
-            out["id"].append(np.full(len(start), i, np.int64))
-            out["start"].append(start.astype(np.int32))
-            out["low"].append(run_hashes(w, length, salt=2)[start].view(np.int64))
-            out["high"].append((run_hashes(w, length, salt=3)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            low, once = np.unique(run_hashes(w, length, salt=2)[start], return_index=True)
+            out["id"].append(np.full(len(low), i, np.int64))
+            out["low"].append(low.view(np.int64))
+            out["high"].append((run_hashes(w, length, salt=3)[start[once]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
         if out["id"]:
             yield {k: np.concatenate(v) for k, v in out.items()}
 
-    seen = arrow_map(by_id.join(shared, "id", "left").select("id", "text", "anchors"), windows, "id long, start int, low long, high int")
+    seen = arrow_map(by_id.join(shared, "id", "left").select("id", "text", "anchors"), windows, "id long, low long, high int")
     first = F.min("id").over(Window.partitionBy("low", "high"))
-    later = seen.withColumn("first", first).filter("id > first").groupBy("id").agg(F.collect_list("start").alias("starts"))
+    later = seen.withColumn("first", first).filter("id > first").groupBy("id").agg(F.collect_list("low").alias("repeated"))
     return by_id, later
 
 
@@ -81,20 +83,21 @@ def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: s
 
     def cut(cols: dict) -> Iterator[dict]:
         out: dict[str, list] = {k: [] for k in ("id", "n_words", "n_removed", "text", "span_starts", "span_ends")}
-        for i, t, starts in zip(cols["id"], cols["text"], cols["starts"]):
+        for i, t, hashes, repeated in zip(cols["id"], cols["text"], _documents(cols["text"]), cols["repeated"]):
             words = t.encode("utf-8", "surrogatepass").split()
             step = np.zeros(len(words) + 1, np.int32)
-            if starts:
-                at = np.unique(np.array(starts, np.int64))
+            if repeated:
+                own, low = np.sort(np.array(repeated, np.int64).view(np.uint64)), run_hashes(hashes, length, salt=2)
+                at = np.flatnonzero(own[np.minimum(np.searchsorted(own, low), len(own) - 1)] == low)
                 step[at] += 1
                 step[at + length] -= 1
             gone = np.cumsum(step[:-1]) > 0
             edge = np.diff(gone, prepend=False, append=False).nonzero()[0]
-            kept = b" ".join(np.array(words, object)[~gone]) if starts else b" ".join(words)
+            kept = b" ".join(np.array(words, object)[~gone]) if repeated else b" ".join(words)
             for k, v in zip(out, (i, len(words), int(gone.sum()), kept.decode("utf-8", "replace"), edge[::2].tolist(), edge[1::2].tolist())):
                 out[k].append(v)
         yield out
 
-    rows = by_id.join(later, "id", "left").select("id", "text", "starts")
+    rows = by_id.join(later, "id", "left").select("id", "text", "repeated")
     schema = "id long, n_words long, n_removed long, text string, span_starts array<int>, span_ends array<int>"
     return arrow_map(rows, cut, schema).withColumnRenamed("id", key)
