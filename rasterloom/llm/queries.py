@@ -90,6 +90,26 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
+# Pairs come from the rarest fifth of each distinct set: sets of similarity 0.8 or more share a shingle of it.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END)) AS g FROM d),
+c AS MATERIALIZED (SELECT min(doc_id) AS rep, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+t AS MATERIALIZED (SELECT rep, n, unnest(g) AS x FROM c),
+f AS (SELECT x, count(*) AS df FROM t GROUP BY x),
+r AS (SELECT rep, n, x, row_number() OVER (PARTITION BY rep ORDER BY df, x) AS i FROM t JOIN f USING (x)),
+p AS (SELECT rep, n, x FROM r WHERE i <= n - (8 * n + 9) // 10 + 1),
+q AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM p a JOIN p b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+k AS (SELECT q.a, q.b, a.n + b.n AS total, len(list_intersect(a.g, b.g)) AS common FROM q JOIN c a ON a.rep = q.a JOIN c b ON b.rep = q.b),
+e AS MATERIALIZED (SELECT a, b FROM k WHERE 100 * common >= 80 * (total - common)),
+e2 AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT rep AS a, rep AS b FROM c UNION SELECT reach.a, e2.b FROM reach JOIN e2 ON reach.b = e2.a),
+m AS (SELECT c.g, min(reach.b) AS component FROM reach JOIN c ON c.rep = reach.a GROUP BY c.g)
+SELECT doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM s LEFT JOIN m ON s.g = m.g
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op10_minhash": OP10_SQL}
