@@ -16,6 +16,8 @@ from rasterloom.llm.common import arrow_map
 
 #: Entries kept of the table piece -> ids before it starts anew; bounds a worker's memory.
 CACHE_ENTRIES = 150_000
+#: Characters of the longest piece that the table keeps.
+CACHE_CHARS = 64
 #: Texts within this set can use the standard library's regular expressions: letters, numbers and white space of the
 #: first Unicode blocks are named outright below.
 _PLAIN = re.compile("[\x00-ɏ‐-‧€]*")
@@ -55,13 +57,15 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 class _Pieces(dict):
-    """Piece -> its ids, made when first asked for."""
+    """Piece -> its ids, made when first asked for; long pieces are made each time, so the table's bytes are bounded."""
 
     def __init__(self, make):
         self.make = make
 
     def __missing__(self, piece: str):
-        made = self[piece] = self.make(piece)
+        made = self.make(piece)
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = made
         return made
 
 
