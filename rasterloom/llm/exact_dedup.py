@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rasterloom.llm.common import written
+
 #: Equal texts are dealt to this many splitter ranges at most, so that a hot group is not one task's work.
 SALTS = 64
 #: Code points of the normalised text that the sampled splitters hold; ties go on to the digest.
@@ -47,7 +49,7 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     Texts are equal when they are the same after all white space is deleted; of equal ones the row with the most
     code points stays, then the smallest key. Null texts equal empty ones. Rows repeated with the same key and text
     count in group_size and get the same result. A null key sorts first. Extra columns are ignored."""
-    groups = exact_groups(df, key, text)
+    groups = written(exact_groups(df, key, text), "groups")  # a table, not an aggregate: so the join may split a hot group's rows
     rows = df.select(F.col(key).alias("__key"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256"))
     return rows.join(groups, "text_sha256").select(
         F.col("__key").alias(key), "keep_id", "group_size", F.col("__key").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
