@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rasterloom.llm.byte_bpe import is_plain, read_ranks
-from rasterloom.llm.common import arrow_map, shared_dir
+from rasterloom.llm.common import arrow_map, shared_dir, written
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: The rank file that holds the same vocabulary as a .json file.
@@ -96,4 +96,5 @@ def count_tokens(df: DataFrame, cache: str, path: str, key: str = "doc_id", text
     made.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
     now = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer_digest") == version)
     now = now.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))  # two writers may both have appended
+    now = written(now.join(rows.select("content_digest").distinct(), "content_digest", "left_semi"), "counts")
     return rows.join(now, "content_digest", "left").select(F.col("key").alias(key), "n_bytes", "n_tokens")
