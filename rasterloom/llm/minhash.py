@@ -132,7 +132,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     joined = components(links.union(_residual(hits, texts, joined, shingle, percent)))
 
     classes = reps.select("set_id", "id").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-    classes = classes.select("set_id", F.coalesce("component", "id").alias("component"))
+    classes = written(classes.select("set_id", F.coalesce("component", "id").alias("component")), "classes")  # a table: so the join may split a hot set's rows
     return sk.join(classes, "set_id", "left").select(
         F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept")
     )
