@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UNITS = ("B", "KB", "MB", "GB", "TB")
 
@@ -15,6 +15,20 @@ def bytes_text(n: Column, units: tuple[str, ...] = UNITS[:4]) -> Column:
     return out
 
 
+def memory_text(n: Column, units: tuple[str, ...] = UNITS) -> Column:
+    """Three digits or so: no decimals from 100 on, one from 10 on, else two; from 1000 on in the next unit. Ties go to
+    the even digit."""
+
+    def text(size: Column, unit: str) -> Column:
+        places = lambda k: F.format_string(f"%.{k}f {unit}", F.bround(size, k))
+        return F.when(size >= 100, places(0)).when(size >= 10, places(1)).otherwise(places(2))
+
+    out = text(n.cast("double"), units[0])
+    for i, unit in enumerate(units[1:], 1):
+        out = F.when(n >= 1000 * 1024 ** (i - 1), text(n / 1024**i, unit)).otherwise(out)
+    return out
+
+
 def duration_text(seconds: Column) -> Column:
     return (
         F.when(seconds < 0.001, F.format_string("%.3f ms", seconds * 1000))
@@ -48,5 +62,13 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, 100.0 * part / whole).otherwise(F.lit(0.0))
 
 
+def engine_info(spark: SparkSession) -> DataFrame:
+    """(name, value) of the session: version, master, parallelism and the settings that shape a plan."""
+    sc = spark.sparkContext
+    named = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")
+    rows = [("version", spark.version), ("master", sc.master), ("parallelism", str(sc.defaultParallelism)), *((k, spark.conf.get(k)) for k in named)]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
 def rate(amount: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, amount / seconds).otherwise(F.lit(0.0))

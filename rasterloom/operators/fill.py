@@ -101,6 +101,13 @@ def edge_pixels(pixels: DataFrame) -> DataFrame:
     return votes.groupBy("image_id", "r", "c").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("own = 1 and n < 9").select("image_id", "r", "c")
 
 
+def slice_plan(sizes: DataFrame, workers: int) -> DataFrame:
+    """A level's queue in equal slices: items of a slice, workers that get one, and items of the last slice."""
+    items = F.greatest(F.lit(1), F.ceil(F.col("pixels") / workers)).cast("long")
+    out = sizes.withColumn("items", items).withColumn("busy", F.ceil(F.col("pixels") / F.col("items")).cast("long"))
+    return out.withColumn("last_items", F.col("pixels") - (F.col("busy") - 1) * F.col("items"))
+
+
 def chunk_plan(sizes: DataFrame, blocks: int, chunk: int, warps: int) -> DataFrame:
     """How a level's queue is dealt: chunks in all, to each block, and items per warp of the first and last block."""
     chunks = F.ceil(F.col("pixels") / chunk)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: The sweep's parameters and its limits on threads.
@@ -16,6 +19,16 @@ def sweep_grid(spark: SparkSession, blocks=BLOCKS, threads=THREADS, chunks=CHUNK
     return grid.filter((F.col("threads_per_block") <= MOST_PER_BLOCK) & (F.col("blocks_per_grid") * F.col("threads_per_block") <= MOST_IN_ALL))
 
 
+def timed_runs(spark: SparkSession, make: Callable[[], DataFrame], repeats: int = 5, warm_ups: int = 1) -> DataFrame:
+    """(run, seconds) of computing make() whole, after runs that aren't counted."""
+    took = []
+    for i in range(-warm_ups, repeats):
+        began = time.perf_counter()
+        make().write.format("noop").mode("overwrite").save()
+        took.append((i, time.perf_counter() - began))
+    return spark.createDataFrame(took[warm_ups:], "run int, seconds double")
+
+
 def run_statistics(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Mean, extremes and population deviation of repeated runs."""
     return df.groupBy(*keys).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.stddev_pop(value).alias("deviation"))

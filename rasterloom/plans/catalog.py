@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from rasterloom.functions import colour, reports
 from rasterloom.functions.predicates import frame_layer, is_red, is_red_tolerant, not_white, on_tile_frame
 from rasterloom.operators import components, fill, runs, scan, stats, tiles
+from rasterloom.sinks import png
 from rasterloom.sources import scenes
 
 SIZE = 400
@@ -137,6 +138,10 @@ def chunk_distribution(spark, sf_dir):
     return fill.chunk_plan(frontier_sizes(spark, sf_dir), blocks=4, chunk=3, warps=2)
 
 
+def slice_distribution(spark, sf_dir):
+    return fill.slice_plan(frontier_sizes(spark, sf_dir), workers=8)
+
+
 def visited_ring(spark, sf_dir):
     return fill.visited_ring(_filled(spark, sf_dir)[0], SIZE, SIZE)
 
@@ -157,6 +162,22 @@ def boundary_pixels(spark, sf_dir):
     return tiles.boundary_pixels(_pixels(spark, sf_dir)).select("blob_id", "r", "c", "tile_size")
 
 
+def boundary_overlay(spark, sf_dir):
+    return png.boundary_overlay(tiles.boundary_pixels(_pixels(spark, sf_dir)))
+
+
+def state_overlay(spark, sf_dir):
+    """The pixels of each blob in the colour of its state."""
+    cells = _pixels(spark, sf_dir)
+    state = tiles.states(tiles.tile_tiers(cells)).select("image_id", "blob_id", "state")
+    return png.painted(cells.join(state, ["image_id", "blob_id"]), png.state_colour())
+
+
+def grid_overlay(spark, sf_dir):
+    cells = _pixels(spark, sf_dir).withColumn("k", colour.by_label(F.col("blob_id")))
+    return png.grid_lines(cells.select("image_id", "r", "c", "k.*"), 100)
+
+
 def frame_pixel_count(spark, sf_dir):
     p = scenes.pixels_of_rects(_rects(spark, sf_dir))
     return p.groupBy("image_id").agg(F.count_if(on_tile_frame(100)).alias("on_100"), F.count_if(on_tile_frame(400)).alias("on_400"), F.count("*").alias("pixels"))
@@ -217,6 +238,12 @@ def size_and_duration_text(spark, sf_dir):
     return o.select(k, reports.bytes_text(k * k * 37).alias("size_text"), reports.duration_text(k % 2000 / F.lit(1024.0)).alias("duration_text"))
 
 
+def memory_text(spark, sf_dir):
+    k = F.col("o_orderkey")
+    near = k % 20_000  # its cube times 37 stays far within a long
+    return _table(spark, sf_dir, "orders").select(k, reports.memory_text(near * near * near * 37).alias("memory_text"))
+
+
 def occupancy(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
     threads, blocks = F.col("p_size") * 32, 1 + F.col("p_partkey") % 12
@@ -285,8 +312,8 @@ def vector_add(spark, sf_dir):
 
 _OWN = (
     scene_pixels, scene_runs, pixel_runs, blob_table_4, blob_table_8, dots_blobs_4, dots_blobs_8, blob_count, multi_image_blob_counts, object_points, seed_first_red, seeded_fill,
-    bfs_levels, frontier_sizes, fill_iterations, chunk_distribution, visited_ring, edge_pixels, tile_tier, visited_state, boundary_pixels, frame_pixel_count, tile_local_components,
-    frame_layers, scan_ticks, scan_first_found, scan_last_found, scan_colours, tolerant_vs_exact, pack_unpack_rgb, worker_blue, size_and_duration_text, occupancy, blocks_per_processor,
+    bfs_levels, frontier_sizes, fill_iterations, chunk_distribution, slice_distribution, visited_ring, edge_pixels, tile_tier, visited_state, boundary_pixels, boundary_overlay, state_overlay, grid_overlay, frame_pixel_count, tile_local_components,
+    frame_layers, scan_ticks, scan_first_found, scan_last_found, scan_colours, tolerant_vs_exact, pack_unpack_rgb, worker_blue, size_and_duration_text, memory_text, occupancy, blocks_per_processor,
     queue_work, sweep_grid, bench_group_stats, bench_topk, bench_argmax, bench_grouping_sets, first_and_last, used_workers, tanh_sum, vector_add,
 )
 QUERIES = {f.__name__: f for f in _OWN} | {f"blob_recolour_{k}": _recolour(k) for k in colour.SCHEMES}

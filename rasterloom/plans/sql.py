@@ -55,6 +55,13 @@ def _units(n: str) -> str:
     return f"CASE {cases} ELSE printf('%.2f B', ({n})::DOUBLE) END"
 
 
+def _memory(n: str) -> str:
+    unit = lambda i, u: f"CASE WHEN s{i} >= 100 THEN printf('%.0f {u}', s{i}) WHEN s{i} >= 10 THEN printf('%.1f {u}', s{i}) ELSE printf('%.2f {u}', s{i}) END"
+    sizes = ", ".join(f"{n} / {1024**i}::DOUBLE AS s{i}" for i in range(5))
+    cases = " ".join(f"WHEN s{i - 1} >= 1000 THEN {unit(i, u)}" for i, u in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")))
+    return f"SELECT o_orderkey, CASE {cases} ELSE {unit(0, 'B')} END AS memory_text FROM (SELECT o_orderkey, {sizes} FROM orders)"
+
+
 ORACLE_SQL = {
     "scene_pixels": f"WITH {_ONE} SELECT image_id, r, c FROM px",
     "scene_runs": f"{_SCENE} SELECT * FROM runs",
@@ -74,11 +81,15 @@ ORACLE_SQL = {
     "chunk_distribution": f"""{_LEVELS}, z AS ({_SIZES}), q AS (SELECT *, (pixels + 2) // 3 AS chunks FROM z),
 f AS (SELECT *, CASE WHEN chunks >= 4 THEN chunks // 4 + (chunks % 4 > 0)::INT ELSE 1 END AS one FROM q)
 SELECT image_id, level, pixels, chunks, least(chunks, 4) AS busy_blocks, one::BIGINT AS chunks_first_block, (CASE WHEN chunks >= 4 THEN chunks // 4 ELSE 0 END)::BIGINT AS chunks_last_block, greatest(1, (least(one * 3, pixels) + 1) // 2)::BIGINT AS items_per_warp FROM f""",
+    "slice_distribution": f"{_LEVELS}, z AS ({_SIZES}), q AS (SELECT *, greatest(1, (pixels + 7) // 8) AS items FROM z) SELECT *, (pixels + items - 1) // items AS busy, pixels - ((pixels + items - 1) // items - 1) * items AS last_items FROM q",
     "visited_ring": f"{_FILL} SELECT DISTINCT image_id, r + i AS r, c + j AS c FROM body, {_STEP} WHERE r + i BETWEEN 0 AND 399 AND c + j BETWEEN 0 AND 399",
     "edge_pixels": f"WITH {_ONE} SELECT a.image_id, a.r, a.c FROM px a JOIN px b ON a.image_id = b.image_id AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND abs(b.r - a.r) <= 1 GROUP BY ALL HAVING count(*) < 9",
     "tile_tier": f"{_TIERS} SELECT * FROM tiers",
     "visited_state": f"{_TIERS}, s AS (SELECT CASE tile_tier WHEN 100 THEN 1 WHEN 400 THEN 2 ELSE 3 END AS state, area FROM tiers) SELECT state, count(*) AS blobs, sum(area)::BIGINT AS pixels FROM s GROUP BY state",
     "boundary_pixels": f"{_SCENE}, m AS (SELECT blob_id, min(r * 400 + c) AS p FROM cells WHERE {_ON(100)} GROUP BY blob_id) SELECT blob_id, p // 400 AS r, p % 400 AS c, 100 AS tile_size FROM m",
+    "boundary_overlay": f"{_SCENE}, m AS (SELECT image_id, min(r * 400 + c) AS p FROM cells WHERE {_ON(100)} GROUP BY image_id, blob_id) SELECT image_id, p // 400 AS r, p % 400 AS c, 0 AS red, 255 AS green, 0 AS blue FROM m",
+    "state_overlay": f"{_TIERS}, s AS (SELECT image_id, blob_id, CASE tile_tier WHEN 100 THEN 1 WHEN 400 THEN 2 ELSE 3 END AS state FROM tiers) SELECT image_id, r, c, [128, 255, 0][state] AS red, [128, 0, 255][state] AS green, [128, 0, 0][state] AS blue FROM cells JOIN s USING (image_id, blob_id)",
+    "grid_overlay": f"{_SCENE}, p AS (SELECT *, (r % 100 > 0 AND c % 100 > 0)::INT AS shown FROM cells) SELECT image_id, r, c, shown * (blob_id * 123457 % 256)::INT AS red, shown * (blob_id * 98765 % 256)::INT AS green, shown * (blob_id * 54321 % 256)::INT AS blue FROM p",
     "frame_pixel_count": f"WITH {_ONE} SELECT image_id, count(*) FILTER ({_ON(100)}) AS on_100, count(*) FILTER ({_ON(400)}) AS on_400, count(*) AS pixels FROM px GROUP BY image_id",
     "tile_local_components": f"WITH RECURSIVE {_ONE}, inner_px AS (SELECT * FROM px WHERE NOT {_ON(100)}), {_labels(400, 0, 'inner_px', 'a.r // 100 = b.r // 100 AND a.s // 100 = b.s // 100')} SELECT blob_id, area FROM blobs",
     "frame_layers": f"WITH {_ONE} SELECT least(r % 100, c % 100, 99 - r % 100, 99 - c % 100) AS layer, count(*) AS pixels FROM px GROUP BY layer",
@@ -95,6 +106,7 @@ SELECT count(*) FILTER (red = 255 AND green = 0 AND blue = 0) AS exact_red, coun
     "pack_unpack_rgb": f"WITH a AS (SELECT p_partkey, {_RGB} FROM part) SELECT p_partkey, (red * 65536 + green * 256 + blue)::INT AS packed, red::INT AS red, green::INT AS green, blue::INT AS blue FROM a",
     "worker_blue": "SELECT o_custkey * 4 % 255 AS blue, count(*) AS n FROM orders GROUP BY blue",
     "size_and_duration_text": f"SELECT o_orderkey, {_units('o_orderkey * o_orderkey * 37')} AS size_text, CASE WHEN s < 0.001 THEN printf('%.3f ms', round(s * 1000, 3)) WHEN s < 1 THEN printf('%.2f ms', round(s * 1000, 2)) ELSE printf('%.2f s', round(s, 2)) END AS duration_text FROM (SELECT o_orderkey, (o_orderkey % 2000) / 1024.0::DOUBLE AS s FROM orders)",
+    "memory_text": _memory(" * ".join(["(o_orderkey % 20000)"] * 3) + " * 37"),
     "occupancy": "WITH a AS (SELECT p_partkey, p_size * 32 * (1 + p_partkey % 12) / 1536::DOUBLE AS share FROM part) SELECT p_partkey, share, CASE WHEN share >= 0.75 THEN 'high' WHEN share >= 0.5 THEN 'medium' ELSE 'low' END AS class FROM a",
     "blocks_per_processor": "WITH a AS (SELECT DISTINCT p_size * 32 AS threads, p_partkey % 5 * 16 AS shared_kb FROM part) SELECT threads, shared_kb, least(24, 1536 // threads, CASE WHEN shared_kb > 0 THEN 100 // shared_kb ELSE 24 END)::BIGINT AS blocks FROM a",
     "queue_work": "WITH a AS (SELECT l_suppkey, count(*) AS queued FROM lineitem GROUP BY l_suppkey), b AS (SELECT *, greatest(1, (queued + 31) // 32) AS work FROM a) SELECT l_suppkey, queued, queued * 8 AS bytes, work, 100.0::DOUBLE * queued / (work * 32) AS efficiency FROM b",

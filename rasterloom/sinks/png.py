@@ -63,6 +63,17 @@ def state_colour(state: str = "state"):
     return out
 
 
+def boundary_overlay(boundary: DataFrame) -> DataFrame:
+    """Boundary pixels in green, for a white canvas."""
+    return painted(boundary, F.struct(F.lit(0).alias("red"), F.lit(255).alias("green"), F.lit(0).alias("blue")))
+
+
+def mask_files(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """(image_id, png) of masks: listed pixels white on black."""
+    white = F.struct(*[F.lit(255).alias(k) for k in ("red", "green", "blue")])
+    return png_files(painted(pixels, white), height, width, (0, 0, 0))
+
+
 def grid_lines(pixels: DataFrame, every: int = 400) -> DataFrame:
     """Pixels on every n-th row or column turn black."""
     on = (F.col("r") % every == 0) | (F.col("c") % every == 0)

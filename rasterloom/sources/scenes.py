@@ -54,6 +54,11 @@ def random_rectangles(spark: SparkSession, size: int, n: int, low: int, high: in
     return clip(spark.createDataFrame(rects, RECT), size, size)
 
 
+def pick(objects: DataFrame, widest: int, seed: int) -> DataFrame:
+    """One of the objects (column w) of at most the given width, by Spark's generator with a fixed seed."""
+    return objects.filter(F.col("w") <= widest).orderBy(F.rand(seed)).limit(1)
+
+
 def discs(centres: DataFrame, height: int, width: int) -> DataFrame:
     """Pixels with dx^2 + dy^2 <= radius^2 over the half-open box. centres: image_id, r, c, radius."""
     box = centres.withColumn("dr", F.explode(F.sequence(-F.col("radius"), F.col("radius") - 1)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import reports
 from rasterloom.functions.predicates import FOREGROUND
 from rasterloom.operators import components, fill, runs, stats, tiles
-from rasterloom.sinks import png
+from rasterloom.sinks import png, tables
 from rasterloom.sources import images, scenes
 
 
@@ -106,3 +106,23 @@ def test_stats(spark):
     assert stats.sweep_grid(spark).count() == 48
     text = spark.createDataFrame([(0,), (1023,), (1536,), (5 << 30,)], "n long").select(reports.bytes_text(F.col("n")).alias("t"))
     assert [r.t for r in text.collect()] == ["0.00 B", "1023.00 B", "1.50 KB", "5.00 GB"]
+
+
+def test_memory_text(spark):
+    sizes = [0, 999, 1000, 1023, 10 * 1024, 102912, 999 * 1024, 1000 * 1024, 5 << 30, 3 << 50]
+    text = spark.createDataFrame([(n,) for n in sizes], "n long").select(reports.memory_text(F.col("n")).alias("t"))
+    assert [r.t for r in text.collect()] == ["0.00 B", "999 B", "0.98 KB", "1.00 KB", "10.0 KB", "100 KB", "999 KB", "0.98 MB", "5.00 GB", "3072 TB"]
+
+
+def test_harness(spark, tmp_path):
+    took = stats.timed_runs(spark, lambda: spark.range(10), repeats=2, warm_ups=1)
+    assert [r.run for r in took.orderBy("run").collect()] == [0, 1] and took.filter("seconds <= 0").count() == 0
+    assert reports.engine_info(spark).filter("name = 'master' and value like 'local%'").count() == 1
+    rects = spark.createDataFrame([(0, 0, 0, 5, w) for w in (3, 4, 50)], scenes.RECT)
+    assert scenes.pick(rects, 4, 1).first().w <= 4 and scenes.pick(rects, 2, 1).count() == 0
+    tables.write_json(rects, str(tmp_path / "out"))
+    assert tables.file_sizes(spark, str(tmp_path / "out")).agg(F.sum("bytes")).first()[0] > 0
+    data = png.mask_files(pixels(spark, [(0, 1)]), 2, 3).first().png
+    at = data.index(b"IDAT")
+    raw = zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]])
+    assert np.frombuffer(raw, np.uint8).reshape(2, 10)[:, 1:].sum() == 3 * 255
