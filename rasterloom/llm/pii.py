@@ -1,6 +1,7 @@
 """Personal data: four base kinds by pattern, then bootstrapped contextual extraction. Base finds are the seeds; the
 words before them are lexical patterns; a pattern-instance graph is scored over a few rounds; patterns of high
-confidence discover further identifiers.
+confidence discover further identifiers: digit groups joined by blanks, dashes, dots or brackets, and tokens with a
+digit, @, (at) or [at].
 
 DataFrame functions only."""
 
@@ -22,15 +23,22 @@ KINDS = {
 }
 #: A text without these characters has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Identifier-like tokens: those with a digit.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Identifier-like tokens: those with a digit, an @, (at) or [at]. A text without TOKEN_NEEDS has none.
+TOKEN = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@(\[]++|\((?!at\))|\[(?!at\]))*+(?:[0-9@]|\(at\)|\[at\])[^\x20\x09-\x0D]*+"
+TOKEN_NEEDS = r"[0-9@]|\(at\)|\[at\]"
+#: Tokens make one span when a digit group that may go on is followed by one of these gaps and by another digit group.
+GOES_ON = r"^[\"'(\[{<]*[0-9Xx*()./-]*[0-9Xx*)]$"
+GAP = r"^(?:\x20{1,2}|\x20-\x20)$"
+FOLLOWS = r"^\(?[0-9Xx*][0-9Xx*()./-]*[\"')\]}>.,;:!?]*$"
 #: Shapes that a discovered identifier of each kind must have.
 SHAPES = {
     "email": r"^.*[A-Za-z0-9](@|\(at\)|\[at\])[A-Za-z0-9].*$",
     "ip": r"^[0-9A-Fa-f]{1,4}([.:][0-9A-Fa-f]{0,4}){3,7}$",
     "card": r"^([0-9Xx*][ -]?){13,19}$",
-    "phone": r"^[(]?[0-9]{1,4}[)./-]?([0-9]+[./-]?){1,4}$",
+    "phone": r"^[(]?[0-9]{1,4}[)./-]?\x20?([(]?[0-9]++[)./-]?\x20?){1,4}$",
 }
+#: A span has at most as many tokens as a shape has places for digits, and a phone of several tokens so many digits.
+MOST_TOKENS, PHONE_DIGITS = 19, (7, 15)
 ROUNDS, CONFIDENCE, SUPPORT, CONTEXT_CHARS = 2, 0.8, 5, 48
 
 
@@ -49,7 +57,7 @@ def _valid(kind: Column, hit: Column) -> Column:
     )
 
 
-def _matches(text: Column, kind: str, pattern: str, needs: str | None) -> Column:
+def _matches(text: Column, kind: str, pattern: str, test: Column) -> Column:
     """Array of (kind, gap: code points since the last match of the kind, before: the end of that gap, hit)."""
     found = F.zip_with(
         F.split(text, pattern, -1),
@@ -57,7 +65,6 @@ def _matches(text: Column, kind: str, pattern: str, needs: str | None) -> Column
         lambda gap, hit: F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("gap"), F.right(gap, F.lit(CONTEXT_CHARS)).alias("before"), hit.alias("hit")),
     )
     found = F.filter(found, lambda x: x.hit.isNotNull())
-    test = text.contains(needs) if needs else text.rlike("[0-9]")
     return F.when(test, found).otherwise(F.array().cast("array<struct<kind:string,gap:int,before:string,hit:string>>"))
 
 
@@ -65,13 +72,14 @@ def _candidates(df: DataFrame, key: str, text: str) -> DataFrame:
     """All matches with their places: id, row (digest that tells rows of one key apart), kind, start, end, hit, before, base."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("id"), F.xxhash64(body).alias("row"), body.alias("text"))
-    kinds = {**{k: (p, NEEDS[k]) for k, p in KINDS.items()}, "token": (TOKEN, None)}
-    arrays = [_matches(F.col("text"), k, p, n) for k, (p, n) in kinds.items()]
+    tests = {k: F.col("text").contains(n) if n else F.col("text").rlike("[0-9]") for k, n in NEEDS.items()}
+    kinds = {**{k: (p, tests[k]) for k, p in KINDS.items()}, "token": (TOKEN, F.col("text").rlike(TOKEN_NEEDS))}
+    arrays = [_matches(F.col("text"), k, p, test) for k, (p, test) in kinds.items()]
     hits = rows.select("id", "row", F.posexplode(F.concat(*arrays)).alias("place", "m")).select("id", "row", "place", "m.*")
     hits = hits.dropDuplicates(["id", "row", "place"])  # rows repeated with the same key and text
     so_far = Window.partitionBy("id", "row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(so_far)).withColumn("start", F.col("end") - F.length("hit"))
-    return hits.filter(_valid(F.col("kind"), F.col("hit"))).select("id", "row", "kind", "start", "end", "hit", "before", (F.col("kind") != "token").alias("base"))
+    return hits.filter(_valid(F.col("kind"), F.col("hit"))).select("id", "row", "kind", "start", "end", "hit", "gap", "before", (F.col("kind") != "token").alias("base"))
 
 
 def _free_tokens(hits: DataFrame) -> DataFrame:
@@ -84,6 +92,48 @@ def _free_tokens(hits: DataFrame) -> DataFrame:
     return held.filter(F.col("base") | free).drop("before_end", "after_start")
 
 
+def _core(hit: Column) -> tuple[Column, Column]:
+    """The length of the punctuation that leads a find, and the find without its surrounding punctuation.
+
+    A bracket around the first digits of a longer number belongs to the number."""
+    lead = F.length(F.regexp_extract(hit, r"^(?:[\"'\[{<,;:!?]|\((?![0-9]+\)[\x20./-]*[0-9]))*", 0))
+    return lead, F.regexp_replace(F.substring(hit, lead + 1, F.length(hit)), r"[\"')\]}>.,;:!?]+$", "")
+
+
+def _shaped(instance: Column, kind: str) -> Column:
+    """Whether an instance of one or several tokens has the shape of the kind."""
+    fits = F.regexp_replace(F.regexp_replace(instance, r"\x20-\x20", "-"), r"\x20+", " ").rlike(SHAPES[kind])
+    if kind == "phone":  # a single digit after a blank counts something else
+        several = F.length(F.regexp_replace(instance, "[^0-9]", "")).between(*PHONE_DIGITS) & ~instance.rlike(r"\x20[0-9]$")
+        return fits & (~instance.contains(" ") | several)
+    return fits
+
+
+def _instances(near: DataFrame) -> DataFrame:
+    """Base finds and free tokens as instances: id, row, kind, start, before, base, instance.
+
+    Digit groups with only a gap between them are one span, known by the words before the whole of it; its instance is
+    the longest run of tokens from its beginning that has a shape, or else its first token. Later tokens of a span have
+    no words before them."""
+    base = near.filter("base").select("id", "row", "kind", "start", "before", "base", F.lower("hit").alias("instance"))
+    row = Window.partitionBy("id", "row").orderBy("start")
+    last = F.lag(F.struct("end", "hit")).over(row)
+    joins = (last.end + F.col("gap") == F.col("start")) & F.col("before").rlike(GAP) & (F.col("gap") <= 3) & last.hit.rlike(GOES_ON) & F.col("hit").rlike(FOLLOWS)
+    free = near.filter("not base").withColumn("first", ~F.coalesce(joins, F.lit(False)))
+    free = free.withColumn("head", F.max(F.when(F.col("first"), F.col("start"))).over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    free = free.withColumn("n", F.row_number().over(Window.partitionBy("id", "row", "head").orderBy("start"))).filter(F.col("n") <= MOST_TOKENS)
+    part = F.struct("n", F.when(F.col("n") > 1, F.concat("before", "hit")).otherwise(F.col("hit")).alias("text"))
+    spans = free.groupBy("id", "row", F.col("head").alias("start")).agg(F.array_sort(F.collect_list(part)).alias("parts"), F.min_by("before", "n").alias("before"))
+    upto = lambda k: F.array_join(F.transform(F.slice("parts", 1, k), lambda x: x.text), "")
+    shaped = lambda x: reduce(lambda a, k: a | _shaped(_core(x)[1], k), KINDS, F.lit(False))
+    longer = F.filter(F.transform(F.sequence(F.size("parts"), F.lit(1), F.lit(-1)), upto), shaped)
+    one = F.col("parts")[0].text
+    spans = spans.withColumn("hit", F.when(F.size("parts") > 1, F.coalesce(F.get(longer, F.lit(0)), one)).otherwise(one))
+    lead, core = _core(F.col("hit"))
+    tokens = spans.select("id", "row", F.lit("token").alias("kind"), (F.col("start") + lead).alias("start"), "before", F.lit(False).alias("base"), core.alias("instance"))
+    return base.union(tokens).filter(F.length("instance") > 0)
+
+
 def _patterns(hits: DataFrame) -> DataFrame:
     """The one and the two words before each find, lower-cased, as its lexical patterns."""
     one = F.lower(F.regexp_extract("before", r"([^\x20\x09-\x0D0-9]+)[\x20\x09-\x0D]*$", 1))
@@ -106,7 +156,7 @@ def _scored(graph: DataFrame, kinds: list[str]) -> DataFrame:
             .filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "kind", "confidence")
         )
         strong = written(strong, "patterns")
-        shaped = reduce(lambda a, k: a | ((F.col("kind") == k) & F.col("instance").rlike(SHAPES[k])), kinds, F.lit(False))
+        shaped = reduce(lambda a, k: a | ((F.col("kind") == k) & _shaped(F.col("instance"), k)), kinds, F.lit(False))
         new = (
             graph.filter("kind is null").select("pattern", "instance").join(strong, "pattern").filter(shaped)
             .groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("belief"))
@@ -126,19 +176,13 @@ def find_spans(df: DataFrame, key: str = "doc_id", text: str = "text", contextua
     spans = hits.filter("base").select("id", "row", "kind", "start", "end", "base")
     if not contextual:
         return spans
-    # the token without surrounding punctuation is the instance
-    near = _free_tokens(hits)
-    lead = F.regexp_extract("hit", r"^[\"'(\[{<,;:!?]*", 0)
-    core = F.regexp_replace(F.regexp_replace("hit", r"^[\"'(\[{<,;:!?]+", ""), r"[\"')\]}>.,;:!?]+$", "")
-    near = near.withColumns({"instance": F.when(F.col("base"), F.lower("hit")).otherwise(core), "lead": F.when(F.col("base"), 0).otherwise(F.length(lead))}).filter(F.length("instance") > 0)
-    edges = _patterns(near)
+    edges = _patterns(_instances(_free_tokens(hits)))
     graph = written(edges.select("pattern", "instance", F.when(F.col("base"), F.col("kind")).alias("kind")).distinct(), "graph")
     strong = _scored(graph, list(KINDS))
-    shaped = reduce(lambda a, k: a | ((F.col("learned") == k) & F.col("instance").rlike(SHAPES[k])), KINDS, F.lit(False))
-    begin = F.col("start") + F.col("lead")
+    shaped = reduce(lambda a, k: a | ((F.col("learned") == k) & _shaped(F.col("instance"), k)), KINDS, F.lit(False))
     more = (
         edges.filter("not base").drop("kind").join(strong.select("pattern", F.col("kind").alias("learned")), "pattern").filter(shaped)
-        .select("id", "row", F.col("learned").alias("kind"), begin.alias("start"), (begin + F.length("instance")).alias("end"), F.lit(False).alias("base"))
+        .select("id", "row", F.col("learned").alias("kind"), "start", (F.col("start") + F.length("instance")).alias("end"), F.lit(False).alias("base"))
         .distinct()
     )
     return spans.union(more)

@@ -64,6 +64,33 @@ def test_pii_context(spark):
     assert masked[100] == "please ring phone desk [PHONE] today" and masked[101] == "there were 555-0199 of them" and masked[3] == masked[100]
 
 
+def test_pii_context_spans(spark):
+    """After learned contexts identifiers of several tokens are found whole, and those without a digit too."""
+    said = [(i, f"please ring phone desk +1555{1000000 + i} today") for i in range(40)]
+    cards = [n for n in range(4000_0000_0000_0000, 4000_0000_0000_0400) if sum(sum(map(int, str(int(d) * (1 + i % 2)))) for i, d in enumerate(str(n)[::-1])) % 10 == 0]
+    said += [(100 + i, f"please pay by card number {n} today") for i, n in enumerate(cards)]
+    said += [(1000 + i, f"please write to mailbox name{i}@example.org today") for i in range(40)]
+    odd = {
+        5000: ("please ring phone desk (555) 010-1999 today", "phone", "(555) 010-1999"),
+        5001: ("please ring phone desk 555 010 1999, or come", "phone", "555 010 1999"),
+        5002: ("please ring phone desk 555 - 010 - 1999 today", "phone", "555 - 010 - 1999"),
+        5003: ("please pay by card number 4111 1111 1111 1112 today", "card", "4111 1111 1111 1112"),
+        5004: ("please pay by card number 4111-1111 1111-1112 12/27", "card", "4111-1111 1111-1112"),
+        5005: ("please write to mailbox jane.doe[at]example.org today", "email", "jane.doe[at]example.org"),
+        5006: ("please write to mailbox jane.doe(at)example.org.", "email", "jane.doe(at)example.org"),
+        5007: ("please ring phone desk 555-0199 3 times", "phone", "555-0199"),
+        5008: ("there were (555) 010-1999 of them, jane.doe[at]example.org said", None, None),
+    }
+    df = spark.createDataFrame([*said, *((k, v[0]) for k, v in odd.items())], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.span_digests(df).collect()}
+    masked = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    for k, (text, kind, hit) in odd.items():
+        if kind:
+            at = text.index(hit)
+            assert (got[k], masked[k]) == (f"{kind}:{at}:{at + len(hit)}", text.replace(hit, f"[{kind.upper()}]")), k
+    assert got[5008] == "" and masked[5008] == odd[5008][0]
+
+
 def test_redact(docs, rows):
     got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     for k, t in rows:
