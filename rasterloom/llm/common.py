@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Regular expression of the white space that separates words everywhere in this package.
 SPACE = r"[\x20\x09-\x0D]"
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def identity(key: Column, text: Column) -> Column:
+    """Digest of a row's key and text that tells null, empty and equal ones apart; rows with both equal share it."""
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    return F.substring(F.sha2(F.concat(mark(key), F.lit(" "), mark(text)), 256), 1, 32)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
     sc = spark.sparkContext

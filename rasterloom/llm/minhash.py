@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterloom.llm.common import arrow_map, pieces as slices, schemas, written
+from rasterloom.llm.common import arrow_map, identity, pieces as slices, schemas, written
 from rasterloom.llm.components import components
 from rasterloom.llm.hashing import mix, run_hashes, texts_hashes
 
@@ -58,19 +58,18 @@ def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
         yield np.unique(run_hashes(words[a:b], m, salt=m)) if m else np.zeros(0, np.uint64)
 
 
-def sketches(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """id, n_shingles, set_id (digest of the set) and signature of each text."""
+def sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    """id, row, n_shingles, set_id (digest of the set) and signature of each text. rows: id, row, text."""
 
     def step(cols: dict) -> Iterator[dict]:
-        out: dict[str, list] = {"id": cols["id"], "n_shingles": [], "set_id": [], "signature": []}
+        out: dict[str, list] = {"id": cols["id"], "row": cols["row"], "n_shingles": [], "set_id": [], "signature": []}
         for s in shingle_sets(cols["text"], shingle):
             out["n_shingles"].append(len(s))
             out["set_id"].append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
             out["signature"].append(signature(s).tobytes() if len(s) else None)
         yield out
 
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return arrow_map(rows, step, "id long, n_shingles long, set_id long, signature binary")
+    return arrow_map(rows, step, "id long, row string, n_shingles long, set_id long, signature binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -106,21 +105,34 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
     Texts with equal shingle sets are one class from the start, so copies are never paired. Documents are linked when
     100 * intersection >= percent * union of their sets; a component is what links reach. Null, empty and blank texts
-    have no shingles, no links and stay. key must be whole numbers; repeated rows fall together; other columns are
-    ignored. The method is meant for percent >= 80; lower ones need more bands."""
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sk = written(sketches(docs, "id", "text", shingle), "sketches")
-    reps = (
-        sk.filter("set_id is not null").groupBy("set_id")
-        .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    )
+    have no shingles, no links and stay. key must be whole numbers; other columns are ignored. The method is meant for
+    percent >= 80; lower ones need more bands.
+
+    Rows with a null key are linked like others and come after all keys: one is kept, with a null component_id, where
+    its component has no key. Of one key with several texts in a component one row is kept; rows repeated with the same
+    key and text get the same result."""
+    return near_rows(df, key, text, shingle, percent).drop("row")
+
+
+def near_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """near_groups with row, the identity of key and text."""
+    docs = df.select(F.col(key).cast("long").alias("id"), identity(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    sk = written(sketches(docs, shingle), "sketches")
+    lead = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "row")).alias("lead")
+    sets = sk.filter("set_id is not null").groupBy("set_id").agg(lead, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    sets = written(sets.select("set_id", "lead.*", "n_shingles", "signature"), "sets")
+    # each class is a node, numbered in the order of its first row: the smallest node has the smallest key
+    order, n = ["void", "id", "row"], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = written(sets.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    reps = nodes.select("set_id", F.col("node").alias("id"), F.col("row"), "n_shingles", "signature")
     bands = [F.xxhash64(F.lit(i), F.substring("signature", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BINS // ROWS)]
     in_bands = reps.select("id", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     centres = in_bands.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).filter("size > 1")
     hits = written(in_bands.join(centres, "bucket"), "buckets")  # members of buckets that hold more than one
 
     found = hits.select("id").distinct()
-    texts = written(docs.join(found, "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    need = reps.select("id", "row").join(found, "id", "left_semi")
+    texts = written(docs.select("row", "text").join(need, "row").dropDuplicates(["row"]).select("id", "text"), "candidates")
     stars = hits.filter("id != centre").groupBy(F.col("id").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("shared"))
     stars = written(stars, "stars")
 
@@ -131,10 +143,13 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     joined = components(links)
     joined = components(links.union(_residual(hits, texts, joined, shingle, percent)))
 
+    first = nodes.select(F.col("node").alias("component"), F.col("id").alias("component_id"), F.col("row").alias("lead"))
     classes = reps.select("set_id", "id").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-    classes = written(classes.select("set_id", F.coalesce("component", "id").alias("component")), "classes")  # a table: so the join may split a hot set's rows
+    classes = classes.select("set_id", F.coalesce("component", "id").alias("component")).join(first, "component")
+    classes = written(classes.select("set_id", "component_id", "lead"), "classes")  # a table: so the join may split a hot set's rows
+    own = F.when(F.col("lead").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return sk.join(classes, "set_id", "left").select(
-        F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept")
+        F.col("id").alias(key), "n_shingles", own.alias("component_id"), F.coalesce(F.col("row") == F.col("lead"), F.lit(True)).alias("kept"), "row"
     )
 
 

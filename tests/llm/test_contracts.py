@@ -241,6 +241,16 @@ def test_near_chain_finishes(spark):
     assert got == brute.near(data)
 
 
+def test_near_null_keys(spark):
+    """Null keys are linked, and stay where nothing with a key leads them; one row of a key's similar texts stays."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    data = [(None, text["a"]), (None, text["b"]), (5, text["b"] + " end"), (None, text["c"]), (None, text["c"] + " end"), (None, None), (7, None), (8, text["d"]), (8, text["d"] + " end"), (9, text["d"])]
+    out = minhash.near_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id or 0), r.n_shingles, (r.component_id or 0), r.kept) for r in out)
+    assert [g[:3] for g in got] == [(0, 0, 0), (0, 56, 0), (0, 56, 0), (0, 56, 5), (0, 57, 0), (5, 57, 5), (7, 0, 7), (8, 56, 8), (8, 57, 8), (9, 56, 8)]
+    assert {k: sum(g[3] for g in got if g[0] == k) for k in (0, 5, 7, 8, 9)} == {0: 3, 5: 1, 7: 1, 8: 1, 9: 0} and (0, 56, 5, False) in got
+
+
 def test_residual_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
     words = [f"t{i}" for i in range(200)]
