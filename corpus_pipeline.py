@@ -1,30 +1,39 @@
 """From documents to packed training sequences: quality, exact dedup, near dedup, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-stage's docs. All but the last keep the columns of documents."""
+stage's docs. All but the last keep the columns of documents.
+
+Stages decide by row, which is doc_id and text together. Rows with both equal share every decision: the quality stage
+keeps or drops all of them, the dedup stages keep one at most."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterloom.llm import exact_dedup, minhash, packing, pii, quality
-from rasterloom.llm.common import table, written
+from rasterloom.llm.common import identity, table, written
+
+ROW = "__row"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it is fitted on the labels of these documents."""
-    scores = quality.score_quality(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, scores.filter("predicted = 1"))
+    docs = _with_row(docs)
+    scores = quality.score_quality(docs, table(spark, sf_dir, "labels"), keep=(ROW,))
+    return _only(docs, scores.filter("predicted = 1")).drop(ROW)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+    docs = _with_row(docs)
+    keyed = docs.select(F.struct("doc_id", ROW).alias("key"), "text")
+    return _one(docs, exact_dedup.exact_dedup(keyed, key="key").filter("kept").select(f"key.{ROW}"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles at similarity 0.8 reach stays."""
-    return _only(docs, minhash.near_groups(docs, shingle=5, percent=80).filter("kept"))
+    kept = minhash.near_rows(docs, shingle=5, percent=80).filter("kept")
+    return _one(_with_row(docs), kept.select(F.col("row").alias(ROW)))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +47,18 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, identity(F.col("doc_id"), F.col("text")))
+
+
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept."""
-    ids = kept.select(F.col("doc_id").alias("__id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs that are in kept."""
+    return docs.join(kept.select(ROW), ROW, "left_semi")
+
+
+def _one(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One of each of the rows of docs that are in kept."""
+    return _only(docs, kept).dropDuplicates([ROW]).drop(ROW)
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("pii", pii_stage), ("packing", packing_stage)]

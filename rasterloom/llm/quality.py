@@ -176,14 +176,15 @@ def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", max_rows: in
     return fit(rows[FEATURES].to_numpy(np.float64), rows["__y"].to_numpy(np.float64))
 
 
-def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_LABELLED) -> DataFrame:
-    """One row per row of df: key, held_out, score (0 to 1), predicted (1 from THRESHOLD on).
+def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_LABELLED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of df: key, held_out, score (0 to 1), predicted (1 from THRESHOLD on), and the columns of keep.
 
     labels (key, quality) serve the fit only. Null and empty texts are scored like any other, by features of no
     words; repeated rows are scored each; a null key is held out of the fit; other columns are ignored. Without
     labelled rows, or with one label only, all scores are the same."""
-    stats = written(features(df.withColumnRenamed(key, "__key"), ["__key"], text).withColumnRenamed("__key", key), "statistics")
+    stats = written(features(df.withColumnRenamed(key, "__key"), ["__key", *keep], text).withColumnRenamed("__key", key), "statistics")
     model = train(stats, labels, key, max_rows)
     score = model.column()
-    out = stats.select(F.col(key), F.coalesce(held_out(F.col(key)), F.lit(True)).alias("held_out"), score.alias("score"))
-    return out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    out = stats.select(F.col(key), F.coalesce(held_out(F.col(key)), F.lit(True)).alias("held_out"), score.alias("score"), *keep)
+    out = out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    return out.select(key, "held_out", "score", "predicted", *keep)

@@ -90,6 +90,31 @@ def test_packing_stage(steps):
         assert at == len(ids)
 
 
+def test_repeated_rows(spark, sf_dir, steps, monkeypatch):
+    """Which rows each stage keeps of repeated ones, of several texts with one key, and of those without a key."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    good, bad = text["a"], text["b"]
+    schema = steps["quality"][0].schema
+    made = lambda rows: spark.createDataFrame([(k, t, "en", "s", None) for k, t in rows], schema)
+    left = lambda df: sorted(texts(df), key=str)
+
+    def scored(df, labels, **kept):
+        return df.withColumn("predicted", F.coalesce((F.col("text") == good).cast("int"), F.lit(0)))
+
+    rows = [(1, good), (1, good), (1, bad), (None, good), (None, bad), (None, None), (2, bad)]
+    with monkeypatch.context() as m:
+        m.setattr(quality, "score_quality", scored)
+        assert left(corpus_pipeline.quality_stage(spark, made(rows), sf_dir)) == sorted([(1, good), (1, good), (None, good)], key=str)
+    rows = [(1, good), (1, good), (1, bad), (2, bad), (None, text["c"]), (3, text["c"]), (None, text["d"]), (None, text["d"]), (4, None), (5, "")]
+    want = [(1, good), (1, bad), (None, text["c"]), (None, text["d"]), (4, None)]
+    assert left(corpus_pipeline.exact_stage(spark, made(rows), sf_dir)) == sorted(want, key=str)
+    rows = [(1, good), (1, good), (1, good + " end"), (2, good), (1, bad), (None, bad), (None, text["c"]), (None, text["c"]), (None, text["d"] + " end"), (6, text["d"]), (None, None), (7, None)]
+    kept = left(corpus_pipeline.near_stage(spark, made(rows), sf_dir))
+    first = [r for r in kept if r[0] == 1 and r[1] != bad]
+    assert len(first) == 1 and first[0] in rows
+    assert [r for r in kept if r not in first] == sorted([(1, bad), (None, text["c"]), (6, text["d"]), (None, None), (7, None)], key=str)
+
+
 @pytest.mark.parametrize("case", ["empty", "nulls"])
 def test_odd_tables(spark, sf_dir, steps, case):
     """Stages on an empty table, and on rows of nulls, repeated rows and clashing columns."""
