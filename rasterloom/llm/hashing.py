@@ -1,4 +1,8 @@
-"""Vectorised 64-bit hashes of the words of many texts, and of runs of consecutive words."""
+"""Vectorised hashes of the words of many texts, and of runs of consecutive words.
+
+A word's bytes are read eight at a time; each lane goes through a non-linear mix before the next one joins, so that no
+two words collide by their structure. Two seeds give two independent 64-bit hashes. They find candidates only: what is
+removed or linked is compared by the words themselves or by a cryptographic digest of them."""
 
 from __future__ import annotations
 
@@ -7,12 +11,11 @@ import numpy as np
 from rasterloom.llm.common import CHUNK_BYTES
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_powers = np.ones(1, _U)
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Masks that keep the first 0 to 8 bytes of a little-endian lane.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,56 +25,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _pow(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 256), _BASE, _U)
-        grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
-    return _powers
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and lengths of the words, which are runs without white space."""
+    ws = _WS[np.frombuffer(data, np.uint8)]
+    edge = np.diff(ws, prepend=True, append=True).nonzero()[0]
+    return edge[::2], edge[1::2] - edge[::2]
 
 
-def _hash_bytes(data: bytes, lower: bool) -> np.ndarray:
-    a = np.frombuffer(data, np.uint8)
-    ws = _WS[a]
-    edge = np.diff(ws, prepend=True, append=True).nonzero()[0]
-    starts, lens = edge[::2], edge[1::2] - edge[::2]
+def _hash_bytes(data: bytes, seed: int) -> np.ndarray:
+    starts, lens = word_bounds(data)
     if not len(starts):
         return np.zeros(0, _U)
-    chars = a[~ws]
-    if lower:
-        chars = _LOWER[chars]
-    first = np.cumsum(lens) - lens
-    place = np.arange(len(chars)) - np.repeat(first, lens)
-    terms = (chars.astype(_U) + _U(1)) * _pow(int(lens.max()))[place]
-    return mix(np.add.reduceat(terms, first) + lens.astype(_U) * _U(0xD6E8FEB86659FD93))
-
-
-def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
+    raw = np.frombuffer(data + bytes(8), np.uint8)
+    lanes = np.ndarray(len(data) + 1, "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    h = mix(lens.astype(_U) + _U(_SEEDS[seed]))
+    h = mix(h ^ (lanes[starts] & _MASK[np.minimum(lens, 8)])) + h
+    at, more = 8, np.flatnonzero(lens > 8)
+    while len(more):
+        left = np.minimum(lens[more] - at, 8)
+        h[more] = mix(h[more] ^ (lanes[starts[more] + at] & _MASK[left])) + h[more] * _U(3)
+        at += 8
+        more = more[lens[more] > at]
+    return mix(h)
+
+
+def word_hashes(data: bytes, seed: int = 0) -> np.ndarray:
     """One hash per word of the UTF-8 text, in order; long texts go through in slices cut at white space."""
     if len(data) <= CHUNK_BYTES:
-        return _hash_bytes(data, lower)
+        return _hash_bytes(data, seed)
     out, at = [], 0
     while at < len(data):
         end = min(len(data), at + CHUNK_BYTES)
         while end < len(data) and not _WS[data[end]]:
             end += 1
-        out.append(_hash_bytes(data[at:end], lower))
+        out.append(_hash_bytes(data[at:end], seed))
         at = end
     return np.concatenate(out)
 
 
-def texts_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of many texts, and the bounds of each text (len(texts) + 1 of them)."""
+def encoded(texts: list[str | None], lower: bool = False) -> list[bytes]:
+    """The UTF-8 bytes of each text (null: none), with A-Z lower-cased on demand."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return [r.lower() for r in raw] if lower else raw
+
+
+def texts_hashes(raw: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of many texts, and the bounds of each text (len(raw) + 1 of them)."""
     if sum(map(len, raw)) <= 2 * CHUNK_BYTES:
-        counts = np.array([len(r.split()) for r in raw], np.int64)
-        hashes = _hash_bytes(b" ".join(raw), lower) if raw else np.zeros(0, _U)
-    else:
-        each = [word_hashes(r, lower) for r in raw]
-        counts = np.array([len(e) for e in each], np.int64)
-        hashes = np.concatenate(each) if each else np.zeros(0, _U)
-    return hashes, np.concatenate([[0], np.cumsum(counts)])
+        data = b" ".join(raw)
+        hashes = _hash_bytes(data, seed) if raw else np.zeros(0, _U)
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        return hashes, np.concatenate([[0], np.searchsorted(word_bounds(data)[0], ends)]) if raw else np.zeros(1, np.int64)
+    each = [word_hashes(r, seed) for r in raw]
+    return np.concatenate(each), np.concatenate([[0], np.cumsum([len(e) for e in each])])
 
 
 def _odd(n: int, salt: int) -> np.ndarray:

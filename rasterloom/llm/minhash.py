@@ -1,9 +1,9 @@
 """MinHash near-dedup: one-permutation hashing with optimal densification, banded buckets and star-shaped candidate
 edges, confirmed on the full shingle sets.
 
-Stars alone can miss a link between two members of a bucket that are both unlike its centre. What the stars leave
-apart is therefore finished exactly: in buckets that still hold several components, the members outside the bucket's
-main component are compared with all members, block by block."""
+Stars alone can miss a link between two members of a bucket that are both unlike its centre. What the stars leave apart
+is therefore finished exactly: two sets that reach the similarity share one of their rarest shingles, so the documents
+of buckets that still hold several components meet on those."""
 
 from __future__ import annotations
 
@@ -12,18 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterloom.llm.common import arrow_map, identity, pieces as slices, schemas, written
 from rasterloom.llm.components import components
-from rasterloom.llm.hashing import mix, run_hashes, texts_hashes
+from rasterloom.llm.hashing import encoded, mix, run_hashes, texts_hashes
 
 #: 32 bands of 4 bins: a pair at similarity 0.8 shares no band with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8.
 BINS, ROWS = 128, 4
-#: Equal bins below which a pair is not looked at: at similarity 0.8, 5e-7 of the pairs have fewer (102 on average).
-LEAST_EQUAL = 80
-#: Members of a bucket that one block comparison holds.
-BLOCK = 256
+#: Members of a star, or rows of a shingle, that one group compares.
+BLOCK = 1024
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -49,27 +47,38 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return values[_ORDER[np.arange(BINS), full[_ORDER].argmax(axis=1)]]
 
 
-def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
-    """Sorted distinct hashes of the n-word shingles of each text, A-Z lower-cased; a text of fewer words is one
-    shingle, a text without words none."""
-    words, at = texts_hashes(texts, lower=True)
+def shingle_sets(raw: list[bytes], n: int, seed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct hashes of the n-word shingles of each text, and where each first occurs; a text of fewer words
+    is one shingle, a text without words none."""
+    words, at = texts_hashes(raw, seed)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         m = min(n, b - a)
-        yield np.unique(run_hashes(words[a:b], m, salt=m)) if m else np.zeros(0, np.uint64)
+        yield np.unique(run_hashes(words[a:b], m, salt=m), return_index=True) if m else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def exact_shingles(raw: bytes, n: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    words = raw.split()
+    return set(zip(*(words[i:] for i in range(n)))) if len(words) >= n else {tuple(words)} - {()}
 
 
 def sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """id, row, n_shingles, set_id (digest of the set) and signature of each text. rows: id, row, text."""
+    """id, row, n_shingles, set_id (128-bit digest of the set, told by two hashes of each shingle) and signature of each
+    text. rows: id, row, text."""
 
     def step(cols: dict) -> Iterator[dict]:
         out: dict[str, list] = {"id": cols["id"], "row": cols["row"], "n_shingles": [], "set_id": [], "signature": []}
-        for s in shingle_sets(cols["text"], shingle):
+        raw = encoded(cols["text"], lower=True)
+        second, at = texts_hashes(raw, 1)
+        for (s, first), a, b in zip(shingle_sets(raw, shingle), at[:-1].tolist(), at[1:].tolist()):
+            m = min(shingle, b - a)
+            told = s.tobytes() + run_hashes(second[a:b], m, salt=m)[first].tobytes() if m else b""
             out["n_shingles"].append(len(s))
-            out["set_id"].append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
-            out["signature"].append(signature(s).tobytes() if len(s) else None)
+            out["set_id"].append(hashlib.blake2b(told, digest_size=16).digest() if m else None)
+            out["signature"].append(signature(s).tobytes() if m else None)
         yield out
 
-    return arrow_map(rows, step, "id long, row string, n_shingles long, set_id long, signature binary")
+    return arrow_map(rows, step, "id long, row string, n_shingles long, set_id binary, signature binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -78,26 +87,49 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def linked(edges: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The edges (a, b) whose full shingle sets reach the similarity. texts: id, text of all that occur in edges."""
-    rows = (
-        edges.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
+class _Centre:
+    """The set of a star's centre, as hashes and, once needed, as shingles."""
 
-    def step(cols: dict) -> Iterator[dict]:
-        a, b, kept = cols["a"], cols["b"], ([], [])
-        centre, other = None, None
-        for i, (x, s) in enumerate(zip(a, shingle_sets(cols["text_a"], shingle))):
-            if centre != b[i]:
-                centre, other = b[i], next(shingle_sets([cols["text_b"][i]], shingle))
-            if similar(s, other, percent):
-                kept[0].append(x)
-                kept[1].append(b[i])
-        yield {"a": kept[0], "b": kept[1]}
+    def __init__(self, raw: bytes, hashes: np.ndarray, shingle: int, percent: int):
+        self.raw, self.hashes, self.shingle, self.percent, self.exact = raw, hashes, shingle, percent, None
 
-    return arrow_map(rows, step, "a long, b long")
+    def links(self, raw: bytes, hashes: np.ndarray) -> bool:
+        """Whether the sets reach the similarity: by hashes first, then by the shingles themselves."""
+        if not similar(hashes, self.hashes, self.percent):
+            return False
+        if self.exact is None:
+            self.exact = exact_shingles(self.raw, self.shingle)
+        own = exact_shingles(raw, self.shingle)
+        both = len(own & self.exact)
+        return 100 * both >= self.percent * (len(own) + len(self.exact) - both)
+
+
+def linked(edges: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The edges (a, b) whose full shingle sets reach the similarity. texts: id, text of all that occur in edges.
+
+    Members a go to their centre b, whose text comes first and is read once for BLOCK members or so; a centre of more
+    is dealt to several groups."""
+    sizes = edges.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    members = edges.select("a", "b").join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"), F.col("a").alias("id"))
+    centres = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"), F.col("b").alias("id"))
+    rows = members.union(centres).join(texts.select("id", "text"), "id").repartition("b", "part").sortWithinPartitions("b", "part", "member")
+    out, arrow = schemas("a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = None
+        for batch in batches:
+            for piece in slices(batch):
+                b, member, ids, texts = (piece.column(i).to_pylist() for i in range(4))
+                raw, kept = encoded(texts, lower=True), ([], [])
+                for x, y, m, r, (s, _) in zip(ids, b, member, raw, shingle_sets(raw, shingle)):
+                    if not m:
+                        centre = _Centre(r, s, shingle, percent)
+                    elif centre.links(r, s):
+                        kept[0].append(x)
+                        kept[1].append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in kept], schema=arrow)
+
+    return rows.select("b", "member", "id", "text").mapInArrow(run, out)
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -162,42 +194,41 @@ def _apart(edges: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _residual(hits: DataFrame, texts: DataFrame, joined: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links within a bucket between different components: those outside its main component against all members.
+    """The links between different components among the documents of buckets that still hold several components.
 
-    Both sides are cut into blocks and each pair of blocks is one group, which looks at a pair only in the first band
-    that it shares, compares signatures first and the full sets then, and returns links alone."""
+    Shingles are ordered by how many of these documents hold them. Sets of n shingles that reach the similarity share
+    one of the first n - ceil(n * percent / 100) + 1 of that order, so documents of a template, whose own words are the
+    rare ones, never meet. Pairs that meet there and can still reach the similarity by sizes and places are confirmed."""
     member = hits.join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-    member = written(member.select("bucket", "band", "id", "size", F.coalesce("component", "id").alias("component")), "members")
-    main = (
-        member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        .groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("x"), F.sum("n").alias("all"))
-        .filter("x.n < all").select("bucket", F.col("x.component").alias("main"), (F.col("all") - F.col("x.n")).alias("outside"))
-    )
-    rows = member.join(main, "bucket")
-    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("id"), parts(n)).cast("int")
-    both = ("bucket", "band", "id", "component")
-    asks = rows.filter("component != main").select(*both, F.lit(True).alias("asks"), own("outside").alias("p"), spread("size").alias("q"))
-    answers = rows.select(*both, F.lit(False).alias("asks"), spread("outside").alias("p"), own("size").alias("q"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        asks, band = np.array(table["asks"].to_pylist(), bool), table["band"][0].as_py()
-        ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
-        sets = list(shingle_sets(table["text"].to_pylist(), shingle))
-        n, sig = np.array([len(s) for s in sets]), np.stack([signature(s) for s in sets])
-        them = np.flatnonzero(~asks)
-        out_a, out_b = [], []
-        for i in np.flatnonzero(asks):
-            fits = (comp[them] != comp[i]) & (np.minimum(n[them], n[i]) * 100 >= np.maximum(n[them], n[i]) * percent)
-            near = them[fits]
-            equal = sig[near] == sig[i]
-            first = equal.reshape(len(near), BINS // ROWS, ROWS).all(axis=2).argmax(axis=1) == band
-            for j in near[first & (equal.sum(axis=1) >= LEAST_EQUAL)]:
-                if similar(sets[i], sets[j], percent):
-                    out_a.append(int(ids[i]))
-                    out_b.append(int(ids[j]))
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    pairs = asks.unionByName(answers).join(texts, "id")
-    return pairs.groupBy("bucket", "band", "p", "q").applyInArrow(compare, "a long, b long")
+    member = member.select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    mixed = member.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
+    rest = written(member.join(mixed, "bucket").select("id", "component").distinct(), "rest")
+
+    def step(cols: dict) -> Iterator[dict]:
+        sets = [s for s, _ in shingle_sets(encoded(cols["text"], lower=True), shingle)]
+        yield {"id": cols["id"], "component": cols["component"], "n": [len(s) for s in sets], "x": [s.view(np.int64) for s in sets]}
+
+    sets = written(arrow_map(rest.join(texts, "id").select("id", "component", "text"), step, "id long, component long, n long, x array<long>"), "sets")
+    each = sets.select("id", "component", "n", F.explode("x").alias("x"))
+    counts = written(each.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1"), "counts")
+    held = each.join(counts, "x").groupBy("id").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
+    alone = F.col("n") - F.size("s")  # shingles of one document alone come first in the order
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    held = held.withColumns({"alone": alone, "s": F.slice("s", F.lit(1), F.greatest(F.lit(0), first - alone).cast("int"))})
+    places = written(held.select("id", "component", "n", "alone", F.posexplode("s.x").alias("place", "x")).withColumn("place", F.col("alone") + F.col("place") + 1), "places")
+    groups = places.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("component").alias("low"), F.max("component").alias("high"))
+    groups = written(groups.filter("low != high").select("x", "parts"), "groups")
+    rows = places.join(groups, "x").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+
+    def side(name: str, p: Column, q: Column) -> DataFrame:
+        named = [F.col(c).alias(f"{c}_{name}") for c in ("id", "component", "n", "place")]
+        return rows.select("x", p.alias("p"), *named, "own", "parts").select("x", "p", q.alias("q"), *[f"{c}_{name}" for c in ("id", "component", "n", "place")])
+
+    # a shingle of many rows is a grid of blocks, each a key of its own
+    pairs = side("a", F.col("own"), every).join(side("b", every, F.col("own")), ["x", "p", "q"])
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    most = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    fits = (100 * small >= percent * large) & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+    pairs = pairs.filter((F.col("id_a") > F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits)
+    return linked(written(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs"), texts, shingle, percent)

@@ -1,18 +1,23 @@
-"""Substring dedup, seed and extend: documents meet on winnowed anchors, the anchors that several documents hold are
-extended to both sides to whole windows, and overlapping windows merge to maximal repeats over the threshold."""
+"""Substring dedup, seed and extend: documents meet on winnowed anchors, each place of an anchor that several documents
+hold is extended to both sides to the windows around it, and adjoining windows merge to maximal repeats.
+
+Two windows are equal when the 128-bit BLAKE2b digests of their words are; the fast hashes only choose the anchors."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rasterloom.llm.common import arrow_map
-from rasterloom.llm.hashing import run_hashes, texts_hashes
+from rasterloom.llm.common import arrow_map, written
+from rasterloom.llm.hashing import encoded, run_hashes, texts_hashes
 
 #: Words of an anchor. With windows of 13 words, each window holds 9 anchors of which the least is its seed.
 ANCHOR = 5
+#: Documents of an anchor that one task compares; the windows of a hotter anchor are dealt to several.
+HOT = 20_000
 
 
 def seeds(words: np.ndarray, length: int, anchor: int) -> np.ndarray:
@@ -29,75 +34,109 @@ def seeds(words: np.ndarray, length: int, anchor: int) -> np.ndarray:
     return np.minimum(least[:m], least[width - at : width - at + m])
 
 
-def _documents(texts: list[str | None]) -> Iterator[np.ndarray]:
-    words, at = texts_hashes(texts)
+def _hashed(raw: list[bytes]) -> Iterator[np.ndarray]:
+    words, at = texts_hashes(raw)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         yield words[a:b]
 
 
-def repeated_windows(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents dealt out by id, windows that also start in a document with a smaller id: id, repeated hashes).
+def window_digests(raw: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    """Two 64-bit halves of the digest of the `length` words from each start on."""
+    words = raw.split()
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    begin, end = np.append(0, ends[:-1] + 1)[starts], ends[starts + length - 1]
+    made = [hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())]
+    return np.frombuffer(b"".join(made), "<i8").reshape(-1, 2)
 
-    A document tells of equal windows once, so no window has more rows than there are documents."""
-    docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+def shared_anchors(docs: DataFrame, length: int, anchor: int, hot: int) -> DataFrame:
+    """For each document (id, row) that holds anchors of several documents: those, and in how many parts their windows
+    are dealt out. docs: id, row, text."""
 
     def anchors(cols: dict) -> Iterator[dict]:
-        yield {"id": cols["id"], "anchors": [np.unique(seeds(w, length, anchor)).view(np.int64) for w in _documents(cols["text"])]}
+        yield {"id": cols["id"], "row": cols["row"], "anchors": [np.unique(seeds(w, length, anchor)).view(np.int64) for w in _hashed(encoded(cols["text"]))]}
+
+    held = arrow_map(docs, anchors, "id long, row long, anchors array<long>").select("id", "row", F.explode("anchors").alias("anchor"))
+    held = written(held, "anchors")
+    # counted with partial aggregation and written, so that the join may split a hot anchor's rows
+    shared = held.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    shared = written(shared.select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "shared")
+    lists = held.join(shared, "anchor").groupBy("id", "row").agg(F.collect_set(F.struct("anchor", "parts")).alias("a"))
+    return lists.select("id", "row", F.col("a.anchor").alias("anchors"), F.col("a.parts").alias("parts"))
 
-    held = arrow_map(docs.filter("id is not null"), anchors, "id long, anchors array<long>").select("id", F.explode("anchors").alias("anchor"))
-    # a document holds an anchor once, so no anchor has more rows than there are documents
-    shared = held.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1")
-    shared = shared.groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
-    by_id = docs.repartition("id")
+
+def repeated_windows(by_id: DataFrame, shared: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(id, row, pos, first): the windows whose words also start in a document with a smaller id, the smallest being first."""
 
     def windows(cols: dict) -> Iterator[dict]:
-        out: dict[str, list] = {k: [] for k in ("id", "low", "high")}
-        for i, w, a in zip(cols["id"], _documents(cols["text"]), cols["anchors"]):
-            if not a:
-                continue
-            own = np.sort(np.array(a, np.int64).view(np.uint64))
+        out: dict[str, list] = {k: [] for k in ("low", "high", "id", "row", "pos", "parts")}
+        raw = encoded(cols["text"])
+        for i, r, t, w, a, p in zip(cols["id"], cols["row"], raw, _hashed(raw), cols["anchors"], cols["parts"]):
+            own = np.array(a, np.int64).view(np.uint64)
+            order = np.argsort(own)
+            own, parts = own[order], np.array(p, np.int32)[order]
             seed = seeds(w, length, anchor)
-            start = np.flatnonzero(own[np.minimum(np.searchsorted(own, seed), len(own) - 1)] == seed)
-            low, once = np.unique(run_hashes(w, length, salt=2)[start], return_index=True)
-            out["id"].append(np.full(len(low), i, np.int64))
-            out["low"].append(low.view(np.int64))
-            out["high"].append((run_hashes(w, length, salt=3)[start[once]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            at = np.minimum(np.searchsorted(own, seed), len(own) - 1)
+            pos = np.flatnonzero(own[at] == seed)
+            digests = window_digests(t, pos, length)
+            for k, v in zip(out, (digests[:, 0], digests[:, 1], np.full(len(pos), i, np.int64), np.full(len(pos), r, np.int64), pos.astype(np.int32), parts[at[pos]])):
+                out[k].append(v)
         if out["id"]:
             yield {k: np.concatenate(v) for k, v in out.items()}
 
-    seen = arrow_map(by_id.join(shared, "id", "left").select("id", "text", "anchors"), windows, "id long, low long, high int")
-    first = F.min("id").over(Window.partitionBy("low", "high"))
-    later = seen.withColumn("first", first).filter("id > first").groupBy("id").agg(F.collect_list("low").alias("repeated"))
-    return by_id, later
+    texts = by_id.join(shared, ["id", "row"]).select("id", "row", "text", "anchors", "parts")
+    seen = arrow_map(texts, windows, "low long, high long, id long, row long, pos int, parts int")
+    window = ["low", "high", "salt"]
+    rows = seen.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).repartition(*window)
+    local = rows.groupBy(*window).agg(F.min("id").alias("least"), F.max("parts").alias("parts"))  # of the same exchange
+    hot = local.filter("parts > 1").groupBy("low", "high").agg(F.min("least").alias("overall"), F.max("parts").alias("parts"))
+    hot = hot.select("low", "high", "overall", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    own = rows.withColumn("least", F.min("id").over(Window.partitionBy(*window)))
+    first = F.coalesce("overall", "least")
+    return own.join(hot, window, "left").select("id", "row", "pos", first.alias("first")).filter("id > first")
 
 
-def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Remove every word that lies in a window of `length` words which also starts in a document with a smaller id.
 
-    Returns key, n_words, n_removed, text (kept words joined by one space), span_starts and span_ends (word positions
-    of the maximal removed repeats). Words are runs without white space, unchanged; windows are judged on the input.
-    Null texts count as empty; texts under `length` words lose nothing; a null key has no smaller or larger
-    documents; rows repeated with the same key and text get the same result and don't make each other repeats; other
-    columns are ignored. Windows are compared by 96 bits of two independent hashes under equal seeds."""
-    by_id, later = repeated_windows(df, length, anchor, key, text)
+    Returns key, n_words, n_removed, text (kept words joined by one space), and of each maximal removed repeat its word
+    positions in span_starts and span_ends and in span_firsts the smallest id that holds its first window. Words are
+    runs without white space, unchanged; windows are judged on the input. Null texts count as empty; texts under
+    `length` words lose nothing; an empty table gives none. Rows with a null key lose nothing and are no one's smaller
+    document. Rows of one key don't make each other repeats: repeated ones get the same result, several texts of a key
+    one each. Texts and single words may be of any length; other columns are ignored."""
+    kind = df.schema[key].dataType.simpleString()
+    docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select("id", F.xxhash64("text").alias("row"), "text")
+    keyed = docs.filter("id is not null")
+    shared = shared_anchors(keyed, length, anchor, hot)
+    by_id = keyed.repartition("id", "row")
+    later = repeated_windows(by_id, shared, length, anchor).groupBy("id", "row")
+    later = later.agg(F.sort_array(F.collect_set(F.struct("pos", "first"))).alias("r"))  # a set: rows may be repeated
+    later = later.select("id", "row", F.col("r.pos").alias("at"), F.col("r.first").alias("firsts"))
 
     def cut(cols: dict) -> Iterator[dict]:
-        out: dict[str, list] = {k: [] for k in ("id", "n_words", "n_removed", "text", "span_starts", "span_ends")}
-        for i, t, hashes, repeated in zip(cols["id"], cols["text"], _documents(cols["text"]), cols["repeated"]):
-            words = t.encode("utf-8", "surrogatepass").split()
-            step = np.zeros(len(words) + 1, np.int32)
-            if repeated:
-                own, low = np.sort(np.array(repeated, np.int64).view(np.uint64)), run_hashes(hashes, length, salt=2)
-                at = np.flatnonzero(own[np.minimum(np.searchsorted(own, low), len(own) - 1)] == low)
-                step[at] += 1
-                step[at + length] -= 1
-            gone = np.cumsum(step[:-1]) > 0
-            edge = np.diff(gone, prepend=False, append=False).nonzero()[0]
-            kept = b" ".join(np.array(words, object)[~gone]) if repeated else b" ".join(words)
-            for k, v in zip(out, (i, len(words), int(gone.sum()), kept.decode("utf-8", "replace"), edge[::2].tolist(), edge[1::2].tolist())):
+        out: dict[str, list] = {k: [] for k in ("id", "n_words", "n_removed", "text", "span_starts", "span_ends", "span_firsts")}
+        for i, raw, at, firsts in zip(cols["id"], encoded(cols["text"]), cols["at"], cols["firsts"]):
+            words = raw.split()
+            kept, n, starts, ends, holders = words, 0, [], [], []
+            if at:
+                at = np.array(at)
+                new = np.flatnonzero(np.diff(at, prepend=-length - 1) > length)  # windows that neither overlap nor adjoin
+                begin, end = at[new], np.append(at[new[1:] - 1], at[-1]) + length
+                kept, done = [], 0
+                for a, b in zip(begin.tolist(), end.tolist()):
+                    kept += words[done:a]
+                    done = b
+                kept += words[done:]
+                n, starts, ends, holders = int((end - begin).sum()), begin.tolist(), end.tolist(), [firsts[j] for j in new]
+            for k, v in zip(out, (i, len(words), n, b" ".join(kept).decode("utf-8", "surrogatepass"), starts, ends, holders)):
                 out[k].append(v)
         yield out
 
-    rows = by_id.join(later, "id", "left").select("id", "text", "repeated")
-    schema = "id long, n_words long, n_removed long, text string, span_starts array<int>, span_ends array<int>"
-    return arrow_map(rows, cut, schema).withColumnRenamed("id", key)
+    rows = by_id.join(later, ["id", "row"], "left").select("id", "text", "at", "firsts")
+    none = F.lit(None).cast("array<int>")
+    void = docs.filter("id is null").select("id", "text", none.alias("at"), none.cast("array<long>").alias("firsts"))
+    schema = "id long, n_words long, n_removed long, text string, span_starts array<int>, span_ends array<int>, span_firsts array<long>"
+    return arrow_map(rows.union(void), cut, schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", key)

@@ -13,6 +13,13 @@ PATTERNS = {
 }
 LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(30_000))
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+
+
+def thue_morse(n, a="a", b="b"):
+    """The first n letters of the word that polynomial hashes can't tell from its complement."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
 ODD = [
     (9_000_001, None), (9_000_002, ""), (9_000_003, " \t\n"), (9_000_004, "single"), (9_000_005, "two words"), (9_000_006, "Two WORDS"),
     (9_000_007, PASSAGE), (9_000_008, f"before {PASSAGE} after"), (9_000_009, f"{PASSAGE} {PASSAGE}"), (9_000_010, LONG), (9_000_011, LONG + " tail"),

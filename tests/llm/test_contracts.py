@@ -36,12 +36,16 @@ def clashing(spark):
 def test_substring(docs, rows):
     got = {r.doc_id: (r.n_words, r.n_removed, r.s) for r in substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("s")).collect()}
     assert got == brute.substring(rows)
+    hot = substring_dedup.remove_repeats(docs, hot=3).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("s"))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.s) for r in hot.collect()} == got
 
 
 def test_substring_spans(spark):
-    df = spark.createDataFrame([(1, brute.PASSAGE), (2, f"a b {brute.PASSAGE} c")], "doc_id long, text string")
-    out = {r.doc_id: r for r in substring_dedup.remove_repeats(df).collect()}
-    assert (out[2].span_starts, out[2].span_ends, out[2].text) == ([2], [17], "a b c") and out[1].n_removed == 0
+    df = spark.createDataFrame([(1, brute.PASSAGE), (2, f"a b {brute.PASSAGE} c"), (2, brute.PASSAGE), (2, f"a b {brute.PASSAGE} c"), (None, brute.PASSAGE)], "doc_id int, text string")
+    out = substring_dedup.remove_repeats(df).collect()
+    first, *two, void = sorted(out, key=lambda r: (r.doc_id is None, r.doc_id, len(r.text)))
+    assert (first.n_removed, void.n_removed, void.text) == (0, 0, brute.PASSAGE)
+    assert [(r.span_starts, r.span_ends, r.span_firsts, r.text) for r in two] == [([0], [15], [1], ""), ([2], [17], [1], "a b c"), ([2], [17], [1], "a b c")]
 
 
 def test_pii(docs, rows):
@@ -224,7 +228,7 @@ def test_exact(docs, rows):
 
 
 def test_near(docs, rows):
-    short = [(k, t) for k, t in rows if len(t or "") < 8000]
+    short = [(k, t) for k, t in rows if len(t or "") < 8000 or k > 9_000_023]
     some = docs.join(docs.sparkSession.createDataFrame([(k,) for k, _ in short], "doc_id long"), "doc_id")
     for n in (2, 5):
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_groups(some, shingle=n).collect()}
@@ -259,6 +263,25 @@ def test_residual_blocks(spark, monkeypatch):
     assert got == brute.near(data)
 
 
+def test_template(spark, monkeypatch):
+    """Documents on one template share many shingles but don't reach the similarity: few pairs of them are compared."""
+    import random
+
+    rng, asked, whole = random.Random(3), [], minhash.linked
+    template = [f"t{i}" for i in range(110)]
+    data = [(i, " ".join(template + [f"w{rng.randrange(50_000)}" for _ in range(40)])) for i in range(2000)]
+    data += [(5000 + i, data[i][1].replace("t50 t51", "u v")) for i in range(0, 2000, 400)]
+
+    def counted(edges, *rest):
+        asked.append(edges.count())
+        return whole(edges, *rest)
+
+    monkeypatch.setattr(minhash, "linked", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_groups(spark.createDataFrame(data, "doc_id long, text string"), shingle=2).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: k % 5000 for k, _ in data}
+    assert sum(asked) < 35 * len(data)  # each member has at most one centre in each of the 32 bands
+
+
 def test_quality(spark, sf_dir):
     from pyspark.sql import functions as F
 
