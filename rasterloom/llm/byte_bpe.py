@@ -8,8 +8,10 @@ import functools
 import hashlib
 import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from rasterloom.llm.common import arrow_map
@@ -29,6 +31,35 @@ def is_plain(text: str) -> bool:
     return text.isascii() or _PLAIN.fullmatch(text) is not None
 
 
+@functools.lru_cache(16)
+def members(escape: str) -> str:
+    """The characters that tiktoken's own tables put into a class such as \\p{L}, as ranges for a bracket expression."""
+    import tiktoken
+
+    every = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))))
+    single = tiktoken.Encoding(escape, pat_str=escape, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    points = np.frombuffer(bytes(single.encode_ordinary(every)).decode("utf-8").encode("utf-32-le"), "<u4").astype(np.int64)
+    first = np.flatnonzero(np.diff(points, prepend=-2) != 1)
+    last = np.append(first[1:], len(points)) - 1
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(points[first].tolist(), points[last].tolist()))
+
+
+def named_classes(pattern: str) -> str:
+    """The pattern with its character classes spelt out by tiktoken's tables, for the standard library's expressions."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        m = re.compile(r"\\[pP]\{\w+\}|\\[sSdDwW]").match(pattern, at)
+        if m:
+            out.append(members(m[0]) if inside else f"[{members(m[0])}]")
+            at = m.end()
+            continue
+        step = 2 if pattern[at] == "\\" else 1
+        inside = (inside or pattern[at] == "[") and pattern[at] != "]"
+        out.append(pattern[at : at + step])
+        at += step
+    return "".join(out)
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte: printable Latin-1 bytes for themselves, the rest from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -74,7 +105,6 @@ class ByteBpe:
 
     def __init__(self, path: str, pattern: str):
         import public_tokenizers
-        import regex
         from tokenizers.models import BPE
 
         ranks = read_ranks(path)
@@ -84,13 +114,20 @@ class ByteBpe:
         self.model = BPE({named(t): r for t, r in ranks.items()}, [(named(a), named(b)) for a, b in merges_of(ranks)])
         back = {c: b for b, c in enumerate(chars)}
         self.bytes_of = {r: bytes(back[c] for c in self.model.id_to_token(r)) for r in ranks.values()}
-        own = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).finditer
-        self._general = lambda text: [m[0] for m in own(text)]
+        self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for r, token in self.bytes_of.items():
+            self.lengths[r] = len(token)
+        self._pattern, self._general = pattern, None
         self._plain = re.compile(_PLAIN_PATTERN).findall if pattern == public_tokenizers.PATTERN else None
         self._cache = _Pieces(self._ids)
 
     def split(self, text: str) -> list[str]:
-        return self._plain(text) if self._plain and is_plain(text) else self._general(text)
+        """The matches of the pattern, as tiktoken's tables of characters give them."""
+        if self._plain and is_plain(text):
+            return self._plain(text)
+        if self._general is None:
+            self._general = re.compile(named_classes(self._pattern)).finditer
+        return [m[0] for m in self._general(text)]
 
     def _ids(self, piece: str) -> tuple[tuple[int, ...], str]:
         chars = piece.encode("utf-8").decode("latin-1").translate(self.table)
@@ -106,17 +143,13 @@ class ByteBpe:
     def encode(self, text: str | None) -> list[int]:
         return list(itertools.chain.from_iterable(i for i, _ in self.encoded(text)))
 
-    def offsets(self, ids: list[int]) -> list[tuple[int, int]]:
-        """Code-point start and end of each id; ids that share a character all span that whole character."""
-        at, out = 0, []  # at: bytes so far
-        data = b"".join(map(self.bytes_of.__getitem__, ids))
-        # the code point that each byte belongs to: lead bytes count, continuation bytes belong to the last lead
-        point = list(itertools.accumulate(int(b & 0xC0 != 0x80) for b in data))
-        for i in ids:
-            n = len(self.bytes_of[i])
-            out.append((point[at] - 1, point[at + n - 1]))
-            at += n
-        return out
+    def offsets(self, ids: list[int], data: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Code-point starts and ends of the ids; ids that share a character all span that whole character."""
+        sizes = self.lengths[np.array(ids, np.int64)]
+        ends = np.cumsum(sizes)
+        lead = np.frombuffer(self.decode_bytes(ids) if data is None else data, np.uint8) & 0xC0 != 0x80
+        point = np.cumsum(lead)  # the code point of each byte: lead bytes count, the others belong to the last lead
+        return point[ends - sizes] - 1, point[ends - 1]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -147,7 +180,7 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", path:
         bpe = byte_bpe(path, pattern)
         ids = [bpe.encode(t) for t in cols["text"]]
         spans = [bpe.offsets(i) if offsets else None for i in ids]
-        yield {"key": cols["key"], "ids": ids, "starts": [s and [a for a, _ in s] if s is not None else None for s in spans], "ends": [s and [b for _, b in s] if s is not None else None for s in spans]}
+        yield {"key": cols["key"], "ids": ids, "starts": [s and s[0] for s in spans], "ends": [s and s[1] for s in spans]}
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -169,20 +202,26 @@ def decode_column(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: st
 
 
 def round_trip_digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Encode every whole text, decode the ids again, and return counts and digests of both."""
+    """Encode every whole text, decode the ids again, and return counts and digests of both: key, n_tokens, ids_sha256,
+    decoded_sha256 and offsets_crc32 (unsigned; the code-point start and end of each id, little-endian 32 bits each).
+
+    Null and empty texts have no ids; repeated rows give repeated results; texts may be of any length; other columns are
+    ignored; an empty table gives none."""
     path, pattern = path or default_files()[0], pattern or default_files()[1]
 
     def step(cols: dict) -> Iterator[dict]:
         bpe = byte_bpe(path, pattern)
-        out: dict[str, list] = {"key": cols["key"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        out: dict[str, list] = {"key": cols["key"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "offsets_crc32": []}
         for t in cols["text"]:
             got = bpe.encoded(t)
             ids = list(itertools.chain.from_iterable(i for i, _ in got))
             out["n_tokens"].append(len(ids))
             out["ids_sha256"].append(hashlib.sha256(" ".join([s for _, s in got]).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
+            data = bpe.decode_bytes(ids)
+            out["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
+            out["offsets_crc32"].append(zlib.crc32(np.stack(bpe.offsets(ids, data), axis=1).astype("<u4").tobytes()))
         yield out
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return arrow_map(rows, step, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return arrow_map(rows, step, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_crc32 long").withColumnRenamed("key", key)

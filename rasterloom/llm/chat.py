@@ -101,7 +101,9 @@ def format_windows(df: DataFrame, budget: int = BUDGET, history_turns: int = HIS
     Returns per window: conv_id, window, text, repeated_turns (its first turns, taken from earlier windows),
     n_tokens, loss_starts and loss_ends (code points of the escaped target texts; repeated ones are left out).
     Turns are ordered by turn, then role and text; repeated rows are turns of their own; null roles and texts count
-    as empty, a null conv_id is a conversation; other columns are ignored. Rows are dealt out by conversation,
+    as empty, a null conv_id is a conversation; other columns are ignored, whatever their names; an empty table gives
+    no windows. Turns are never cut: a window of one new turn may exceed the budget, when the turn alone or together
+    with the system turn does; history never makes it. Rows are dealt out by conversation,
     sorted by Spark and streamed, so a task holds one window at a time however long a conversation is. Windows of a
     conversation leave a partition together and in order."""
     if tokenizer is None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,27 +29,59 @@ def identity(key: Column, text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; where the session names none, a temporary one on a local master only."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return _own_dir()
 
 
 @functools.cache
 def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-llm-")
+    path = tempfile.mkdtemp(prefix="spark-llm-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
+#: Folders that this process has written in a shared folder.
+_made: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    folder = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has written; DataFrames that read them are lost. Returns their number."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), len(_made)
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df does not use."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def arrow_map(df: DataFrame, step: Callable[[dict[str, list]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow whose step gets and yields columns as Python lists, for pieces of a bounded number of bytes.
 

@@ -31,3 +31,26 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small.select(F.col("m").alias("v"), "u"), "edges")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def merged(joined: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The components (node, component) that further edges a, b make of those given; only edges between two of them
+    take part in the rounds."""
+    if joined is None:
+        return written(components(edges), "components")
+    between = apart(edges, joined).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    between = written(between.distinct(), "between")
+    if between.isEmpty():
+        return joined
+    more = components(between)
+    onto = more.select(F.col("node").alias("component"), F.col("component").alias("onto"))
+    old = joined.join(onto, "component", "left").select("node", F.coalesce("onto", "component").alias("component"))
+    return written(old.union(more.join(joined, "node", "left_anti")), "components")
+
+
+def apart(edges: DataFrame, joined: DataFrame) -> DataFrame:
+    """The edges between two components, with component_a and component_b."""
+    for end in ("a", "b"):
+        own = joined.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
+        edges = edges.join(own, end, "left").withColumn(f"component_{end}", F.coalesce(f"component_{end}", end))
+    return edges.filter("component_a != component_b").select("a", "b", "component_a", "component_b")

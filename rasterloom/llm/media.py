@@ -94,7 +94,11 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    """The samples of a Netpbm or BMP file; ValueError for broken and unsupported ones."""
+    try:
+        return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    except (struct.error, IndexError) as e:
+        raise ValueError(f"broken image: {e}") from e
 
 
 def area_resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
@@ -164,6 +168,30 @@ def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", tiles:
     return made.withColumnRenamed("key", key)
 
 
+def decode_column(df: DataFrame, key: str = "doc_id", data: str = "data", side: int = 32) -> DataFrame:
+    """Decode a column of image files. Returns key, height, width, channels, tile (NPY of a side x side copy), dhash, error.
+
+    Null, empty, broken and unsupported files keep their row, with the reason in error and nulls beside it; repeated
+    rows give repeated results; other columns are ignored; an empty table gives none."""
+
+    def step(cols: dict) -> Iterator[dict]:
+        out: dict[str, list] = {k: [] for k in ("key", "height", "width", "channels", "tile", "dhash", "error")}
+        for k, raw in zip(cols["key"], cols["data"]):
+            row = (None,) * 5
+            try:
+                a, error = decode(raw or b""), None
+                row = (*a.shape[:2], a.shape[2] if a.ndim == 3 else 1, npy_tile(a, side), difference_hash(a))
+            except ValueError as e:
+                error = str(e)
+            for name, v in zip(out, (k, *row, error)):
+                out[name].append(v)
+        yield out
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.col(data).alias("data"))
+    return arrow_map(rows, step, f"key {kind}, height int, width int, channels int, tile binary, dhash string, error string").withColumnRenamed("key", key)
+
+
 def media_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """media_columns() with digests in place of the binary columns, taken in the task that reads the file back."""
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterloom.llm.common import arrow_map, identity, pieces as slices, schemas, written
-from rasterloom.llm.components import components
+from rasterloom.llm.components import apart, merged
 from rasterloom.llm.hashing import encoded, mix, run_hashes, texts_hashes
 
 #: 32 bands of 4 bins: a pair at similarity 0.8 shares no band with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -138,7 +138,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     Texts with equal shingle sets are one class from the start, so copies are never paired. Documents are linked when
     100 * intersection >= percent * union of their sets; a component is what links reach. Null, empty and blank texts
     have no shingles, no links and stay. key must be whole numbers; other columns are ignored. The method is meant for
-    percent >= 80; lower ones need more bands.
+    percent >= 80; lower ones need more bands. Texts and words may be of any length; an empty table gives none.
 
     Rows with a null key are linked like others and come after all keys: one is kept, with a null component_id, where
     its component has no key. Of one key with several texts in a component one row is kept; rows repeated with the same
@@ -170,10 +170,12 @@ def near_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
 
     # first each member with the centre that it meets most often, then the rest where it still joins components
     best = stars.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("less"))).alias("x")).select("a", (-F.col("x.less")).alias("b"))
-    links = written(linked(best, texts, shingle, percent), "links")
-    links = written(links.union(linked(_apart(stars.join(best, ["a", "b"], "left_anti"), components(links)), texts, shingle, percent)), "links")
-    joined = components(links)
-    joined = components(links.union(_residual(hits, texts, joined, shingle, percent)))
+    joined = merged(None, linked(best, texts, shingle, percent))
+    others = written(apart(stars.join(best, ["a", "b"], "left_anti"), joined).select("a", "b"), "others")
+    for pairs in (lambda: others, lambda: _residual(hits, texts, joined, shingle, percent)):
+        edges = pairs()
+        if not edges.isEmpty():
+            joined = merged(joined, linked(edges, texts, shingle, percent))
 
     first = nodes.select(F.col("node").alias("component"), F.col("id").alias("component_id"), F.col("row").alias("lead"))
     classes = reps.select("set_id", "id").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
@@ -185,20 +187,12 @@ def near_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
     )
 
 
-def _apart(edges: DataFrame, joined: DataFrame) -> DataFrame:
-    """The edges between two components."""
-    for end in ("a", "b"):
-        own = joined.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
-        edges = edges.join(own, end, "left").withColumn(f"component_{end}", F.coalesce(f"component_{end}", end))
-    return edges.filter("component_a != component_b").select("a", "b")
-
-
 def _residual(hits: DataFrame, texts: DataFrame, joined: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The links between different components among the documents of buckets that still hold several components.
+    """The pairs (a, b) that may link different components among the documents of buckets that still hold several.
 
     Shingles are ordered by how many of these documents hold them. Sets of n shingles that reach the similarity share
     one of the first n - ceil(n * percent / 100) + 1 of that order, so documents of a template, whose own words are the
-    rare ones, never meet. Pairs that meet there and can still reach the similarity by sizes and places are confirmed."""
+    rare ones, never meet. Pairs that meet there and can still reach the similarity by sizes and places remain to be confirmed."""
     member = hits.join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
     member = member.select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
@@ -231,4 +225,4 @@ def _residual(hits: DataFrame, texts: DataFrame, joined: DataFrame, shingle: int
     most = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     fits = (100 * small >= percent * large) & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
     pairs = pairs.filter((F.col("id_a") > F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits)
-    return linked(written(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs"), texts, shingle, percent)
+    return written(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")

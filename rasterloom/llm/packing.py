@@ -21,8 +21,6 @@ END = "\x00"
 #: engine in use; the dotted capital I, whose lower case is two characters, is left out.
 _PLAIN = "(?s)[\\x01-\\u012F\\u0131-\\u024F\\u2010-\\u2027\\u20AC]*+"
 _SPACES = "\\t-\\r \\x85\\xA0"
-#: Partly filled sequences that a task holds at most before it pours the fullest ones together.
-MAX_OPEN = 8192
 
 
 def marked(text: Column) -> Column:
@@ -70,13 +68,15 @@ def word_bpe(path: str) -> WordBpe:
 
 
 class SquarePacker:
-    """Sum-of-squares packing of one task's documents."""
+    """Sum-of-squares packing of one task's documents.
 
-    def __init__(self, task: int, size: int, max_open: int = MAX_OPEN):
-        self.size, self.next, self.max_open = size, task << 40, max_open
+    Every remainder of a document is placed by the rule, however many sequences are open; what the rule has left open
+    when the task ends is poured together."""
+
+    def __init__(self, task: int, size: int):
+        self.size, self.next = size, task << 40
         self.levels = np.zeros(size + 1, np.int64)  # partly filled sequences at each fill
         self.open: list[list[list]] = [[] for _ in range(size + 1)]  # their pieces
-        self.count = 0
         self.out: list[tuple] = []
 
     def add(self, doc, ids: np.ndarray) -> None:
@@ -87,9 +87,10 @@ class SquarePacker:
         if n > whole:
             self._place((doc, whole, ids[whole:].copy(), n))
 
-    def _place(self, piece: tuple) -> None:
-        s, levels = len(piece[2]), self.levels
-        top = self.size - s
+    def best_level(self, s: int) -> int:
+        """The level whose sequence a piece of s tokens joins, 0 for a new one: the least sum of squared counts of
+        partly filled sequences, of equal ones the fullest."""
+        levels, top = self.levels, self.size - s
         # change of the sum of squares when a sequence moves from level h to h + s; new and full ones don't count
         change = 2 * levels[s : self.size + 1] + 1
         change[top] = 0
@@ -97,62 +98,45 @@ class SquarePacker:
         usable = levels[: top + 1] > 0
         usable[0] = True
         change = np.where(usable, change, np.iinfo(np.int64).max)
-        best = change.min()
-        h = int(np.flatnonzero(change == best)[-1])  # of equal ones the fullest
+        return int(np.flatnonzero(change == change.min())[-1])
+
+    def _place(self, piece: tuple) -> None:
+        s = len(piece[2])
+        h = self.best_level(s)
         pieces = self.open[h].pop() if h else []
         if h:
-            levels[h] -= 1
-            self.count -= 1
+            self.levels[h] -= 1
         pieces.append(piece)
         if h + s == self.size:
             self._close(pieces)
         else:
             self.open[h + s].append(pieces)
-            levels[h + s] += 1
-            self.count += 1
-            if self.count > self.max_open:
-                self._pour(last=False)
+            self.levels[h + s] += 1
 
-    def _close(self, pieces: list[tuple]) -> None:
+    def _close(self, pieces: list[tuple], poured: bool = False) -> None:
         at = 0
         for doc, start, ids, total in pieces:
-            self.out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.next, at))
+            self.out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.next, at, poured))
             at += len(ids)
         self.next += 1
 
-    def _pour(self, last: bool) -> None:
-        """Cut what is left in partly filled sequences anew: full sequences, then a remainder in powers of two."""
+    def finish(self) -> None:
+        """Cut what partly filled sequences hold anew: full sequences, then a remainder in powers of two."""
         left = [p for level in reversed(self.open) for pieces in level for p in pieces]
         self.levels[:] = 0
         self.open = [[] for _ in range(self.size + 1)]
-        self.count = 0
         tokens = sum(len(p[2]) for p in left)
-        sizes = [self.size] * (tokens // self.size)
         rest = tokens % self.size
-        if last:
-            sizes += [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
-        pieces, filled = [], 0
-        sizes = iter(sizes)
-        goal = next(sizes, None)
+        sizes = iter([self.size] * (tokens // self.size) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1])
+        goal, pieces, filled = next(sizes, None), [], 0
         for doc, start, ids, total in left:
             while len(ids):
-                if goal is None:  # the remainder stays open
-                    pieces.append((doc, start, ids, total))
-                    filled += len(ids)
-                    break
                 take = min(goal - filled, len(ids))
                 pieces.append((doc, start, ids[:take], total))
                 start, ids, filled = start + take, ids[take:], filled + take
                 if filled == goal:
-                    self._close(pieces)
+                    self._close(pieces, poured=True)
                     pieces, filled, goal = [], 0, next(sizes, None)
-        if pieces:
-            self.open[filled].append(pieces)
-            self.levels[filled] += 1
-            self.count = 1
-
-    def finish(self) -> None:
-        self._pour(last=True)
 
     def take(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -160,12 +144,14 @@ class SquarePacker:
 
 
 def pack(df: DataFrame, path: str | None = None, size: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pack all documents. Returns a row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """Pack all documents. Returns a row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset
+    and poured (not placed by the rule).
 
     Each task packs its own input rows, so nothing is shuffled and a task that is run again gives the same rows.
     A document of more than `size` tokens fills sequences of its own, its remainder is placed by the rule. At the
-    end of a task the partly filled sequences are poured together and the last few tokens go to sequences of a
-    power of two, so none needs padding. Null and empty texts are the end id alone; repeated rows are packed each;
+    end of a task the sequences that the rule has left partly filled are poured together and the last few tokens go to
+    sequences of a power of two, so none needs padding; until then a task holds their ids, at most those of its input.
+    Null and empty texts are the end id alone; repeated rows are packed each;
     other columns are ignored; an empty table gives no pieces."""
     import public_tokenizers
     import pyarrow as pa
@@ -173,7 +159,7 @@ def pack(df: DataFrame, path: str | None = None, size: int = 2048, end_id: int =
 
     path = path or public_tokenizers.path("word_bpe_49k.json")
     kind = df.schema[key].dataType.simpleString()
-    schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, poured boolean"
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("words", marked(F.col("text"))).withColumn("text", F.when(F.col("words").isNull(), F.col("text")))
     out_schema, arrow = schemas(schema)

@@ -58,12 +58,11 @@ RATIOS = {
 FEATURES = ["n_chars", "n_words", "symbols", "doubled_words", *RATIOS]
 
 
-def features(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns of keep, and the features of each whole text (null: empty)."""
-    body = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    counted = body.select(*keep, *(c.alias(f"__{k}") for k, c in statistics(F.col("__text")).items()))
-    ratios = {k: F.col(f"__{a}") / F.greatest(F.col(f"__{b}"), F.lit(1.0)) for k, (a, b) in RATIOS.items()}
-    return counted.select(*keep, *(ratios.get(k, F.col(f"__{k}")).alias(k) for k in FEATURES))
+def features(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns of keep, and the features of each whole text of rows (columns of keep, and body)."""
+    counted = rows.select(*keep, *(c.alias(f"count_{k}") for k, c in statistics(F.col("body")).items()))
+    ratios = {k: F.col(f"count_{a}") / F.greatest(F.col(f"count_{b}"), F.lit(1.0)) for k, (a, b) in RATIOS.items()}
+    return counted.select(*keep, *(ratios.get(k, F.col(f"count_{k}")).alias(f"x_{k}") for k in FEATURES))
 
 
 @dataclass
@@ -76,7 +75,7 @@ class RuleModel:
 
     def column(self) -> Column:
         """The model as a Spark expression over the features."""
-        test = {"<=": lambda f, v: F.col(f) <= F.lit(v), ">": lambda f, v: F.col(f) > F.lit(v)}
+        test = {"<=": lambda f, v: F.col(f"x_{f}") <= F.lit(v), ">": lambda f, v: F.col(f"x_{f}") > F.lit(v)}
         held = [F.when(reduce(lambda a, b: a & b, [test[o](f, v) for f, o, v in rule]), F.lit(w)).otherwise(F.lit(0.0)) for rule, w in self.rules]
         margin = reduce(lambda a, b: a + b, held, F.lit(self.intercept))
         return 1 / (1 + F.exp(-margin))
@@ -170,21 +169,24 @@ def held_out(key: Column) -> Column:
 
 
 def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", max_rows: int = MAX_LABELLED) -> RuleModel:
-    """Fit on at most max_rows labelled rows that aren't held out. stats: key and features."""
-    own = labels.select(F.col(key), F.col("quality").cast("double").alias("__y")).filter(F.col("__y").isin(0.0, 1.0) & F.coalesce(~held_out(F.col(key)), F.lit(False)))
-    rows = stats.join(own, key).orderBy(F.xxhash64(key), *FEATURES).limit(max_rows).select("__y", *FEATURES).toPandas()
-    return fit(rows[FEATURES].to_numpy(np.float64), rows["__y"].to_numpy(np.float64))
+    """Fit on at most max_rows labelled rows that aren't held out. stats: key and features; labels: their key, quality."""
+    own = labels.select(F.col(key).alias("key"), F.col("quality").cast("double").alias("y")).filter(F.col("y").isin(0.0, 1.0) & F.coalesce(~held_out(F.col("key")), F.lit(False)))
+    inputs = [f"x_{k}" for k in FEATURES]
+    rows = stats.join(own, "key").orderBy(F.xxhash64("key"), *inputs).limit(max_rows).select("y", *inputs).toPandas()
+    return fit(rows[inputs].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
 
 
 def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_LABELLED, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of df: key, held_out, score (0 to 1), predicted (1 from THRESHOLD on), and the columns of keep.
 
     labels (key, quality) serve the fit only. Null and empty texts are scored like any other, by features of no
-    words; repeated rows are scored each; a null key is held out of the fit; other columns are ignored. Without
-    labelled rows, or with one label only, all scores are the same."""
-    stats = written(features(df.withColumnRenamed(key, "__key"), ["__key", *keep], text).withColumnRenamed("__key", key), "statistics")
-    model = train(stats, labels, key, max_rows)
-    score = model.column()
-    out = stats.select(F.col(key), F.coalesce(held_out(F.col(key)), F.lit(True)).alias("held_out"), score.alias("score"), *keep)
+    words; texts may be of any length; repeated rows are scored each, equal ones alike; a null key is held out of the
+    fit; other columns are ignored, whatever their names; an empty table gives none. Without labelled rows, or with one
+    label only, all scores are the same."""
+    named = {"key": key} | {f"keep_{i}": c for i, c in enumerate(keep)}
+    rows = df.select(*(F.col(c).alias(n) for n, c in named.items()), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    stats = written(features(rows, list(named)), "statistics")
+    score = train(stats, labels, key, max_rows).column()
+    out = stats.select(*named, F.coalesce(held_out(F.col("key")), F.lit(True)).alias("held_out"), score.alias("score"))
     out = out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
-    return out.select(key, "held_out", "score", "predicted", *keep)
+    return out.select(F.col("key").alias(key), "held_out", "score", "predicted", *(F.col(n).alias(c) for n, c in named.items() if n != "key"))

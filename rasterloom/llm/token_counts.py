@@ -6,13 +6,12 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rasterloom.llm.byte_bpe import is_plain, read_ranks
-from rasterloom.llm.common import arrow_map, shared_dir, written
+from rasterloom.llm.common import arrow_map, new_path, written
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: The rank file that holds the same vocabulary as a .json file.
@@ -69,7 +68,7 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
 
 def new_cache(spark: SparkSession) -> str:
     """An empty cache table in the shared folder."""
-    path = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-cache")
     spark.createDataFrame([], CACHE_SCHEMA).write.parquet(path)
     return path
 
@@ -78,7 +77,7 @@ def count_tokens(df: DataFrame, cache: str, path: str, key: str = "doc_id", text
     """Count the tokens of every whole text. Returns key, n_bytes, n_tokens; cache grows by what was missing.
 
     Null texts count as empty; repeated rows and equal texts are encoded once; other columns are ignored; key may
-    be null or repeated. The texts themselves are shuffled at most once, and only those of missing contents."""
+    be null or repeated; texts may be of any length; an empty table gives none and adds nothing to the cache. The texts themselves are shuffled at most once, and only those of missing contents."""
     spark, version = df.sparkSession, tokenizer_digest(path)
     docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = docs.select("key", content_digest(F.col("text")).alias("content_digest"), F.octet_length("text").cast("long").alias("n_bytes"))

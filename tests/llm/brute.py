@@ -104,3 +104,20 @@ def near(rows, n=2, percent=80):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     return {k: (len(s), find(k), find(k) == k) for k, s in sets.items()}
+
+
+def quality_features(text):
+    """The classifier's features, counted plainly."""
+    import regex
+
+    words, lines = WORD.findall(text), text.split("\n")
+    n, w, rows = len(text), max(len(words), 1), max(len(lines), 1)
+    upper = len(regex.findall(r"(?<!\p{L})\p{Lu}{2,}+", text))
+    symbols = sum(text.count(c) for c in "#%&$*=<>{}^~\\@_|")
+    return {
+        "n_chars": n, "n_words": len(words), "symbols": symbols, "doubled_words": sum(a == b for a, b in zip(words, words[1:])),
+        "distinct_word_share": len(set(words)) / w, "doubled_word_share": sum(a == b for a, b in zip(words, words[1:])) / w, "upper_word_share": upper / w,
+        "bar_share": text.count("|") / w, "symbol_share": symbols / w, "exclaim_share": text.count("!!") / w, "digit_share": len(re.findall("[0-9]", text)) / max(n, 1),
+        "stop_share": len(re.findall(r"[.?!](?=[\x20\x09-\x0D]|\Z)", text)) / w, "comma_share": text.count(",") / w, "distinct_line_share": len(set(lines)) / rows,
+        "chars_per_word": n / w, "words_per_line": len(words) / rows,
+    }

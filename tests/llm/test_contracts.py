@@ -173,6 +173,75 @@ def test_media(docs, rows):
     assert tile.tile[:6] == b"\x93NUMPY" and bytes(media.decode(bytes(tile.media)).tobytes()) == bytes(tile.payload)
 
 
+def test_image_formats():
+    """All Netpbm kinds, 16-bit samples and BMP layouts, each against bytes written by hand."""
+    import numpy as np
+
+    a = np.arange(15, dtype=np.uint8).reshape(3, 5) * 17
+    rgb = np.stack([a, 255 - a, a // 2], axis=2)
+    bits = a > 100
+    assert (media.decode(b"P1\n# c\n5 3\n" + b" ".join(str(int(b)).encode() for b in bits.ravel())) == np.where(bits, 0, 255)).all()
+    assert (media.decode(b"P2 5 3 #x\n255\n" + b" ".join(str(v).encode() for v in a.ravel())) == a).all()
+    assert (media.decode(b"P3\n5 3\n255\n" + b" ".join(str(v).encode() for v in rgb.ravel())) == rgb).all()
+    assert (media.decode(b"P4\n5 3\n" + np.packbits(bits, axis=1).tobytes()) == np.where(bits, 0, 255)).all()
+    assert (media.decode(media.encode_pgm(a)) == a).all() and (media.decode(media.encode_ppm(rgb)) == rgb).all()
+    wide = a.astype(">u2") * 257
+    assert (media.decode(b"P5\n5 3\n65535\n" + wide.tobytes()) == wide).all()
+    assert (media.decode(media.encode_bmp(a)) == a).all() and (media.decode(media.encode_bmp(rgb)) == rgb).all()
+
+    def bmp(height, depth, body, palette=b"", packed=0):
+        import struct
+
+        start = 54 + len(palette)
+        return struct.pack("<2sIHHI", b"BM", start + len(body), 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, 5, height, 1, depth, packed, len(body), 0, 0, len(palette) // 4, 0) + palette + body
+
+    four = np.concatenate([rgb[:, :, ::-1], np.zeros((3, 5, 1), np.uint8)], axis=2)
+    assert (media.decode(bmp(-3, 32, four.tobytes())) == rgb).all() and (media.decode(bmp(3, 32, four[::-1].tobytes())) == rgb).all()
+    colours = np.array([[10, 20, 30], [40, 50, 60], [70, 80, 90]], np.uint8)
+    index = (a % 3).astype(np.uint8)
+    palette = b"".join(bytes((*c[::-1], 0)) for c in colours.tolist())
+    assert (media.decode(bmp(-3, 8, np.pad(index, ((0, 0), (0, 3))).tobytes(), palette)) == colours[index]).all()
+    for broken in (b"", b"P9 1 1", b"P5\n5 3\n255\nab", b"BMxx", bmp(3, 1, b"")):
+        with pytest.raises(ValueError):
+            media.decode(broken)
+
+
+def test_area_resize():
+    """Against the mean over each cell's exact area, summed pixel by pixel."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for h, w, out_h, out_w in ((7, 11, 3, 4), (5, 5, 8, 9), (1, 64, 8, 9), (40, 3, 32, 32)):
+        a = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        want = np.zeros((out_h, out_w))
+        for i in range(out_h):
+            for j in range(out_w):
+                top, low, left, right = i * h / out_h, (i + 1) * h / out_h, j * w / out_w, (j + 1) * w / out_w
+                for r in range(h):
+                    for c in range(w):
+                        share = max(0, min(low, r + 1) - max(top, r)) * max(0, min(right, c + 1) - max(left, c))
+                        want[i, j] += a[r, c] * share / ((low - top) * (right - left))
+        assert np.allclose(media.area_resize(a, out_h, out_w), want)
+        small = media.area_resize(a, 8, 9)
+        bits = "".join(str(int(small[i, j + 1] > small[i, j])) for i in range(8) for j in range(8))
+        assert media.difference_hash(a) == f"{int(bits, 2):016x}"
+        import io
+
+        tile = np.load(io.BytesIO(media.npy_tile(a)))
+        assert tile.shape == (32, 32) and np.abs(tile - media.area_resize(a, 32, 32)).max() <= 0.5
+
+
+def test_decoded_column(spark):
+    """Broken files give an error text, not a failed job."""
+    import numpy as np
+
+    good = media.encode_ppm(np.zeros((4, 6, 3), np.uint8))
+    df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"P5\n9")), (3, None), (4, bytearray())], "id long, data binary")
+    got = {r.id: r for r in media.decode_column(df, "id", "data").collect()}
+    assert (got[1].height, got[1].width, got[1].channels, got[1].error) == (4, 6, 3, None) and got[1].tile[:6] == b"\x93NUMPY"
+    assert all(got[i].height is None and got[i].error for i in (2, 3, 4))
+
+
 def test_packing(docs, rows):
     import numpy as np
     from tokenizers import Tokenizer
@@ -197,19 +266,39 @@ def test_packing(docs, rows):
         assert at == len(ids)
 
 
-def test_packer_pours():
+def test_packer_rule():
+    """Each placement is the one that a plain search over all levels finds; what is left open is poured without padding."""
+    import random
+
     import numpy as np
 
-    p = packing.SquarePacker(0, 64, max_open=3)
-    for i in range(500):
-        p.add(i, np.arange(1 + i * 37 % 150, dtype=np.uint32))
+    size, rng = 64, random.Random(2)
+    p, counts = packing.SquarePacker(0, size), {}
+    for i in range(3000):
+        n = rng.choice((rng.randint(1, size - 1), rng.randint(1, 20), 33, 40))
+        tried = []
+        for h in (0, *(h for h in counts if h + n <= size)):
+            after = dict(counts)
+            if h:
+                after[h] -= 1
+            if h + n < size:
+                after[h + n] = after.get(h + n, 0) + 1
+            tried.append((sum(v * v for v in after.values()), -h, {k: v for k, v in after.items() if v}))
+        _, h, counts = min(tried, key=lambda t: t[:2])
+        assert p.best_level(n) == -h
+        p.add(i, np.arange(n, dtype=np.uint32))
+        assert {k: v for k, v in enumerate(p.levels.tolist()) if v} == counts
+    assert sum(map(len, p.open)) == sum(counts.values())
     p.finish()
-    out = p.take()
-    assert sum(r[2] for r in out) == sum(1 + i * 37 % 150 for i in range(500))
-    fill = {}
+    out, fill = p.take(), {}
     for r in out:
         fill[r[5]] = fill.get(r[5], 0) + r[2]
-    assert all(n == 64 or n & (n - 1) == 0 for n in fill.values())
+    assert all(n == size or n & (n - 1) == 0 for n in fill.values()) and any(r[7] for r in out) and not all(r[7] for r in out)
+    lengths = {}
+    for r in sorted(out, key=lambda r: (r[0], r[1])):
+        assert r[1] == lengths.get(r[0], 0)
+        lengths[r[0]] = r[1] + r[2]
+    assert len(lengths) == 3000
 
 
 def test_token_counts(spark, docs, rows):
@@ -239,19 +328,36 @@ def test_byte_bpe(docs, rows):
     for k, t in rows:
         ids = own.encode_ordinary(t or "")
         assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(t or "")), k
+    texts = dict(rows)
     for r in byte_bpe.encode_column(docs.filter("doc_id > 9000010")).collect():
-        t = dict(rows)[r.doc_id] or ""
-        if len(t) < 1000:  # an id's characters are those its bytes touch
-            at = 0
-            for i, a, b in zip(r.ids, r.starts, r.ends):
-                n = len(own.decode_single_token_bytes(i))
-                chars = t.encode()[at : at + n]
-                assert t[a:b].encode().find(chars) >= 0
-                at += n
+        t, at, want = texts[r.doc_id] or "", 0, []
+        chars = [i for i, c in enumerate(t) for _ in c.encode()]  # the character of each byte
+        for i in r.ids:
+            n = len(own.decode_single_token_bytes(i))
+            want.append((chars[at], chars[at + n - 1] + 1))
+            at += n
+        assert list(zip(r.starts, r.ends)) == want
+        assert got[r.doc_id].offsets_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for pair in want for x in pair))
     back = byte_bpe.decode_column(byte_bpe.encode_column(docs, offsets=False))
     assert {r.doc_id: r.text for r in back.collect()} == {k: t or "" for k, t in rows}
 
 
+def test_byte_bpe_classes():
+    """Texts of all planes are split by the tables of the library that the contract names."""
+    import random
+
+    import tiktoken
+
+    path, pattern = byte_bpe.default_files()
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    bpe, rng = byte_bpe.byte_bpe(path, pattern), random.Random(1)
+    point = lambda: chr(rng.choice((rng.randrange(0x20, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x110000), rng.randrange(0x1F000, 0x40000))))
+    texts = ["".join(rng.choice((point(), point(), " ", "'s", "'ll", "\n", "a1")) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    texts += [f"{chr(c)}'s {chr(c)}{chr(c)}'ll x{chr(c)}9" for c in (0x326CC, 0x3D39A, 0x3E7D7, 0x323B0, 0x1E4D0)]
+    assert all(bpe.encode(t) == own.encode_ordinary(t) for t in texts)
+    assert byte_bpe.named_classes(r"a[^\s\p{N}]\S") .count("[") == 2
+
+
 def test_chat(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     odd = [(-1, 0, "system", "be <brief>"), *((-1, i, ("user", "assistant")[i % 2 == 0], f"turn {i} " + "word " * (60 + 60 * (i % 4))) for i in range(1, 19)), (-2, 0, None, None), (-2, 0, None, None), (-3, 0, "assistant", "x\\" * 3000), (None, None, "user", "who")]
@@ -344,6 +450,24 @@ def test_quality(spark, sf_dir):
     assert both > 0.95
 
 
+def test_quality_plainly(docs, rows, spark, sf_dir):
+    """Every score is what the model gives for statistics that plain Python counts."""
+    import numpy as np
+
+    labels = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/labels.parquet")
+    stats = quality.features(docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("body")), ["key"]).cache()
+    own = [(k, t or "") for k, t in rows]
+    plain = {k: brute.quality_features(t) for k, t in own}
+    for r in stats.collect():
+        for name in quality.FEATURES:
+            assert abs(r[f"x_{name}"] - plain[r.key][name]) < 1e-9, (r.key, name)
+    model = quality.train(stats, labels)
+    want = 1 / (1 + np.exp(-model.margin(np.array([[plain[k][f] for f in quality.FEATURES] for k, _ in own]))))
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.score_quality(docs, labels).collect()}
+    for (k, _), y in zip(own, want):
+        assert abs(got[k][0] - y) < 1e-9 and got[k][1] == int(got[k][0] >= 0.3)
+
+
 def test_rules_agree(spark):
     import numpy as np
 
@@ -351,7 +475,7 @@ def test_rules_agree(spark):
     x = rng.random((600, len(quality.FEATURES)))
     y = ((x[:, 0] > 0.5) & (x[:, 4] <= 0.7)).astype(float)
     model = quality.fit(x, y, trees=10)
-    df = spark.createDataFrame(x.tolist(), quality.FEATURES)
+    df = spark.createDataFrame(x.tolist(), [f"x_{k}" for k in quality.FEATURES])
     got = [r.s for r in df.select(model.column().alias("s")).collect()]
     want = 1 / (1 + np.exp(-model.margin(x)))
     assert np.allclose(sorted(got), sorted(want)) and ((want >= 0.5) == (y == 1)).mean() > 0.97
@@ -370,7 +494,12 @@ def test_tables(spark, case):
     }
     assert {k: v.count() for k, v in made.items()} == dict.fromkeys(made, n)
     assert packing.pack(df).count() >= n
+    own = df.filter("doc_id = 5").select("doc_id", "text").first()
     if case == "clash":
+        packed = packing.pack(df).collect()
+        assert sum(r.length for r in packed if r.doc_id == 5) == 2 * [r.doc_tokens for r in packed if r.doc_id == 5][0] and own
+        chats = spark.createDataFrame([(1, 0, "user", "hi", 5, "x"), (1, 1, "assistant", "yo", 5, "x"), (None, 0, "user", None, 5, "x")], "conv_id long, turn int, role string, text string, window int, key string")
+        assert {(r.conv_id, r.n_turns, r.loss_chars) for r in chat.read_back(chat.format_windows(chats)).collect()} == {(1, 2, 2), (None, 1, 0)}
         assert made["redact"].columns == df.columns
         assert {r.n_phone for r in made["pii"].collect() if r.doc_id == 5} == {1} and made["substring"].agg(F.sum("n_removed")).first()[0] == 0
     else:

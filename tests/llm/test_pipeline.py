@@ -64,6 +64,7 @@ def test_pii_stage(steps):
     docs, made = steps["pii"]
     before, after = dict(texts(docs)), dict(texts(made))
     assert before.keys() == after.keys()
+    assert any("[SECRET]" in (t or "") for t in after.values()) == any("token = " in (t or "").lower() for t in before.values())
     touched = {r.id for r in pii.find_spans(docs).select("id").distinct().collect()}
     assert {k for k in before if before[k] != after[k]} == touched and touched
     assert {k for k, t in before.items() if brute.base_spans(t)} <= touched
@@ -116,14 +117,30 @@ def test_repeated_rows(spark, sf_dir, steps, monkeypatch):
 
 
 @pytest.mark.parametrize("case", ["empty", "nulls"])
-def test_odd_tables(spark, sf_dir, steps, case):
-    """Stages on an empty table, and on rows of nulls, repeated rows and clashing columns."""
+def test_odd_tables(spark, sf_dir, steps, case, monkeypatch):
+    """Exact rows of each stage on an empty table, and on rows of nulls, repeated rows and clashing columns."""
     schema = steps["quality"][0].schema
-    row = (7, "the same text in a repeated row, call +15551234567 now.", "en", "s", 54)
-    data = [] if case == "empty" else [(None, None, None, None, None), (None, "text without a key", None, None, None), row, row, (8, None, None, None, None)]
-    docs = spark.createDataFrame(data, schema).withColumns({"id": F.lit(1), "kept": F.lit("x"), "row": F.lit(2), "component_id": F.lit(3)})
+    row, good = (7, "the same text in a repeated row, call +15551234567 now."), "text without a key"
+    rows = [] if case == "empty" else [(None, None), (None, good), row, row, (8, None), (9, ""), (10, "rejected one")]
+    names = ("cuts", "__id", "__row", "__key", "__text", "__y", "id", "kept", "row", "component_id", "key", "body", "row_identity", "whole", "set_id", "keep_0", "start", "parts")
+    docs = spark.createDataFrame([(k, t, "en", "s", None) for k, t in rows], schema).withColumns({n: F.lit(n) for n in names})
+
+    def scored(df, *inputs, **kept):
+        return df.select(*kept["keep"], F.when(F.col("text") == "rejected one", 0).otherwise(1).alias("predicted"))
+
+    whole = quality.score_quality
+    assert whole(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=("__key", "__y")).count() == len(rows)
+    monkeypatch.setattr(quality, "score_quality", scored)
+    masked = "the same text in a repeated row, call [PHONE] now."
+    want = {
+        "quality": [r for r in rows if r[0] != 10], "exact_dedup": [(None, None), (None, good), row], "near_dedup": [(None, None), (None, good), row],
+        "pii": [(None, None), (None, good), (7, masked)],
+    }
     for name, stage in corpus_pipeline.STAGES:
         made = corpus_pipeline.written(stage(spark, docs, sf_dir), name)
-        assert name == "packing" or made.dtypes == docs.dtypes
+        if name != "packing":
+            assert made.dtypes == docs.dtypes
+            assert sorted(texts(made), key=str) == sorted(want[name] if rows else [], key=str), name
+            assert all(r[n] == n for r in made.collect() for n in names)
         docs = made
-    assert (docs.count() > 0) == (case != "empty")
+    assert {r.doc_id for r in docs.collect()} == ({None, 7} if rows else set())
