@@ -20,8 +20,8 @@ from rasterloom.llm.hashing import encoded, mix, run_hashes, texts_hashes
 
 #: 32 bands of 4 bins: a pair at similarity 0.8 shares no band with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8.
 BINS, ROWS = 128, 4
-#: Members of a star, or rows of a shingle, that one group compares.
-BLOCK = 1024
+#: Members of a star, and rows of a shingle, that one group compares.
+STAR, BLOCK = 128, 1024
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -107,9 +107,9 @@ class _Centre:
 def linked(edges: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The edges (a, b) whose full shingle sets reach the similarity. texts: id, text of all that occur in edges.
 
-    Members a go to their centre b, whose text comes first and is read once for BLOCK members or so; a centre of more
+    Members a go to their centre b, whose text comes first and is read once for STAR members or so; a centre of more
     is dealt to several groups."""
-    sizes = edges.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    sizes = edges.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     members = edges.select("a", "b").join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"), F.col("a").alias("id"))
     centres = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"), F.col("b").alias("id"))
     rows = members.union(centres).join(texts.select("id", "text"), "id").repartition("b", "part").sortWithinPartitions("b", "part", "member")

@@ -412,6 +412,7 @@ def test_near_null_keys(spark):
 
 def test_residual_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "STAR", 2)
     words = [f"t{i}" for i in range(200)]
     data = [(i, " ".join(words[i : i + 50])) for i in range(60)]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_groups(spark.createDataFrame(data, "doc_id long, text string"), shingle=2).collect()}
