@@ -1,7 +1,9 @@
 """Substring dedup, seed and extend: documents meet on winnowed anchors, each place of an anchor that several documents
-hold is extended to both sides to the windows around it, and adjoining windows merge to maximal repeats.
+hold is extended to both sides to the windows around it, and adjoining windows merge to maximal repeats. A whole copy of
+a document with a smaller id is one repeat from the start.
 
-Two windows are equal when the 128-bit BLAKE2b digests of their words are; the fast hashes only choose the anchors."""
+Two windows are equal when the 128-bit BLAKE2b digests of their words are, two texts when their SHA-256 digests are; the
+fast hashes only choose the anchors."""
 
 from __future__ import annotations
 
@@ -18,6 +20,9 @@ from rasterloom.llm.hashing import encoded, run_hashes, texts_hashes
 ANCHOR = 5
 #: Documents of an anchor that one task compares; the windows of a hotter anchor are dealt to several.
 HOT = 20_000
+#: Documents of the sample that tells the hottest anchors, in how many of them an anchor is hot, how many anchors are
+#: told at most, and parts that their rows are dealt to. These only spread the work; results don't depend on them.
+SAMPLE, OFTEN, HOTTEST, SALTS = 20_000, 20, 65_536, 64
 
 
 def seeds(words: np.ndarray, length: int, anchor: int) -> np.ndarray:
@@ -50,22 +55,50 @@ def window_digests(raw: bytes, starts: np.ndarray, length: int) -> np.ndarray:
     return np.frombuffer(b"".join(made), "<i8").reshape(-1, 2)
 
 
+def _anchors(docs: DataFrame, length: int, anchor: int, hottest: dict[int, int]) -> DataFrame:
+    """(id, row, anchor, parts): the anchors of each document, with the parts of the hottest, 0 for others."""
+    known = np.array(sorted(hottest), np.int64)
+    dealt = np.array([hottest[k] for k in known.tolist()] or [0], np.int32)
+
+    def step(cols: dict) -> Iterator[dict]:
+        held = [np.unique(seeds(w, length, anchor)).view(np.int64) for w in _hashed(encoded(cols["text"]))]
+        parts = []
+        for h in held:
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            parts.append(np.where(known[at] == h, dealt[at], 0) if len(known) else np.zeros(len(h), np.int32))
+        yield {"id": cols["id"], "row": cols["row"], "anchors": held, "parts": parts}
+
+    made = arrow_map(docs, step, "id long, row long, anchors array<long>, parts array<int>")
+    return made.select("id", "row", F.explode(F.arrays_zip("anchors", "parts")).alias("a")).select("id", "row", F.col("a.anchors").alias("anchor"), F.col("a.parts").alias("parts"))
+
+
+def hottest_anchors(docs: DataFrame, length: int, anchor: int, hot: int) -> dict[int, int]:
+    """The anchors that are frequent in a bounded sample of documents, and the parts that their windows are dealt to."""
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("id", "row"), F.lit(every)) == 0)
+    often = _anchors(some, length, anchor, {}).groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    rows = often.orderBy(F.desc("n"), "anchor").limit(HOTTEST).collect()
+    return {r.anchor: max(1, -(-r.n * every // hot)) for r in rows}
+
+
 def shared_anchors(docs: DataFrame, length: int, anchor: int, hot: int) -> DataFrame:
-    """For each document (id, row) that holds anchors of several documents: those, and in how many parts their windows
-    are dealt out. docs: id, row, text."""
-
-    def anchors(cols: dict) -> Iterator[dict]:
-        yield {"id": cols["id"], "row": cols["row"], "anchors": [np.unique(seeds(w, length, anchor)).view(np.int64) for w in _hashed(encoded(cols["text"]))]}
-
-    held = arrow_map(docs, anchors, "id long, row long, anchors array<long>").select("id", "row", F.explode("anchors").alias("anchor"))
-    held = written(held, "anchors")
-    # counted with partial aggregation and written, so that the join may split a hot anchor's rows
-    shared = held.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    shared = written(shared.select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "shared")
-    lists = held.join(shared, "anchor").groupBy("id", "row").agg(F.collect_set(F.struct("anchor", "parts")).alias("a"))
+    """For each document (id, row) that holds anchors of several: those, and in how many parts their windows are dealt
+    out. docs: id, row, text. The hottest anchors are known to be shared, so their rows needn't meet."""
+    held = _anchors(docs, length, anchor, hottest_anchors(docs, length, anchor, hot))
+    salt = F.when(F.col("parts") > 0, F.pmod(F.xxhash64("id", "row"), F.lit(SALTS))).otherwise(0)
+    n = F.count("*").over(Window.partitionBy("anchor", "salt"))
+    shared = held.withColumn("salt", salt).withColumn("n", n).filter("n > 1 or parts > 0")
+    lists = shared.groupBy("id", "row").agg(F.collect_set(F.struct("anchor", F.greatest("parts", F.lit(1)).alias("parts"))).alias("a"))
     return lists.select("id", "row", F.col("a.anchor").alias("anchors"), F.col("a.parts").alias("parts"))
 
 
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """(id, row, first) of the documents whose whole text a smaller id has, too, the smallest being first."""
+    told = docs.select("id", "row", F.unhex(F.sha2("text", 256)).alias("digest"))
+    first = written(told.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last"), "copies")
+    return written(told.join(first, "digest").filter("id > first").select("id", "row", "first").distinct(), "copies")
+
+
 def repeated_windows(by_id: DataFrame, shared: DataFrame, length: int, anchor: int) -> DataFrame:
     """(id, row, pos, first): the windows whose words also start in a document with a smaller id, the smallest being first."""
 
@@ -88,20 +121,21 @@ def repeated_windows(by_id: DataFrame, shared: DataFrame, length: int, anchor: i
     texts = by_id.join(shared, ["id", "row"]).select("id", "row", "text", "anchors", "parts")
     seen = arrow_map(texts, windows, "low long, high long, id long, row long, pos int, parts int")
     window = ["low", "high", "salt"]
-    rows = seen.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).repartition(*window)
-    local = rows.groupBy(*window).agg(F.min("id").alias("least"), F.max("parts").alias("parts"))  # of the same exchange
-    hot = local.filter("parts > 1").groupBy("low", "high").agg(F.min("least").alias("overall"), F.max("parts").alias("parts"))
+    rows = seen.filter("low is not null and high is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).repartition(*window)
+    # both branches read all columns and the filter stands above both, so that they share the exchange of rows
+    local = rows.groupBy(*window).agg(F.min("id").alias("least"), F.max("parts").alias("parts"), F.max("row").alias("row"), F.max("pos").alias("pos"))
+    hot = local.filter("parts > 1 and row is not null and pos is not null").groupBy("low", "high").agg(F.min("least").alias("overall"), F.max("parts").alias("parts"))
     hot = hot.select("low", "high", "overall", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    own = rows.withColumn("least", F.min("id").over(Window.partitionBy(*window)))
-    first = F.coalesce("overall", "least")
-    return own.join(hot, window, "left").select("id", "row", "pos", first.alias("first")).filter("id > first")
+    own = rows.withColumn("least", F.min("id").over(Window.partitionBy(*window))).join(hot, window, "left")
+    first = F.when(F.col("parts") > 1, F.col("overall")).otherwise(F.col("least"))
+    return own.select("id", "row", "pos", first.alias("first")).filter("id > first")
 
 
 def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Remove every word that lies in a window of `length` words which also starts in a document with a smaller id.
 
     Returns key, n_words, n_removed, text (kept words joined by one space), and of each maximal removed repeat its word
-    positions in span_starts and span_ends and in span_firsts the smallest id that holds its first window. Words are
+    positions in span_starts and span_ends and in span_firsts a smaller id that holds its first window. Words are
     runs without white space, unchanged; windows are judged on the input. Null texts count as empty; texts under
     `length` words lose nothing; an empty table gives none. Rows with a null key lose nothing and are no one's smaller
     document. Rows of one key don't make each other repeats: repeated ones get the same result, several texts of a key
@@ -110,7 +144,8 @@ def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: s
     docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.select("id", F.xxhash64("text").alias("row"), "text")
     keyed = docs.filter("id is not null")
-    shared = shared_anchors(keyed, length, anchor, hot)
+    copies = whole_copies(keyed)
+    shared = shared_anchors(keyed, length, anchor, hot).join(copies, ["id", "row"], "left_anti")
     by_id = keyed.repartition("id", "row")
     later = repeated_windows(by_id, shared, length, anchor).groupBy("id", "row")
     later = later.agg(F.sort_array(F.collect_set(F.struct("pos", "first"))).alias("r"))  # a set: rows may be repeated
@@ -118,10 +153,12 @@ def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: s
 
     def cut(cols: dict) -> Iterator[dict]:
         out: dict[str, list] = {k: [] for k in ("id", "n_words", "n_removed", "text", "span_starts", "span_ends", "span_firsts")}
-        for i, raw, at, firsts in zip(cols["id"], encoded(cols["text"]), cols["at"], cols["firsts"]):
+        for i, raw, at, firsts, whole in zip(cols["id"], encoded(cols["text"]), cols["at"], cols["firsts"], cols["whole"]):
             words = raw.split()
             kept, n, starts, ends, holders = words, 0, [], [], []
-            if at:
+            if whole is not None and len(words) >= length:
+                kept, n, starts, ends, holders = [], len(words), [0], [len(words)], [whole]
+            elif at:
                 at = np.array(at)
                 new = np.flatnonzero(np.diff(at, prepend=-length - 1) > length)  # windows that neither overlap nor adjoin
                 begin, end = at[new], np.append(at[new[1:] - 1], at[-1]) + length
@@ -135,8 +172,8 @@ def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: s
                 out[k].append(v)
         yield out
 
-    rows = by_id.join(later, ["id", "row"], "left").select("id", "text", "at", "firsts")
+    rows = by_id.join(later, ["id", "row"], "left").join(copies, ["id", "row"], "left").select("id", "text", "at", "firsts", F.col("first").alias("whole"))
     none = F.lit(None).cast("array<int>")
-    void = docs.filter("id is null").select("id", "text", none.alias("at"), none.cast("array<long>").alias("firsts"))
+    void = docs.filter("id is null").select("id", "text", none.alias("at"), none.cast("array<long>").alias("firsts"), F.lit(None).cast("long").alias("whole"))
     schema = "id long, n_words long, n_removed long, text string, span_starts array<int>, span_ends array<int>, span_firsts array<long>"
     return arrow_map(rows.union(void), cut, schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", key)

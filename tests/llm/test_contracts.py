@@ -33,9 +33,10 @@ def clashing(spark):
     return spark.createDataFrame(data, "doc_id long, text string, n long, id string, kept int").withColumns({c: F.lit(1) for c in ("start", "body", "row", "signature", "key", "words", "n_bytes", "name", "__text", "component", "cuts", "__id", "__row", "__key", "__y", "whole", "own", "own_row", "at", "parts", "member", "n_chars", "score")})
 
 
-def test_substring(docs, rows):
+def test_substring(docs, rows, monkeypatch):
     got = {r.doc_id: (r.n_words, r.n_removed, r.s) for r in substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("s")).collect()}
     assert got == brute.substring(rows)
+    monkeypatch.setattr(substring_dedup, "OFTEN", 3)
     hot = substring_dedup.remove_repeats(docs, hot=3).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("s"))
     assert {r.doc_id: (r.n_words, r.n_removed, r.s) for r in hot.collect()} == got
 
@@ -43,7 +44,7 @@ def test_substring(docs, rows):
 def test_substring_spans(spark):
     df = spark.createDataFrame([(1, brute.PASSAGE), (2, f"a b {brute.PASSAGE} c"), (2, brute.PASSAGE), (2, f"a b {brute.PASSAGE} c"), (None, brute.PASSAGE)], "doc_id int, text string")
     out = substring_dedup.remove_repeats(df).collect()
-    first, *two, void = sorted(out, key=lambda r: (r.doc_id is None, r.doc_id, len(r.text)))
+    first, *two, void = sorted(out, key=lambda r: (r.doc_id is None, r.doc_id or 0, len(r.text)))
     assert (first.n_removed, void.n_removed, void.text) == (0, 0, brute.PASSAGE)
     assert [(r.span_starts, r.span_ends, r.span_firsts, r.text) for r in two] == [([0], [15], [1], ""), ([2], [17], [1], "a b c"), ([2], [17], [1], "a b c")]
 
