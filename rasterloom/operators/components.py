@@ -1,7 +1,12 @@
-"""Connected components of runs: blob_id is the smallest linear index in the component."""
+"""Connected components of runs: blob_id is the smallest linear index in the component.
+
+Runs are cut at the borders of tiles, each tile is labelled by a task of its own, and only what touches a border goes on
+to the rounds of joins that merge labels over tiles. An image may have any number of tiles."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -10,71 +15,125 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rasterloom.operators.runs import adjacent_runs, runs_of_pixels
+from rasterloom.operators.runs import runs_of_pixels, touching
 
-#: Up to so many runs an image is labelled inside one group; larger ones by joins.
-GROUP_RUNS = 500_000
+#: Rows and columns of the tiles in which runs are labelled side by side.
+TILE = (128, 256)
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where the session names none, a temporary one on a local master only."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else _own_folder()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_folder()
 
 
 @cache
 def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-raster-")
+    path = tempfile.mkdtemp(prefix="spark-raster-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
+#: Folders that this process has written in a shared folder.
+_made: list[str] = []
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write a step to the shared folder and read it back."""
     path = f"{shared_folder(df.sparkSession)}/raster-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def label_runs(runs: DataFrame, connectivity: int = 4, tile: int | None = None, group_runs: int = GROUP_RUNS) -> DataFrame:
-    """(image_id, run_id, blob_id) for every run."""
-    edges = adjacent_runs(runs, connectivity, tile)
-    most = runs.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
-    if most <= group_runs:
-        return _label_in_groups(runs, edges)
-    return _label_by_joins(runs, edges)
-
-
-def _label_in_groups(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    def label(key, links: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(links["a"].to_numpy())  # every run has a link to itself
-        a, b = np.searchsorted(ids, links["a"].to_numpy()), np.searchsorted(ids, links["b"].to_numpy())
-        lab = np.arange(len(ids))
+def forget(spark: SparkSession) -> int:
+    """Delete the steps that this process has written; DataFrames that read them are lost. Returns their number."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), len(_made)
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+def label_runs(runs: DataFrame, connectivity: int = 4, tile: tuple[int, int] = TILE, merge: bool = True) -> DataFrame:
+    """(image_id, run_id, blob_id) for every run. Runs jobs when called.
+
+    tile: rows and columns of the tiles. Without merge, runs end at tiles and components too."""
+    pieces = _labelled_pieces(runs, connectivity, tile)
+    if not merge:
+        return pieces.select("image_id", "run_id", F.col("local").alias("blob_id"))
+    pieces = written(pieces)
+    roots = merged_labels(_border_links(pieces, connectivity, tile))
+    first = pieces.filter("piece = run_id").select("image_id", "run_id", "local")
+    return first.join(roots, ["image_id", "local"], "left").select("image_id", "run_id", F.coalesce("root", "local").alias("blob_id"))
+
+
+def _labelled_pieces(runs: DataFrame, connectivity: int, tile: tuple[int, int]) -> DataFrame:
+    """Runs cut at tiles: image_id, run_id, piece (linear index of its first pixel), r, s, e, local (the smallest piece of
+    its component inside the tile)."""
+    reach, width = int(connectivity == 8), tile[1]
+    cut = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
+    left, right = F.greatest(F.col("s"), F.col("block") * width), F.least(F.col("e"), F.col("block") * width + width - 1)
+    cut = cut.select("image_id", F.floor(F.col("r") / tile[0]).alias("strip"), "block", "run_id", (F.col("run_id") + left - F.col("s")).alias("piece"), "r", left.alias("s"), right.alias("e"))
+
+    def label(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("piece")
+        wide = width + 4  # columns of a tile with room for the reach
+        r, s, e = ((rows[c] - o).to_numpy(np.int64) for c, o in (("r", key[1] * tile[0]), ("s", key[2] * width - 2), ("e", key[2] * width - 2)))
+        low = np.searchsorted(r * wide + e, (r + 1) * wide + s - reach)  # runs of the next row that end behind this one's start
+        high = np.searchsorted(r * wide + s, (r + 1) * wide + e + reach, side="right")
+        n = np.maximum(high - low, 0)
+        a = np.repeat(np.arange(len(r)), n)
+        b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        lab = np.arange(len(r))
         while len(a):  # hook the larger root under the smaller, then shorten all paths
             la, lb = lab[a], lab[b]
             live = la != lb
-            if not live.any():
-                break
             a, b = a[live], b[live]
             np.minimum.at(lab, np.maximum(la, lb)[live], np.minimum(la, lb)[live])
             while (lab[lab] != lab).any():
                 lab = lab[lab]
-        return pd.DataFrame({"image_id": key[0], "run_id": ids, "blob_id": ids[lab]})
+        return rows.assign(local=rows["piece"].to_numpy()[lab])[["image_id", "run_id", "piece", "r", "s", "e", "local"]]
+
+    return cut.groupBy("image_id", "strip", "block").applyInPandas(label, "image_id long, run_id long, piece long, r long, s long, e long, local long")
+
 
-    links = edges.union(runs.select("image_id", F.col("run_id").alias("a"), F.col("run_id").alias("b")))
-    return links.groupBy("image_id").applyInPandas(label, "image_id long, run_id long, blob_id long")
+def _border_links(pieces: DataFrame, connectivity: int, tile: tuple[int, int]) -> DataFrame:
+    """(image_id, a, b): labels of pieces that touch over the border of a tile."""
+    rows, columns = tile
+    on = (F.col("r") % rows).isin(0, rows - 1) | (F.col("s") % columns == 0) | ((F.col("e") + 1) % columns == 0)
+    border = pieces.filter(on)
+    place = lambda r, s: F.struct(F.floor(F.col(r) / rows), F.floor(F.col(s) / columns))
+    over = touching(border, connectivity, ["local"]).filter(place("r_a", "s_a") != place("r_b", "s_b")).select("image_id", F.col("local_a").alias("a"), F.col("local_b").alias("b"))
+    after = border.select("image_id", "run_id", (F.col("piece") + F.col("e") - F.col("s") + 1).alias("piece"), F.col("local").alias("a"))
+    along = after.join(border.select("image_id", "run_id", "piece", F.col("local").alias("b")), ["image_id", "run_id", "piece"]).select("image_id", "a", "b")
+    return over.union(along).filter("a != b").distinct()
 
 
-def _label_by_joins(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Minimum label over neighbours with pointer jumping, a written table per round."""
-    both = written(edges.union(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = written(runs.select("image_id", "run_id", F.col("run_id").alias("blob_id")))
+def merged_labels(links: DataFrame) -> DataFrame:
+    """(image_id, local, root): the smallest label that links reach, for labels with a link to another.
+
+    Alternating large-star and small-star steps, a written table a round; a hot label is pre-aggregated."""
+    now, before = written(links.select("image_id", F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()), None
+
+    def with_least(pairs: DataFrame) -> DataFrame:
+        least = pairs.groupBy("image_id", "u").agg(F.min("v").alias("m")).select("image_id", "u", F.least("u", "m").alias("m"))
+        return pairs.join(least, ["image_id", "u"])
+
     while True:
-        own = labels.select("image_id", F.col("run_id").alias("b"), F.col("blob_id").alias("near"))
-        least = both.join(own, ["image_id", "b"]).groupBy("image_id", F.col("a").alias("run_id")).agg(F.min("near").alias("near"))
-        step = labels.join(least, ["image_id", "run_id"], "left").select("image_id", "run_id", F.least("blob_id", "near").alias("aim"), F.col("blob_id").alias("old"))
-        jump = labels.select("image_id", F.col("run_id").alias("aim"), F.col("blob_id").alias("root"))
-        after = written(step.join(jump, ["image_id", "aim"]).select("image_id", "run_id", F.col("root").alias("blob_id"), (F.col("root") != F.col("old")).alias("changed")))
-        labels = after.drop("changed")
-        if not after.filter("changed").limit(1).count():
-            return labels
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("image_id", "u", "v").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            break
+        before = state
+        both = now.select("image_id", "u", "v").union(now.select("image_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        large = with_least(both).filter("v > u").select("image_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = with_least(large)
+        now = written(small.select("image_id", "u", "m").union(small.select("image_id", "v", "m")).filter("u != m").select("image_id", "u", F.col("m").alias("v")).distinct())
+    return now.select("image_id", F.col("u").alias("local"), F.col("v").alias("root"))
 
 
 def blob_table(runs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -94,17 +153,34 @@ def labelled_pixels(runs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def ordinals(table: DataFrame) -> DataFrame:
-    """object_id 1..n of each image's blobs in scan order, which is the order of blob_id."""
-    return table.withColumn("object_id", F.row_number().over(Window.partitionBy("image_id").orderBy("blob_id")))
+    """object_id 1..n of each image's blobs in scan order, which is the order of blob_id.
+
+    The rows are dealt out by ranges and numbered inside each; a small table adds what lies before a range. Runs a job."""
+    at = ["image_id", "blob_id"]
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(table.repartitionByRange(n, *at).withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy("image_id", "range").agg(F.count("*").alias("held"))
+    ahead = F.sum("held").over(Window.partitionBy("image_id").orderBy("range")) - F.col("held")
+    inside = F.row_number().over(Window.partitionBy("image_id", "range").orderBy("blob_id"))
+    numbered = ranged.withColumn("inside", inside).join(counts.select("image_id", "range", ahead.alias("ahead")), ["image_id", "range"])
+    return numbered.withColumn("object_id", (F.col("ahead") + F.col("inside")).cast("int")).select(*table.columns, "object_id")
 
 
 def objects(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """object_id with its points in scan order."""
+    """object_id with its points in scan order: a row as large as its blob; object_summary() needs none of them."""
     ids = ordinals(labels.select("image_id", "blob_id").distinct())
     points = labelled_pixels(runs, labels).groupBy("image_id", "blob_id").agg(F.array_sort(F.collect_list(F.struct("r", "c"))).alias("points"))
     return points.join(ids, ["image_id", "blob_id"])
 
 
+def object_summary(runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """image_id, object_id, blob_id, number of points, column of the first and row of the last point in scan order."""
+    per = runs.join(labels, ["image_id", "run_id"]).groupBy("image_id", "blob_id").agg(
+        F.sum(F.col("e") - F.col("s") + 1).alias("points"), F.min(F.struct("r", "s")).alias("first"), F.max("r").alias("last_r")
+    )
+    return ordinals(per).select("image_id", "object_id", "blob_id", "points", F.col("first.s").alias("first_c"), "last_r")
+
+
 def components_with_seeds(expansion: DataFrame, seeds: DataFrame, width: int, connectivity: int = 4) -> DataFrame:
     """Blobs of the expansion and seed pixels together that hold a seed: for variants whose two predicates differ."""
     runs = runs_of_pixels(expansion.union(seeds).distinct(), width)

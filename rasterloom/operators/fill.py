@@ -1,17 +1,17 @@
-"""Seeded fill: breadth-first levels, the visited ring, iterations and work distribution."""
+"""Seeded fill: the blobs that hold a seed, breadth-first levels, the visited ring, iterations and work distribution."""
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rasterloom.operators.components import label_runs, labelled_pixels, written
+from rasterloom.operators.components import TILE, label_runs, written
 from rasterloom.operators.runs import runs_of_pixels
 
 OFFSETS = {4: [(1, 0), (-1, 0), (0, 1), (0, -1)], 8: [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]}
-#: Up to so many pixels a fill runs inside one group.
-GROUP_PIXELS = 1_000_000
 
 
 def first_foreground(pixels: DataFrame) -> DataFrame:
@@ -19,62 +19,86 @@ def first_foreground(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg(F.min(F.struct("r", "c")).alias("p")).select("image_id", "p.r", "p.c")
 
 
-def seed_blobs(pixels: DataFrame, seeds: DataFrame, width: int, connectivity: int) -> DataFrame:
-    """The pixels of the blobs that hold a seed; a seed on background fills nothing."""
-    runs = runs_of_pixels(pixels, width)
+def first_of_runs(runs: DataFrame) -> DataFrame:
+    """The first pixel of each image in row-major order, from its runs."""
+    return runs.groupBy("image_id").agg(F.min(F.struct("r", "s")).alias("p")).select("image_id", "p.r", F.col("p.s").alias("c"))
+
+
+def seeded_runs(runs: DataFrame, seeds: DataFrame, connectivity: int) -> DataFrame:
+    """The runs of the blobs whose runs hold a seed (image_id, r, c); a seed on background fills nothing."""
     labels = label_runs(runs, connectivity)
-    marks = seeds.select("image_id", F.col("r").alias("r_seed"), F.col("c").alias("c_seed"))
-    hit = runs.join(labels, ["image_id", "run_id"]).join(marks, "image_id").filter("r = r_seed and c_seed between s and e").select("image_id", "blob_id").distinct()
-    return labelled_pixels(runs, labels).join(hit, ["image_id", "blob_id"], "left_semi").select("image_id", "r", "c")
-
-
-def levels(blob: DataFrame, seeds: DataFrame, connectivity: int = 8, group_pixels: int = GROUP_PIXELS) -> DataFrame:
-    """(image_id, r, c, level): geodesic distance of each reached pixel from its image's seed."""
-    most = blob.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
-    return _levels_in_groups(blob, seeds, connectivity) if most <= group_pixels else _levels_by_joins(blob, seeds, connectivity)
-
-
-def _levels_in_groups(blob: DataFrame, seeds: DataFrame, connectivity: int) -> DataFrame:
-    steps = np.array(OFFSETS[connectivity])
-
-    def spread(key, rows: pd.DataFrame) -> pd.DataFrame:
-        body, start = rows[~rows["seed"]], rows[rows["seed"]]
-        out = pd.DataFrame({"image_id": [], "r": [], "c": [], "level": []}, dtype="int64")
-        if body.empty or start.empty:
-            return out
-        at = np.array([body["r"].min() - 1, body["c"].min() - 1])
-        far = np.full((body["r"].max() - at[0] + 2, body["c"].max() - at[1] + 2), -2, np.int64)
-        far[body["r"] - at[0], body["c"] - at[1]] = -1
-        now, level = start[["r", "c"]].to_numpy() - at, 0
-        inside = ((now >= 0) & (now < far.shape)).all(axis=1)
-        now = now[inside]
-        now = now[far[now[:, 0], now[:, 1]] == -1]
-        while len(now):
-            far[now[:, 0], now[:, 1]] = level
-            near = (now[:, None, :] + steps[None]).reshape(-1, 2)
-            near = near[far[near[:, 0], near[:, 1]] == -1]
-            now, level = np.unique(near, axis=0), level + 1
-        r, c = np.nonzero(far >= 0)
-        return pd.DataFrame({"image_id": key[0], "r": r + at[0], "c": c + at[1], "level": far[r, c]})
-
-    at = ("image_id", "r", "c")
-    rows = blob.select(*at, F.lit(False).alias("seed")).union(seeds.select(*at, F.lit(True).alias("seed")))
-    return rows.groupBy("image_id").applyInPandas(spread, "image_id long, r long, c long, level long")
-
-
-def _levels_by_joins(blob: DataFrame, seeds: DataFrame, connectivity: int) -> DataFrame:
-    """One round of joins a level: neighbours of the frontier that are in the blob and were not reached."""
-    at = ["image_id", "r", "c"]
-    front = written(seeds.select(*at).join(blob, at, "left_semi").distinct().withColumn("level", F.lit(0).cast("long")))
-    seen, last = front, front.drop("level").limit(0)
-    while front.limit(1).count():
-        move = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in OFFSETS[connectivity]]))
-        near = front.select(*at, "level", move.alias("m")).select("image_id", (F.col("r") + F.col("m.i")).alias("r"), (F.col("c") + F.col("m.j")).alias("c"), (F.col("level") + 1).alias("level"))
-        ahead = near.dropDuplicates(at).join(blob, at, "left_semi").join(front.union(last.withColumn("level", F.lit(0).cast("long"))), at, "left_anti")
-        last = front.drop("level")  # a neighbour of level k is of level k - 1, k or k + 1
-        front = written(ahead)
-        seen = seen.union(front)
-    return seen
+    held = runs.join(seeds.select("image_id", "r", "c"), ["image_id", "r"]).filter("c between s and e").select("image_id", "run_id")
+    hit = labels.join(held, ["image_id", "run_id"], "left_semi").select("image_id", "blob_id").distinct()
+    return runs.join(labels.join(hit, ["image_id", "blob_id"], "left_semi").select("image_id", "run_id"), ["image_id", "run_id"]).select(*runs.columns)
+
+
+def pixels_of_runs(runs: DataFrame) -> DataFrame:
+    return runs.select("image_id", "r", F.explode(F.sequence("s", "e")).alias("c"))
+
+
+def seed_blobs(pixels: DataFrame, seeds: DataFrame, width: int, connectivity: int) -> DataFrame:
+    """The pixels of the blobs that hold a seed."""
+    return pixels_of_runs(seeded_runs(runs_of_pixels(pixels, width), seeds, connectivity))
+
+
+def levels(blob: DataFrame, seeds: DataFrame, connectivity: int = 8, tile: tuple[int, int] = TILE) -> DataFrame:
+    """(image_id, r, c, level): geodesic distance of each reached pixel from its image's nearest seed. Runs jobs when called.
+
+    Each round spreads levels inside the tiles that new ones have entered, a group a tile, and hands what leaves them to
+    the neighbours; it ends when nothing leaves that is nearer than what is known. Rounds follow the number of tiles on
+    the longest of the shortest paths, not its pixels."""
+    at, where = ["image_id", "r", "c"], ["image_id", "strip", "block"]
+    placed = lambda df: df.withColumns({"strip": F.floor(F.col("r") / tile[0]), "block": F.floor(F.col("c") / tile[1])})
+    steps = OFFSETS[connectivity]
+
+    def spread(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        body, entries = rows[~rows["entry"]], rows[rows["entry"]]
+        r0, c0 = key[1] * tile[0] - 1, key[2] * tile[1] - 1  # a frame of background around the tile
+        far = np.full((tile[0] + 2, tile[1] + 2), -1, np.int64)
+        r, c = body["r"].to_numpy() - r0, body["c"].to_numpy() - c0
+        unknown = 1 << 52
+        known = body["level"].fillna(unknown).astype("int64").to_numpy()
+        far[r, c] = known
+        waiting: dict[int, list] = {}
+        for i, j, level in zip(entries["r"].to_numpy() - r0, entries["c"].to_numpy() - c0, entries["level"].to_numpy().astype(np.int64)):
+            if far[i, j] > level:
+                far[i, j] = level
+                waiting.setdefault(int(level), []).append((i, j))
+        due = list(waiting)
+        heapq.heapify(due)
+        while due:  # all places of one level at once, the lowest first
+            level = heapq.heappop(due)
+            now = np.array(waiting.pop(level))
+            now = now[far[now[:, 0], now[:, 1]] == level]
+            near = (now[:, None, :] + np.array(steps)[None]).reshape(-1, 2)
+            near = np.unique(near[far[near[:, 0], near[:, 1]] > level + 1], axis=0)
+            if len(near):
+                far[near[:, 0], near[:, 1]] = level + 1
+                if level + 1 not in waiting:
+                    heapq.heappush(due, level + 1)
+                waiting.setdefault(level + 1, []).extend(map(tuple, near))
+        got = far[r, c]
+        out = body.assign(level=pd.array(np.where(got == unknown, -1, got), "Int64"), fresh=got < known).drop(columns="entry")
+        out.loc[out["level"] < 0, "level"] = pd.NA
+        return out[["image_id", "strip", "block", "r", "c", "level", "fresh"]]
+
+    schema = "image_id long, strip long, block long, r long, c long, level long, fresh boolean"
+    state = written(placed(blob.select(*at).distinct()).select(*where, "r", "c", F.lit(None).cast("long").alias("level")))
+    entries = placed(seeds.select(*at).distinct()).select(*where, "r", "c", F.lit(0).cast("long").alias("level"))
+    entries = written(entries.join(state.select(*at), at, "left_semi"))
+    while not entries.isEmpty():
+        tiles = entries.select(*where).distinct()
+        rows = state.join(tiles, where, "left_semi").withColumn("entry", F.lit(False)).unionByName(entries.withColumn("entry", F.lit(True)))
+        made = written(rows.groupBy(*where).applyInPandas(spread, schema))
+        edge = (F.col("r") % tile[0]).isin(0, tile[0] - 1) | (F.col("c") % tile[1]).isin(0, tile[1] - 1)
+        move = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps]))
+        out = made.filter(F.col("fresh") & edge).select(*where, "r", "c", "level", move.alias("m"))
+        out = out.select("image_id", F.col("strip").alias("s0"), F.col("block").alias("b0"), (F.col("r") + F.col("m.i")).alias("r"), (F.col("c") + F.col("m.j")).alias("c"), (F.col("level") + 1).alias("level"))
+        out = placed(out).filter((F.col("s0") != F.col("strip")) | (F.col("b0") != F.col("block"))).groupBy(*where, "r", "c").agg(F.min("level").alias("level"))
+        state = written(state.join(tiles, where, "left_anti").unionByName(made.drop("fresh")))
+        known = state.select(*where, "r", "c", F.col("level").alias("known"))
+        entries = written(out.join(known, [*where, "r", "c"]).filter("known is null or known > level").select(*where, "r", "c", "level"))
+    return state.filter("level is not null").select(*at, "level")
 
 
 def frontier_sizes(reached: DataFrame) -> DataFrame:
@@ -86,19 +110,31 @@ def checked_iterations(deepest: Column, check_every: int = 50, limit: int = 1_00
     return F.least(F.lit(limit), (F.ceil((deepest + 1) / check_every) * check_every)).cast("long")
 
 
-def visited_ring(filled: DataFrame, height: int, width: int) -> DataFrame:
-    """The filled pixels with their 8-neighbours on the canvas."""
-    move = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in [(0, 0), *OFFSETS[8]]]))
-    near = filled.select("image_id", "r", "c", move.alias("m")).select("image_id", (F.col("r") + F.col("m.i")).alias("r"), (F.col("c") + F.col("m.j")).alias("c"))
-    return near.filter(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)).distinct()
+def _covered(parts: DataFrame) -> DataFrame:
+    """Stretches (image_id, r, s, e, weight) of constant summed weight, of weighted stretches (image_id, r, s, e, weight)."""
+    ends = parts.select("image_id", "r", F.col("s").alias("c"), "weight").union(parts.select("image_id", "r", F.col("e") + 1, -F.col("weight")))
+    steps = ends.groupBy("image_id", "r", "c").agg(F.sum("weight").alias("step"))
+    row = Window.partitionBy("image_id", "r").orderBy("c")
+    return steps.select("image_id", "r", F.col("c").alias("s"), (F.lead("c").over(row) - 1).alias("e"), F.sum("step").over(row).alias("weight")).filter("weight > 0")
+
+
+def _in_three_rows(runs: DataFrame, grow: int) -> DataFrame:
+    """Each run in its own row and the two beside it, longer by `grow` at both ends."""
+    wide = runs.select("image_id", "r", (F.col("s") - grow).alias("s"), (F.col("e") + grow).alias("e")).filter("s <= e")
+    return wide.select("image_id", F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1)).alias("r"), "s", "e", F.lit(1).alias("weight"))
+
+
+def visited_ring(runs: DataFrame, height: int, width: int) -> DataFrame:
+    """The pixels of the runs with their 8-neighbours on the canvas: runs are grown, merged and only then spelt out."""
+    grown = _in_three_rows(runs, 1).withColumns({"s": F.greatest(F.lit(0), F.col("s")), "e": F.least(F.lit(width - 1), F.col("e"))})
+    return pixels_of_runs(_covered(grown.filter(F.col("r").between(0, height - 1))))
 
 
-def edge_pixels(pixels: DataFrame) -> DataFrame:
-    """Foreground pixels with an 8-neighbour that is off the canvas or background."""
-    move = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in [(0, 0), *OFFSETS[8]]]))
-    near = pixels.select("image_id", "r", "c", move.alias("m"))
-    votes = near.select("image_id", (F.col("r") + F.col("m.i")).alias("r"), (F.col("c") + F.col("m.j")).alias("c"), ((F.col("m.i") == 0) & (F.col("m.j") == 0)).cast("int").alias("own"))
-    return votes.groupBy("image_id", "r", "c").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("own = 1 and n < 9").select("image_id", "r", "c")
+def edge_pixels(runs: DataFrame) -> DataFrame:
+    """Foreground pixels with an 8-neighbour that is off the canvas or background: those not under shortened runs of all
+    three rows."""
+    own = runs.select("image_id", "r", "s", "e", F.lit(10).alias("weight"))
+    return pixels_of_runs(_covered(_in_three_rows(runs, -1).union(own)).filter("weight between 10 and 12"))
 
 
 def slice_plan(sizes: DataFrame, workers: int) -> DataFrame:

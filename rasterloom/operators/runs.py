@@ -1,4 +1,4 @@
-"""Pixels to runs, and adjacency of runs in neighbouring rows."""
+"""Pixels to runs, and runs that touch in neighbouring rows."""
 
 from __future__ import annotations
 
@@ -17,14 +17,16 @@ def runs_of_pixels(pixels: DataFrame, width: int, tile: int | None = None) -> Da
     return runs.select("image_id", (F.col("r").cast("long") * width + F.col("s")).alias("run_id"), "r", "s", "e")
 
 
-def adjacent_runs(runs: DataFrame, connectivity: int = 4, tile: int | None = None) -> DataFrame:
-    """Pairs (image_id, a, b) of runs that touch in neighbouring rows; 8-connectivity also touches at corners."""
+def touching(runs: DataFrame, connectivity: int, carried: list[str]) -> DataFrame:
+    """Pairs of runs that touch in neighbouring rows, the upper as r_a, s_a, e_a, the lower as r_b, s_b, e_b, each with the
+    carried columns; 8-connectivity also touches at corners. A pair may occur once for each block that both reach."""
     reach = 1 if connectivity == 8 else 0
-    block = F.explode(F.sequence(F.floor((F.col("s") - reach) / BLOCK), F.floor((F.col("e") + reach) / BLOCK)))
-    cut = runs.withColumn("block", block)
-    upper = cut.select("image_id", "block", (F.col("r") + 1).alias("r"), F.col("run_id").alias("a"), F.col("s").alias("s_a"), F.col("e").alias("e_a"))
-    lower = cut.select("image_id", "block", "r", F.col("run_id").alias("b"), "s", "e")
-    touch = (F.col("s_a") <= F.col("e") + reach) & (F.col("s") <= F.col("e_a") + reach)
-    if tile:
-        touch = touch & (F.floor((F.col("r") - 1) / tile) == F.floor(F.col("r") / tile)) & (F.floor(F.col("s_a") / tile) == F.floor(F.col("s") / tile))
-    return upper.join(lower, ["image_id", "block", "r"]).filter(touch).select("image_id", "a", "b").distinct()
+    cut = runs.withColumn("block", F.explode(F.sequence(F.floor((F.col("s") - reach) / BLOCK), F.floor((F.col("e") + reach) / BLOCK))))
+    side = lambda n, row: cut.select("image_id", "block", row.alias("row"), *(F.col(c).alias(f"{c}_{n}") for c in ("r", "s", "e", *carried)))
+    near = (F.col("s_a") <= F.col("e_b") + reach) & (F.col("s_b") <= F.col("e_a") + reach)
+    return side("a", F.col("r") + 1).join(side("b", F.col("r")), ["image_id", "block", "row"]).filter(near)
+
+
+def adjacent_runs(runs: DataFrame, connectivity: int = 4) -> DataFrame:
+    """Pairs (image_id, a, b) of runs that touch in neighbouring rows."""
+    return touching(runs, connectivity, ["run_id"]).select("image_id", F.col("run_id_a").alias("a"), F.col("run_id_b").alias("b")).distinct()

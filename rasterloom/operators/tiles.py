@@ -39,4 +39,4 @@ def boundary_pixels(pixels: DataFrame, size: int = TIERS[0]) -> DataFrame:
 def tile_components(pixels: DataFrame, width: int, tile: int, connectivity: int = 4) -> tuple[DataFrame, DataFrame]:
     """(runs, labels) of components inside each tile with its frame pixels left out."""
     runs = runs_of_pixels(pixels.filter(~on_tile_frame(tile)), width, tile)
-    return runs, label_runs(runs, connectivity, tile)
+    return runs, label_runs(runs, connectivity, (tile, tile), merge=False)

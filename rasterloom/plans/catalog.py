@@ -1,21 +1,21 @@
 """Registered queries over scenes that are derived from the given tables, and the SQL of each.
 
-The canonical scene has one rectangle for each supplier on a 400 x 400 canvas; the multi-image scene gives each nation
-a canvas of its own, so both the rows and the canvases follow the input."""
+The canonical scene has one rectangle for each supplier; each 400 suppliers get a 400 x 400 canvas of their own, on which
+their number shifts the places, so pixels and blobs grow with the table. The multi-image scene gives each nation canvases
+of its own. The dots lay out orders on 200 x 200 canvases, seven for each 15,000 keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterloom.functions import colour, reports
 from rasterloom.functions.predicates import frame_layer, is_red, is_red_tolerant, not_white, on_tile_frame
 from rasterloom.operators import components, fill, runs, scan, stats, tiles
 from rasterloom.sinks import png
-from rasterloom.sources import scenes
+from rasterloom.sources import images, scenes
 
-SIZE = 400
-#: Part of an order's lines, as a 200 x 200 canvas of scattered pixels, where 4- and 8-connectivity differ.
-DOTS = 200
+#: Sides of the canvases, and the keys that share one (dots: seven).
+SIZE, DOTS, ORDERS = 400, 200, 15_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,15 +23,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _rects(spark: SparkSession, sf_dir: str, by_nation: bool = False) -> DataFrame:
-    k = F.col("s_suppkey")
-    image = F.col("s_nationkey").cast("long") if by_nation else F.lit(0).cast("long")
-    rects = _table(spark, sf_dir, "supplier").select(image.alias("image_id"), (k * 104729 % SIZE).alias("r0"), (k * 7919 % SIZE).alias("c0"), (5 + k * 17 % 20).alias("h"), (5 + k * 31 % 20).alias("w"))
+    k, q = F.col("s_suppkey"), F.expr(f"s_suppkey div {SIZE}")
+    image = F.col("s_nationkey") + 25 * q if by_nation else q
+    rects = _table(spark, sf_dir, "supplier").select(
+        image.cast("long").alias("image_id"), ((k * 104729 + q * 211) % SIZE).alias("r0"), ((k * 7919 + q * 157) % SIZE).alias("c0"), (5 + (k * 17 + q) % 20).alias("h"), (5 + (k * 31 + q) % 20).alias("w")
+    )
     return scenes.clip(rects, SIZE, SIZE)
 
 
 def _dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scattered pixels, where 4- and 8-connectivity differ."""
     k = F.col("o_orderkey")
-    return _table(spark, sf_dir, "orders").select(F.pmod(F.col("o_custkey"), F.lit(7)).alias("image_id"), (k * 7919 % DOTS).alias("r"), (k * 104729 % 49999 % DOTS).alias("c")).distinct()
+    image = F.pmod(F.col("o_custkey"), F.lit(7)) + 7 * F.expr(f"o_orderkey div {ORDERS}")
+    return _table(spark, sf_dir, "orders").select(image.cast("long").alias("image_id"), (k * 7919 % DOTS).alias("r"), (k * 104729 % 49999 % DOTS).alias("c")).distinct()
 
 
 def _runs(spark, sf_dir, by_nation=False):
@@ -90,39 +94,36 @@ def multi_image_blob_counts(spark, sf_dir):
 
 
 def object_points(spark, sf_dir):
-    out = components.objects(*_labelled(spark, sf_dir))
-    return out.select("object_id", "blob_id", F.size("points").cast("long").alias("points"), F.element_at("points", 1)["c"].alias("first_c"), F.element_at("points", -1)["r"].alias("last_r"))
+    return components.object_summary(*_labelled(spark, sf_dir))
 
 
 def _recolour(scheme: str):
     def query(spark, sf_dir):
         table = components.ordinals(_blobs(spark, sf_dir))
         by = {"label": F.col("blob_id"), "ordinal": F.col("object_id") - 1, "patch": F.col("object_id"), "dense": F.col("object_id")}[scheme]
-        return table.withColumn("k", colour.SCHEMES[scheme](by)).select("blob_id", "k.red", "k.green", "k.blue")
+        return table.withColumn("k", colour.SCHEMES[scheme](by)).select("image_id", "blob_id", "k.red", "k.green", "k.blue")
 
     return query
 
 
 def seed_first_red(spark, sf_dir):
-    return fill.first_foreground(scenes.pixels_of_rects(_rects(spark, sf_dir, by_nation=True)))
+    return fill.first_of_runs(_runs(spark, sf_dir, by_nation=True))
 
 
 def _filled(spark, sf_dir):
-    seeds = fill.first_foreground(scenes.pixels_of_rects(_rects(spark, sf_dir, True)))
+    """The runs of the blob that holds each image's seed, and the seeds."""
     made = _runs(spark, sf_dir, True)
-    labels = components.label_runs(made, 8)
-    # the first pixel of an image belongs to its smallest blob_id
-    first = labels.groupBy("image_id").agg(F.min("blob_id").alias("blob_id"))
-    blob = components.labelled_pixels(made, labels).join(first, ["image_id", "blob_id"], "left_semi").select("image_id", "r", "c")
-    return blob, seeds
+    seeds = fill.first_of_runs(made)
+    return fill.seeded_runs(made, seeds, 8), seeds
 
 
 def seeded_fill(spark, sf_dir):
-    return _filled(spark, sf_dir)[0]
+    return fill.pixels_of_runs(_filled(spark, sf_dir)[0])
 
 
 def bfs_levels(spark, sf_dir):
-    return fill.levels(*_filled(spark, sf_dir))
+    filled, seeds = _filled(spark, sf_dir)
+    return fill.levels(fill.pixels_of_runs(filled), seeds)
 
 
 def frontier_sizes(spark, sf_dir):
@@ -147,7 +148,7 @@ def visited_ring(spark, sf_dir):
 
 
 def edge_pixels(spark, sf_dir):
-    return fill.edge_pixels(scenes.pixels_of_rects(_rects(spark, sf_dir)))
+    return fill.edge_pixels(_runs(spark, sf_dir))
 
 
 def tile_tier(spark, sf_dir):
@@ -159,7 +160,7 @@ def visited_state(spark, sf_dir):
 
 
 def boundary_pixels(spark, sf_dir):
-    return tiles.boundary_pixels(_pixels(spark, sf_dir)).select("blob_id", "r", "c", "tile_size")
+    return tiles.boundary_pixels(_pixels(spark, sf_dir)).select("image_id", "blob_id", "r", "c", "tile_size")
 
 
 def boundary_overlay(spark, sf_dir):
@@ -185,7 +186,7 @@ def frame_pixel_count(spark, sf_dir):
 
 def tile_local_components(spark, sf_dir):
     made, labels = tiles.tile_components(scenes.pixels_of_rects(_rects(spark, sf_dir)), SIZE, 100)
-    return components.blob_table(made, labels).select("blob_id", "area")
+    return components.blob_table(made, labels).select("image_id", "blob_id", "area")
 
 
 def frame_layers(spark, sf_dir):
@@ -239,9 +240,8 @@ def size_and_duration_text(spark, sf_dir):
 
 
 def memory_text(spark, sf_dir):
-    k = F.col("o_orderkey")
-    near = k % 20_000  # its cube times 37 stays far within a long
-    return _table(spark, sf_dir, "orders").select(k, reports.memory_text(near * near * near * 37).alias("memory_text"))
+    k = F.col("o_orderkey").cast("double")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", reports.memory_text(k * k * k * 37).alias("memory_text"))
 
 
 def occupancy(spark, sf_dir):
@@ -278,8 +278,9 @@ def bench_topk(spark, sf_dir):
 
 
 def bench_argmax(spark, sf_dir):
-    one = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    return _table(spark, sf_dir, "events").withColumn("n", F.row_number().over(one)).filter("n = 1").select("event_type", "event_id", "value")
+    """The event with the largest value of each type; of equal ones the first."""
+    per = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.max(F.struct("value", (-F.col("event_id")).alias("less"))).alias("x"))
+    return per.select("event_type", (-F.col("x.less")).alias("event_id"), "x.value")
 
 
 def bench_grouping_sets(spark, sf_dir):
@@ -299,12 +300,22 @@ def used_workers(spark, sf_dir):
 
 
 def tanh_sum(spark, sf_dir):
-    """Each value plus the sum of the hyperbolic tangents of a diagonal: here of one event in every hundredth place."""
+    """Each value plus the sum of the hyperbolic tangents of the diagonal, with all events laid out as a square matrix."""
     e = _table(spark, sf_dir, "events")
-    total = e.filter("event_id % 100 = 0").agg(F.sum(F.tanh(F.col("value") / 100)).alias("total"))
+    side = e.agg(F.ceil(F.sqrt(F.max("event_id") + 1)).alias("side"))  # one row
+    laid = e.crossJoin(F.broadcast(side)).withColumns({"row": F.expr("event_id div side"), "column": F.col("event_id") % F.col("side")})
+    total = laid.filter(F.col("row") == F.col("column")).agg(F.sum(F.tanh(F.col("value") / 100)).alias("total"))  # one row
     return e.crossJoin(F.broadcast(total)).groupBy("event_type").agg(F.round(F.sum(F.col("value") + F.col("total")), 4).alias("value"))
 
 
+def image_blobs(spark, sf_dir):
+    """The blobs of PNG images: each canvas is encoded, and the bytes of the files are decoded to runs again."""
+    red = F.struct(F.lit(255).alias("red"), F.lit(0).alias("green"), F.lit(0).alias("blue"))
+    drawn = png.png_files(png.painted(fill.pixels_of_runs(_runs(spark, sf_dir)), red), SIZE, SIZE)
+    made = images.runs_of_png(drawn, "exact_red")
+    return components.blob_table(made, components.label_runs(made))
+
+
 def vector_add(spark, sf_dir):
     o = _table(spark, sf_dir, "lineitem")
     return o.select("l_orderkey", "l_linenumber", (F.col("l_quantity") + F.col("l_extendedprice")).alias("total"))
@@ -314,7 +325,7 @@ _OWN = (
     scene_pixels, scene_runs, pixel_runs, blob_table_4, blob_table_8, dots_blobs_4, dots_blobs_8, blob_count, multi_image_blob_counts, object_points, seed_first_red, seeded_fill,
     bfs_levels, frontier_sizes, fill_iterations, chunk_distribution, slice_distribution, visited_ring, edge_pixels, tile_tier, visited_state, boundary_pixels, boundary_overlay, state_overlay, grid_overlay, frame_pixel_count, tile_local_components,
     frame_layers, scan_ticks, scan_first_found, scan_last_found, scan_colours, tolerant_vs_exact, pack_unpack_rgb, worker_blue, size_and_duration_text, memory_text, occupancy, blocks_per_processor,
-    queue_work, sweep_grid, bench_group_stats, bench_topk, bench_argmax, bench_grouping_sets, first_and_last, used_workers, tanh_sum, vector_add,
+    queue_work, sweep_grid, bench_group_stats, bench_topk, bench_argmax, bench_grouping_sets, first_and_last, used_workers, tanh_sum, vector_add, image_blobs,
 )
 QUERIES = {f.__name__: f for f in _OWN} | {f"blob_recolour_{k}": _recolour(k) for k in colour.SCHEMES}
 

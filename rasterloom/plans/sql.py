@@ -5,13 +5,14 @@ from __future__ import annotations
 
 def _rects(image: str) -> str:
     return f"""
-rects AS (SELECT {image} AS image_id, s_suppkey * 104729 % 400 AS r0, s_suppkey * 7919 % 400 AS c0, 5 + s_suppkey * 17 % 20 AS h, 5 + s_suppkey * 31 % 20 AS w FROM supplier),
+rects AS (SELECT {image} AS image_id, (s_suppkey * 104729 + s_suppkey // 400 * 211) % 400 AS r0, (s_suppkey * 7919 + s_suppkey // 400 * 157) % 400 AS c0,
+  5 + (s_suppkey * 17 + s_suppkey // 400) % 20 AS h, 5 + (s_suppkey * 31 + s_suppkey // 400) % 20 AS w FROM supplier),
 tall AS (SELECT image_id, c0, w, unnest(range(r0, least(r0 + h, 400))) AS r FROM rects),
 px AS (SELECT DISTINCT image_id, r, unnest(range(c0, least(c0 + w, 400))) AS c FROM tall)"""
 
 
-_ONE, _NATIONS = _rects("0::BIGINT"), _rects("s_nationkey::BIGINT")
-_DOTS = "px AS (SELECT DISTINCT o_custkey % 7 AS image_id, o_orderkey * 7919 % 200 AS r, o_orderkey * 104729 % 49999 % 200 AS c FROM orders)"
+_ONE, _NATIONS = _rects("s_suppkey // 400"), _rects("s_nationkey + 25 * (s_suppkey // 400)")
+_DOTS = "px AS (SELECT DISTINCT o_custkey % 7 + 7 * (o_orderkey // 15000) AS image_id, o_orderkey * 7919 % 200 AS r, o_orderkey * 104729 % 49999 % 200 AS c FROM orders)"
 
 
 def _labels(width: int, reach: int = 0, source: str = "px", same: str = "TRUE") -> str:
@@ -45,7 +46,7 @@ tiers AS (SELECT image_id, blob_id, area, CASE WHEN NOT a THEN 100 WHEN NOT b TH
 _CLOCK = f"""WITH {_DOTS}, k AS (SELECT *, (c // 10) * 20 + r // 10 AS worker, r % 10 AS i, c % 10 AS j FROM px),
 rowwise AS (SELECT image_id, r, c, worker, i * 10 + j AS step, (i * 10 + j) * 400 + worker + 1 AS tick FROM k),
 diagonal AS (SELECT image_id, r, c, worker, CASE WHEN i + j < 10 THEN (i + j) * (i + j + 1) // 2 + i ELSE 100 - (19 - i - j) * (20 - i - j) // 2 + i - (i + j - 9) END AS step FROM k)"""
-_NUMBERED = f"{_SCENE}, n AS (SELECT blob_id, row_number() OVER (ORDER BY blob_id) AS i FROM blobs)"
+_NUMBERED = f"{_SCENE}, n AS (SELECT image_id, blob_id, row_number() OVER (PARTITION BY image_id ORDER BY blob_id) AS i FROM blobs)"
 _RGB = "p_partkey * 53 % 256 AS red, p_partkey * 17 % 64 AS green, p_partkey * 29 % 64 AS blue"
 _HUE = "(worker * 0.618033988749895 - floor(worker * 0.618033988749895)) * 6"
 
@@ -72,7 +73,7 @@ ORACLE_SQL = {
     "dots_blobs_8": f"WITH RECURSIVE {_DOTS}, {_labels(200, 1)} SELECT * FROM blobs",
     "blob_count": f"{_SCENE} SELECT image_id, count(DISTINCT blob_id) AS blobs, sum(area)::BIGINT AS area, max(area) AS largest FROM blobs GROUP BY image_id",
     "multi_image_blob_counts": f"WITH RECURSIVE {_NATIONS}, {_labels(400)} SELECT image_id, count(*) AS blobs, sum(area)::BIGINT AS area FROM blobs GROUP BY image_id",
-    "object_points": f"{_SCENE}, p AS (SELECT blob_id, count(*) AS points, arg_min(c, r * 400 + c) AS first_c, max(r) AS last_r FROM cells GROUP BY blob_id) SELECT row_number() OVER (ORDER BY blob_id)::INT AS object_id, * FROM p",
+    "object_points": f"{_SCENE}, p AS (SELECT image_id, blob_id, count(*) AS points, arg_min(c, r * 400 + c) AS first_c, max(r) AS last_r FROM cells GROUP BY image_id, blob_id) SELECT row_number() OVER (PARTITION BY image_id ORDER BY blob_id)::INT AS object_id, * FROM p",
     "seed_first_red": f"WITH {_NATIONS}, m AS (SELECT image_id, min(r * 400 + c) AS p FROM px GROUP BY image_id) SELECT image_id, p // 400 AS r, p % 400 AS c FROM m",
     "seeded_fill": f"{_FILL} SELECT * FROM body",
     "bfs_levels": f"{_LEVELS} SELECT * FROM bfs",
@@ -86,12 +87,12 @@ SELECT image_id, level, pixels, chunks, least(chunks, 4) AS busy_blocks, one::BI
     "edge_pixels": f"WITH {_ONE} SELECT a.image_id, a.r, a.c FROM px a JOIN px b ON a.image_id = b.image_id AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND abs(b.r - a.r) <= 1 GROUP BY ALL HAVING count(*) < 9",
     "tile_tier": f"{_TIERS} SELECT * FROM tiers",
     "visited_state": f"{_TIERS}, s AS (SELECT CASE tile_tier WHEN 100 THEN 1 WHEN 400 THEN 2 ELSE 3 END AS state, area FROM tiers) SELECT state, count(*) AS blobs, sum(area)::BIGINT AS pixels FROM s GROUP BY state",
-    "boundary_pixels": f"{_SCENE}, m AS (SELECT blob_id, min(r * 400 + c) AS p FROM cells WHERE {_ON(100)} GROUP BY blob_id) SELECT blob_id, p // 400 AS r, p % 400 AS c, 100 AS tile_size FROM m",
+    "boundary_pixels": f"{_SCENE}, m AS (SELECT image_id, blob_id, min(r * 400 + c) AS p FROM cells WHERE {_ON(100)} GROUP BY image_id, blob_id) SELECT image_id, blob_id, p // 400 AS r, p % 400 AS c, 100 AS tile_size FROM m",
     "boundary_overlay": f"{_SCENE}, m AS (SELECT image_id, min(r * 400 + c) AS p FROM cells WHERE {_ON(100)} GROUP BY image_id, blob_id) SELECT image_id, p // 400 AS r, p % 400 AS c, 0 AS red, 255 AS green, 0 AS blue FROM m",
     "state_overlay": f"{_TIERS}, s AS (SELECT image_id, blob_id, CASE tile_tier WHEN 100 THEN 1 WHEN 400 THEN 2 ELSE 3 END AS state FROM tiers) SELECT image_id, r, c, [128, 255, 0][state] AS red, [128, 0, 255][state] AS green, [128, 0, 0][state] AS blue FROM cells JOIN s USING (image_id, blob_id)",
     "grid_overlay": f"{_SCENE}, p AS (SELECT *, (r % 100 > 0 AND c % 100 > 0)::INT AS shown FROM cells) SELECT image_id, r, c, shown * (blob_id * 123457 % 256)::INT AS red, shown * (blob_id * 98765 % 256)::INT AS green, shown * (blob_id * 54321 % 256)::INT AS blue FROM p",
     "frame_pixel_count": f"WITH {_ONE} SELECT image_id, count(*) FILTER ({_ON(100)}) AS on_100, count(*) FILTER ({_ON(400)}) AS on_400, count(*) AS pixels FROM px GROUP BY image_id",
-    "tile_local_components": f"WITH RECURSIVE {_ONE}, inner_px AS (SELECT * FROM px WHERE NOT {_ON(100)}), {_labels(400, 0, 'inner_px', 'a.r // 100 = b.r // 100 AND a.s // 100 = b.s // 100')} SELECT blob_id, area FROM blobs",
+    "tile_local_components": f"WITH RECURSIVE {_ONE}, inner_px AS (SELECT * FROM px WHERE NOT {_ON(100)}), {_labels(400, 0, 'inner_px', 'a.r // 100 = b.r // 100 AND a.s // 100 = b.s // 100')} SELECT image_id, blob_id, area FROM blobs",
     "frame_layers": f"WITH {_ONE} SELECT least(r % 100, c % 100, 99 - r % 100, 99 - c % 100) AS layer, count(*) AS pixels FROM px GROUP BY layer",
     "scan_ticks": f"{_CLOCK} SELECT * FROM rowwise",
     "scan_first_found": f"{_CLOCK}, t AS (SELECT *, step * 400 + worker + 1 AS tick FROM diagonal) SELECT image_id, TRUE AS found, arg_min(r, tick) AS r, arg_min(c, tick) AS c, min(tick) AS tick FROM t GROUP BY image_id",
@@ -106,7 +107,7 @@ SELECT count(*) FILTER (red = 255 AND green = 0 AND blue = 0) AS exact_red, coun
     "pack_unpack_rgb": f"WITH a AS (SELECT p_partkey, {_RGB} FROM part) SELECT p_partkey, (red * 65536 + green * 256 + blue)::INT AS packed, red::INT AS red, green::INT AS green, blue::INT AS blue FROM a",
     "worker_blue": "SELECT o_custkey * 4 % 255 AS blue, count(*) AS n FROM orders GROUP BY blue",
     "size_and_duration_text": f"SELECT o_orderkey, {_units('o_orderkey * o_orderkey * 37')} AS size_text, CASE WHEN s < 0.001 THEN printf('%.3f ms', round(s * 1000, 3)) WHEN s < 1 THEN printf('%.2f ms', round(s * 1000, 2)) ELSE printf('%.2f s', round(s, 2)) END AS duration_text FROM (SELECT o_orderkey, (o_orderkey % 2000) / 1024.0::DOUBLE AS s FROM orders)",
-    "memory_text": _memory(" * ".join(["(o_orderkey % 20000)"] * 3) + " * 37"),
+    "memory_text": _memory("o_orderkey::DOUBLE * o_orderkey::DOUBLE * o_orderkey::DOUBLE * 37"),
     "occupancy": "WITH a AS (SELECT p_partkey, p_size * 32 * (1 + p_partkey % 12) / 1536::DOUBLE AS share FROM part) SELECT p_partkey, share, CASE WHEN share >= 0.75 THEN 'high' WHEN share >= 0.5 THEN 'medium' ELSE 'low' END AS class FROM a",
     "blocks_per_processor": "WITH a AS (SELECT DISTINCT p_size * 32 AS threads, p_partkey % 5 * 16 AS shared_kb FROM part) SELECT threads, shared_kb, least(24, 1536 // threads, CASE WHEN shared_kb > 0 THEN 100 // shared_kb ELSE 24 END)::BIGINT AS blocks FROM a",
     "queue_work": "WITH a AS (SELECT l_suppkey, count(*) AS queued FROM lineitem GROUP BY l_suppkey), b AS (SELECT *, greatest(1, (queued + 31) // 32) AS work FROM a) SELECT l_suppkey, queued, queued * 8 AS bytes, work, 100.0::DOUBLE * queued / (work * 32) AS efficiency FROM b",
@@ -117,10 +118,11 @@ SELECT count(*) FILTER (red = 255 AND green = 0 AND blue = 0) AS exact_red, coun
     "bench_grouping_sets": "SELECT event_type, user_id % 4 AS slot, count(*) AS runs, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY GROUPING SETS ((event_type), (slot), ())",
     "first_and_last": "SELECT round(avg(value), 6) AS mean, max(value) AS most, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last FROM events",
     "used_workers": "WITH a AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS n FROM events GROUP BY user_id) SELECT count(*) FILTER (n > 0) AS used, 100.0::DOUBLE * count(*) FILTER (n > 0) / 100 AS used_pct FROM a",
-    "tanh_sum": "SELECT event_type, round(sum(value + (SELECT sum(tanh(value / 100)) FROM events WHERE event_id % 100 = 0)), 4) AS value FROM events GROUP BY event_type",
+    "tanh_sum": "WITH m AS (SELECT ceil(sqrt(max(event_id) + 1))::BIGINT AS side FROM events), t AS (SELECT sum(tanh(value / 100)) AS total FROM events, m WHERE event_id // side = event_id % side) SELECT event_type, round(sum(value + total), 4) AS value FROM events, t GROUP BY event_type",
+    "image_blobs": f"{_SCENE} SELECT * FROM blobs",
     "vector_add": "SELECT l_orderkey, l_linenumber, l_quantity + l_extendedprice AS total FROM lineitem",
-    "blob_recolour_label": f"{_SCENE} SELECT blob_id, (blob_id * 123457 % 256)::INT AS red, (blob_id * 98765 % 256)::INT AS green, (blob_id * 54321 % 256)::INT AS blue FROM blobs",
-    "blob_recolour_ordinal": f"{_NUMBERED} SELECT blob_id, ((53 * (i - 1) + 7) % 253 + 1)::INT AS red, ((101 * (i - 1) + 11) % 253 + 1)::INT AS green, ((197 * (i - 1) + 13) % 253 + 1)::INT AS blue FROM n",
-    "blob_recolour_patch": f"{_NUMBERED} SELECT blob_id, (53 * i % 254)::INT AS red, (101 * i % 254)::INT AS green, (197 * i % 254)::INT AS blue FROM n",
-    "blob_recolour_dense": f"{_NUMBERED} SELECT blob_id, (37 * i % 254)::INT AS red, (73 * i % 254)::INT AS green, (19 * i % 254)::INT AS blue FROM n",
+    "blob_recolour_label": f"{_SCENE} SELECT image_id, blob_id, (blob_id * 123457 % 256)::INT AS red, (blob_id * 98765 % 256)::INT AS green, (blob_id * 54321 % 256)::INT AS blue FROM blobs",
+    "blob_recolour_ordinal": f"{_NUMBERED} SELECT image_id, blob_id, ((53 * (i - 1) + 7) % 253 + 1)::INT AS red, ((101 * (i - 1) + 11) % 253 + 1)::INT AS green, ((197 * (i - 1) + 13) % 253 + 1)::INT AS blue FROM n",
+    "blob_recolour_patch": f"{_NUMBERED} SELECT image_id, blob_id, (53 * i % 254)::INT AS red, (101 * i % 254)::INT AS green, (197 * i % 254)::INT AS blue FROM n",
+    "blob_recolour_dense": f"{_NUMBERED} SELECT image_id, blob_id, (37 * i % 254)::INT AS red, (73 * i % 254)::INT AS green, (19 * i % 254)::INT AS blue FROM n",
 }

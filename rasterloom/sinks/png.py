@@ -1,10 +1,10 @@
-"""PNG files from foreground pixels: each image is encoded by a task as bands of rows, so the canvas is never whole."""
+"""PNG files from foreground pixels: bands of rows are drawn and compressed side by side, a task each, and only their
+compressed bytes come together, so the canvas is never whole."""
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,34 +20,43 @@ def chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode_png(bands: Iterator[np.ndarray], height: int, width: int) -> bytes:
-    """8-bit RGB PNG of bands of rows (n, width, 3)."""
-    squeeze, parts = zlib.compressobj(6), []
-    for band in bands:
-        parts.append(squeeze.compress(np.concatenate([np.zeros((len(band), 1), np.uint8), band.reshape(len(band), -1)], axis=1).tobytes()))
-    parts.append(squeeze.flush())
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", b"".join(parts)) + chunk(b"IEND", b"")
+def joined_adler(sums: list[tuple[int, int]]) -> int:
+    """The Adler-32 checksum of parts put together, from the checksum and the length of each."""
+    base, a, b = 65521, 1, 0
+    for checksum, n in sums:
+        a2, b2 = checksum & 0xFFFF, checksum >> 16
+        b = (b + b2 + n * (a - 1)) % base
+        a = (a + a2 - 1) % base
+    return b << 16 | a
 
 
 def png_files(pixels: DataFrame, height: int, width: int, background: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
-    """(image_id, png) from (image_id, r, c, red, green, blue); pixels that are not listed get the background."""
-
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r")
-        r = pdf["r"].to_numpy()
-        rgb = pdf[["red", "green", "blue"]].to_numpy().astype(np.uint8)
-
-        def bands() -> Iterator[np.ndarray]:
-            for top in range(0, height, BAND):
-                band = np.empty((min(BAND, height - top), width, 3), np.uint8)
-                band[:] = background
-                a, b = np.searchsorted(r, [top, top + len(band)])
-                band[r[a:b] - top, pdf["c"].to_numpy()[a:b]] = rgb[a:b]
-                yield band
-
-        return pd.DataFrame({"image_id": [key[0]], "png": [encode_png(bands(), height, width)]})
-
-    return pixels.select("image_id", "r", "c", "red", "green", "blue").groupBy("image_id").applyInPandas(draw, "image_id long, png binary")
+    """(image_id, png) of 8-bit RGB files from (image_id, r, c, red, green, blue); pixels that are not listed get the
+    background."""
+    count = -(-height // BAND)
+
+    def band(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        top = int(key[1]) * BAND
+        rows = np.empty((min(BAND, height - top), width, 3), np.uint8)
+        rows[:] = background
+        held = pdf.dropna(subset=["r"])
+        rows[held["r"].to_numpy(np.int64) - top, held["c"].to_numpy(np.int64)] = held[["red", "green", "blue"]].to_numpy(np.uint8)
+        raw = np.concatenate([np.zeros((len(rows), 1), np.uint8), rows.reshape(len(rows), -1)], axis=1).tobytes()
+        squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
+        data = squeeze.compress(raw) + squeeze.flush(zlib.Z_FINISH if key[1] == count - 1 else zlib.Z_FULL_FLUSH)
+        return pd.DataFrame({"image_id": [key[0]], "band": [key[1]], "data": [data], "adler": [zlib.adler32(raw)], "size": [len(raw)]})
+
+    def put_together(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("band")
+        body = b"\x78\x9c" + b"".join(pdf["data"]) + struct.pack(">I", joined_adler(list(zip(pdf["adler"].tolist(), pdf["size"].tolist()))))
+        head = chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0))
+        return pd.DataFrame({"image_id": [key[0]], "png": [b"\x89PNG\r\n\x1a\n" + head + chunk(b"IDAT", body) + chunk(b"IEND", b"")]})
+
+    listed = pixels.select("image_id", F.floor(F.col("r") / BAND).alias("band"), "r", "c", "red", "green", "blue")
+    every = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("band"))
+    rows = every.join(listed, ["image_id", "band"], "left")
+    bands = rows.groupBy("image_id", "band").applyInPandas(band, "image_id long, band long, data binary, adler long, size long")
+    return bands.groupBy("image_id").applyInPandas(put_together, "image_id long, png binary")
 
 
 def painted(pixels: DataFrame, colour) -> DataFrame:

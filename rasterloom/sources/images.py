@@ -1,11 +1,21 @@
-"""Image files as pixel rows, and the readers of result files."""
+"""Image files as runs or pixels, and the readers of result files.
+
+Images are decoded in bands of rows inside tasks and leave them as runs of foreground pixels, so neither a row per pixel
+nor a second copy of an image is ever made."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import struct
+import zlib
+from collections.abc import Iterator
 
-from rasterloom.functions.predicates import FOREGROUND
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows decoded at once.
+BAND = 256
+RUN = "image_id long, run_id long, r long, s long, e long"
 BENCHMARK = (
     "blocks_per_grid double, threads_per_block double, chunk_size double, execution_time_ms double, iterations double, pixels_processed bigint, "
     "pixels_per_second double, blocks_used bigint, threads_used bigint, warps_used bigint, block_utilization_pct double, thread_utilization_pct double, "
@@ -20,16 +30,143 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pixels(images: DataFrame, foreground: str | None = None) -> DataFrame:
-    """One row per pixel with its channels; grey files repeat theirs. With a foreground, only those rows are made."""
-    n, per = F.col("height") * F.col("width"), F.col("channels")
-    at = images.select("image_id", "width", per.alias("per"), "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    byte: callable = lambda k: F.conv(F.hex(F.substring(F.col("data"), F.col("i") * F.col("per") + 1 + F.when(F.col("per") > 1, k).otherwise(0), F.lit(1))), 16, 10).cast("int")
-    out = at.select("image_id", F.floor(F.col("i") / F.col("width")).alias("r"), (F.col("i") % F.col("width")).cast("long").alias("c"), byte(2).alias("red"), byte(1).alias("green"), byte(0).alias("blue"))
-    return out.filter(_test(foreground)) if foreground else out
+    """One row per pixel (image_id, r, c, red, green, blue) of read_images(); grey files repeat their channel. With a
+    foreground, only its pixels are made."""
+    schema = "image_id long, r long, c long, red int, green int, blue int"
+
+    def rows(key: int, top: int, band: np.ndarray) -> Iterator[dict]:
+        r, c = np.nonzero(_chosen(band, foreground) if foreground else np.ones(band.shape[:2], bool))
+        for at in range(0, len(r), 100_000):
+            i, j = r[at : at + 100_000], c[at : at + 100_000]
+            rgb = band[i, j].astype(np.int32)
+            yield {"image_id": np.full(len(i), key), "r": i + top, "c": j, "red": rgb[:, 0], "green": rgb[:, 1], "blue": rgb[:, 2]}
+
+    return _by_bands(images, _bands_of_image, rows, schema, ["image_id", "height", "width", "channels", "data"])
+
+
+def runs(images: DataFrame, foreground: str) -> DataFrame:
+    """Runs (image_id, run_id, r, s, e) of the foreground of read_images()."""
+    return _by_bands(images, _bands_of_image, lambda key, top, band: _band_runs(key, top, _chosen(band, foreground)), RUN, ["image_id", "height", "width", "channels", "data"])
+
+
+def runs_of_png(files: DataFrame, foreground: str) -> DataFrame:
+    """Runs of the foreground of PNG bytes (image_id, png): 8-bit grey, grey and alpha, RGB and RGBA, not interlaced."""
+    return _by_bands(files, lambda png: png_bands(png), lambda key, top, band: _band_runs(key, top, _chosen(band, foreground)), RUN, ["image_id", "png"])
+
+
+def _by_bands(images: DataFrame, bands, rows, schema: str, columns: list[str]) -> DataFrame:
+    """mapInArrow over images, one at a time: bands(*columns after the first) gives (RGB) bands, rows(key, top, band) columns."""
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, *rest = (batch.column(j)[i] for j in range(len(columns)))
+                rest = [memoryview(v.as_buffer()) if pa.types.is_binary(v.type) else v.as_py() for v in rest]
+                top = 0
+                for band in bands(*rest):
+                    for made in rows(key.as_py(), top, band):
+                        yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+                    top += len(band)
+
+    return images.select(*columns).mapInArrow(run, out)
+
+
+def _bands_of_image(height: int, width: int, channels: int, data: memoryview) -> Iterator[np.ndarray]:
+    """RGB bands of rows of B, G, R(, A) or grey bytes."""
+    whole = np.frombuffer(data, np.uint8, height * width * channels).reshape(height, width, channels)
+    for top in range(0, height, BAND):
+        band = whole[top : top + BAND]
+        yield band[:, :, 2::-1] if channels >= 3 else np.repeat(band[:, :, :1], 3, axis=2)
+
+
+def png_bands(data: memoryview) -> Iterator[np.ndarray]:
+    """RGB bands of a PNG file, inflated band by band."""
+    if bytes(data[:8]) != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG file")
+    at, squeezed, header = 8, [], None
+    while at + 8 <= len(data):
+        n, kind = struct.unpack_from(">I4s", data, at)
+        body = data[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            header = struct.unpack(">IIBBBBB", body)
+        elif kind == b"IDAT":
+            squeezed.append(body)
+        at += n + 12
+    width, height, depth, colour, _, _, laced = header
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
+    if depth != 8 or channels is None or laced:
+        raise ValueError("unsupported PNG file")
+    stride, above = width * channels + 1, np.zeros(width * channels, np.uint8)
+    inflated, left = _inflate(squeezed), b""
+    for top in range(0, height, BAND):
+        need = min(BAND, height - top) * stride
+        while len(left) < need:
+            left += next(inflated)
+        rows = np.frombuffer(left, np.uint8, need).reshape(-1, stride)
+        left = left[need:]
+        band = np.empty((len(rows), stride - 1), np.uint8)
+        for i, row in enumerate(rows):
+            above = band[i] = _unfiltered(row[0], row[1:], above, channels)
+        band = band.reshape(len(rows), width, channels)
+        yield band[:, :, :3] if channels >= 3 else np.repeat(band[:, :, :1], 3, axis=2)
+
+
+def _inflate(parts: list[memoryview], step: int = 1 << 20) -> Iterator[bytes]:
+    inflater = zlib.decompressobj()
+    for part in parts:
+        rest = part
+        while len(rest):
+            yield inflater.decompress(rest, step)
+            rest = inflater.unconsumed_tail
+    yield inflater.flush()
+
+
+def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, channels: int) -> np.ndarray:
+    """A row of samples from its filtered bytes and the row above (filters of the PNG standard)."""
+    if kind == 0:
+        return row
+    if kind == 1:
+        return np.cumsum(row.reshape(-1, channels), axis=0, dtype=np.uint8).ravel()
+    if kind == 2:
+        return row + above
+    out, raw, up = [0] * len(row), row.tolist(), above.tolist()
+    for i, x in enumerate(raw):
+        a, c = (out[i - channels], up[i - channels]) if i >= channels else (0, 0)
+        b = up[i]
+        if kind == 3:
+            guess = (a + b) >> 1
+        else:
+            pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            guess = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
+        out[i] = (x + guess) & 255
+    return np.array(out, np.uint8)
+
+
+def _chosen(band: np.ndarray, foreground: str) -> np.ndarray:
+    """The pixels of an RGB band that the named predicate takes (functions.predicates has it for columns)."""
+    red, green, blue = band[:, :, 0], band[:, :, 1], band[:, :, 2]
+    if foreground == "exact_red":
+        return (red == 255) & (green == 0) & (blue == 0)
+    if foreground == "red_tolerant":
+        return (red > 200) & (green < 50) & (blue < 50)
+    if foreground == "not_white":
+        return ~((red == 255) & (green == 255) & (blue == 255))
+    raise ValueError(f"no foreground of this name: {foreground}")
 
 
-def _test(name: str) -> Column:
-    return FOREGROUND[name]()
+def _band_runs(key: int, top: int, chosen: np.ndarray) -> Iterator[dict]:
+    """The maximal runs of the chosen pixels of a band."""
+    height, width = chosen.shape
+    edge = np.diff(np.pad(chosen, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    r, s = np.nonzero(edge == 1)
+    e = np.nonzero(edge == -1)[1] - 1
+    if len(r):
+        yield {"image_id": np.full(len(r), key), "run_id": (r + top) * width + s, "r": r + top, "s": s, "e": e}
 
 
 def read_benchmark_csv(spark: SparkSession, path: str) -> DataFrame:

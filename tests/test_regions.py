@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import reports
+from rasterloom.functions.colour import random_colour
 from rasterloom.functions.predicates import FOREGROUND
 from rasterloom.operators import components, fill, runs, stats, tiles
 from rasterloom.sinks import png, tables
@@ -26,8 +27,8 @@ def dots(t):
 def test_dots(spark, t, n4, s4, n8, s8):
     made = runs.runs_of_pixels(pixels(spark, dots(t)), 40).cache()
     for connectivity, n, total in ((4, n4, s4), (8, n8, s8)):
-        for limit in (components.GROUP_RUNS, 0) if t == 45 else (components.GROUP_RUNS,):
-            table = components.blob_table(made, components.label_runs(made, connectivity, group_runs=limit))
+        for tile in (components.TILE, (7, 5), (1, 3)) if t == 45 else ((40, 40), (16, 9)):
+            table = components.blob_table(made, components.label_runs(made, connectivity, tile))
             assert table.agg(F.count("*"), F.sum("blob_id"), F.sum("area")).first() == (n, total, len(dots(t)))
 
 
@@ -38,7 +39,7 @@ def test_rectangles(spark, n, low, high, red, rows, blobs, total, ring):
     assert made.count() == rows
     assert components.blob_table(made, labels).agg(F.count("*"), F.sum("blob_id"), F.sum("area")).first() == (blobs, total, red)
     cells = components.labelled_pixels(made, labels)
-    assert fill.visited_ring(cells, 900, 900).count() == ring
+    assert fill.visited_ring(made, 900, 900).count() == ring
     want = {100: {57: (7, 33, 6, 11)}.get(blobs), 1000: (3, 4, 0, 1)}[n]
     got = {r.tile_tier: r["count"] for r in tiles.tile_tiers(cells).groupBy("tile_tier").count().collect()}
     assert tuple(got.get(k, 0) for k in (100, 400, 800, None)) == want
@@ -47,24 +48,39 @@ def test_rectangles(spark, n, low, high, red, rows, blobs, total, ring):
 def test_square_levels(spark):
     square = scenes.pixels_of_rects(scenes.centred_square(spark, 80, 80, 40)).cache()
     seed = spark.createDataFrame([(0, 40, 40)], scenes.PIXEL)
-    for limit in (fill.GROUP_PIXELS, 0):
-        reached = fill.levels(square, seed, 8, limit).cache()
+    for tile in ((80, 80), (11, 17)):
+        reached = fill.levels(square, seed, 8, tile).cache()
         sizes = {r.level: r.pixels for r in fill.frontier_sizes(reached).collect()}
         assert sizes == {0: 1, **{k: 8 * k for k in range(1, 20)}, 20: 79}
-    assert fill.visited_ring(square, 80, 80).count() == 1764
+    assert fill.visited_ring(runs.runs_of_pixels(square, 80), 80, 80).count() == 1764
     for side, want in ((500, 550), (1000, 1050), (1500, 1550), (2000, 2050)):
         assert spark.range(1).select(fill.checked_iterations(F.lit(side)).alias("x")).first().x == want
     assert fill.seed_blobs(square, spark.createDataFrame([(0, 0, 0)], scenes.PIXEL), 80, 8).count() == 0
 
 
+def test_maze_levels(spark):
+    """Shortest ways that leave a tile and come back, against a plain search."""
+    walls = {(r, c) for r in range(1, 14, 2) for c in range(14)} - {(r, 13 if r % 4 == 1 else 0) for r in range(1, 14, 2)}
+    body = {(r, c) for r in range(14) for c in range(14)} - walls
+    far, now = {(0, 0): 0, (12, 3): 0}, [(0, 0), (12, 3)]
+    while now:
+        near = {(r + i, c + j) for r, c in now for i, j in fill.OFFSETS[4]} & body - far.keys()
+        far |= {p: far[now[0]] + 1 for p in near}
+        now = list(near)
+    seeds = pixels(spark, [(0, 0), (12, 3), (1, 1)])
+    for tile in ((14, 14), (9, 6)):
+        assert {(r.r, r.c): r.level for r in fill.levels(pixels(spark, sorted(body)), seeds, 4, tile).collect()} == far
+
+
 def test_odd_scenes(spark):
     none = pixels(spark, [])
-    assert components.blobs(none, 10).count() == 0 and fill.visited_ring(none, 10, 10).count() == 0
+    assert components.blobs(none, 10).count() == 0 and fill.visited_ring(runs.runs_of_pixels(none, 10), 10, 10).count() == 0 and fill.levels(none, none).count() == 0
     full = pixels(spark, [(r, c) for r in range(6) for c in range(9)])
-    assert components.blobs(full, 9).first().area == 54 and fill.visited_ring(full, 6, 9).count() == 54
+    assert components.blobs(full, 9).first().area == 54 and fill.visited_ring(runs.runs_of_pixels(full, 9), 6, 9).count() == 54
+    assert {(r.r, r.c) for r in fill.edge_pixels(runs.runs_of_pixels(full, 9)).collect()} == {(r, c) for r in range(6) for c in range(9) if r in (0, 5) or c in (0, 8)}
     corner = pixels(spark, [(0, 0), (1, 1), (5, 8)])
     assert components.blobs(corner, 9).count() == 3 and components.blobs(corner, 9, 8).count() == 2
-    assert fill.visited_ring(pixels(spark, [(0, 0)]), 6, 9).count() == 4
+    assert fill.visited_ring(runs.runs_of_pixels(pixels(spark, [(0, 0)]), 9), 6, 9).count() == 4
     near = spark.createDataFrame([(201, 49, 49), (200, 0, 0), (255, 50, 0), (255, 0, 0), (255, 255, 255), (250, 5, 5)], "red int, green int, blue int")
     assert {k: near.filter(f()).count() for k, f in FOREGROUND.items()} == {"exact_red": 1, "red_tolerant": 3, "not_white": 5}
 
@@ -102,6 +118,90 @@ def test_png_and_reader(spark, tmp_path):
     assert {(r.r, r.c, r.red, r.green, r.blue) for r in back.collect()} == {(0, 0, 255, 0, 7), (2, 3, 255, 0, 7), (299, 1, 255, 0, 7)}
 
 
+def test_image_file_of_16_million_pixels(spark, tmp_path):
+    """A 4000 x 4000 file becomes runs by bands, from Spark's image source and from the bytes, within 3 GB."""
+    import resource
+
+    import pandas as pd
+
+    r, c = np.ogrid[:4000, :4000]
+    rgb = np.full((4000, 4000, 3), 255, np.uint8)
+    rgb[(r // 50 + c // 70) % 2 == 0] = (255, 0, 0)
+    rows = np.zeros((4000, 12001), np.uint8)
+    rows[:, 1:] = rgb.reshape(4000, -1)
+    rows[1::2, 1:], rows[1::2, 0] = rows[1::2, 1:] - rows[::2, 1:], 2  # every other row by the row above
+    body = zlib.compress(rows.tobytes(), 1)
+    header = struct.pack(">IIBBBBB", 4000, 4000, 8, 2, 0, 0, 0)
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + png.chunk(b"IHDR", header) + png.chunk(b"IDAT", body) + png.chunk(b"IEND", b""))
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select(F.lit(0).cast("long").alias("image_id"), F.col("content").alias("png"))
+    made = images.runs(images.read_images(spark, str(tmp_path)), "exact_red").drop("image_id"), images.runs_of_png(files, "exact_red").drop("image_id")
+    for df in made:
+        assert df.agg(F.count("*"), F.sum(F.col("e") - F.col("s") + 1), F.sum("run_id")).first() == _plain_runs(rgb)
+    assert resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss < 3 << 20
+
+
+def _plain_runs(rgb):
+    n = pixels = ids = 0
+    for i, row in enumerate(rgb[:, :, 1] == 0):
+        edge = np.flatnonzero(np.diff(np.pad(row.astype(np.int8), 1)))
+        n, pixels, ids = n + len(edge) // 2, pixels + int(row.sum()), ids + int((edge[::2] + i * 4000).sum())
+    return n, pixels, ids
+
+
+def test_png_filters():
+    """Every filter and colour type of a PNG file is undone."""
+    rng = np.random.default_rng(1)
+    for colour, channels in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        a = rng.integers(0, 256, (10, 7 * channels)).astype(np.int64)
+        raw = b""
+        for i, row in enumerate(a):
+            kind, up = i % 5, a[i - 1] if i else np.zeros_like(row)
+            left, corner = (np.concatenate([np.zeros(channels, np.int64), x[:-channels]]) for x in (row, up))
+            guess = left + up - corner
+            d = [abs(guess - x) for x in (left, up, corner)]
+            paeth = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], up, corner))
+            minus = (np.zeros_like(row), left, up, (left + up) // 2, paeth)[kind]
+            raw += bytes([kind]) + ((row - minus) % 256).astype(np.uint8).tobytes()
+        header = struct.pack(">IIBBBBB", 7, 10, 8, colour, 0, 0, 0)
+        data = b"\x89PNG\r\n\x1a\n" + png.chunk(b"IHDR", header) + png.chunk(b"IDAT", zlib.compress(raw)) + png.chunk(b"IEND", b"")
+        got = np.concatenate(list(images.png_bands(memoryview(data))))
+        want = a.reshape(10, 7, channels)
+        assert (got == (want[:, :, :3] if channels > 2 else want[:, :, :1])).all()
+
+
+def test_readers_and_writers(spark, tmp_path):
+    """Result files come back as they were written; broken reports keep a row; images that arrive are handled once."""
+    from rasterloom.streaming.images import watch_images
+
+    row = (24.0, 64.0, 16.0, 50.9, 550.0, 1_000_000, 1.9e7, 24, 1536, 48, 100.0, 6.25, 3.1, 0.09)
+    table = spark.createDataFrame([row], images.BENCHMARK)
+    tables.write_csv(table, str(tmp_path / "csv"))
+    assert images.read_benchmark_csv(spark, str(tmp_path / "csv")).collect() == table.collect()
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "a.json").write_text('{"improvement_claim": "x",\n "test_results": [{"iterations": 550}]}')
+    (tmp_path / "json" / "b.json").write_text("{broken")
+    got = images.read_reports(spark, str(tmp_path / "json")).collect()
+    assert sorted(r.improvement_claim or "" for r in got) == ["", "x"] and sum(r._corrupt_record is not None for r in got) == 1
+    runs_table = spark.createDataFrame([("a", 1, 2.0, "p", 1), ("a", 2, 4.0, "q", 2), ("b", 1, 1.0, "r", 1)], "k string, run int, ms double, note string, seq int")
+    mean = stats.mean_runs(runs_table, ["k"], ["ms"], ["note"], "seq")
+    assert sorted(map(tuple, mean.collect())) == [("a", 3.0, "p"), ("b", 1.0, "r")]
+    assert scenes.rectangle(spark, 2, 3, 4, 5).collect()[0][1:] == (2, 3, 4, 5)
+    k = spark.range(300).select(random_colour(3).alias("k")).select("k.*")
+    assert k.filter("red not between 0 and 255 or green not between 0 and 255 or blue not between 0 and 255").count() == 0 and k.distinct().count() > 200
+    assert spark.range(1).select(reports.rate(F.lit(10), F.lit(0.0)).alias("a"), reports.rate(F.lit(10), F.lit(4.0)).alias("b"), reports.percent(F.lit(1), F.lit(0)).alias("c")).first() == (0.0, 2.5, 0.0)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(bytes(png.mask_files(pixels(spark, [(0, 1), (1, 1), (1, 4)]), 2, 6).first().png))
+    seen = []
+
+    def handle(files):
+        made = images.runs_of_png(files.select(F.xxhash64("path").alias("image_id"), F.col("content").alias("png")), "not_white")
+        seen.append(made.filter("s > 0 or e < 5").count())
+
+    for _ in range(2):
+        watch_images(spark, str(tmp_path / "in"), handle, str(tmp_path / "state")).awaitTermination(120)
+    assert sum(seen) == 5  # black beside the white points: 2 runs in the first row, 3 in the second
+
+
 def test_stats(spark):
     assert stats.sweep_grid(spark).count() == 48
     text = spark.createDataFrame([(0,), (1023,), (1536,), (5 << 30,)], "n long").select(reports.bytes_text(F.col("n")).alias("t"))
