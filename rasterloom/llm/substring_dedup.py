@@ -11,7 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterloom.llm.common import arrow_map, written
 from rasterloom.llm.hashing import encoded, run_hashes, texts_hashes
@@ -39,8 +39,8 @@ def seeds(words: np.ndarray, length: int, anchor: int) -> np.ndarray:
     return np.minimum(least[:m], least[width - at : width - at + m])
 
 
-def _hashed(raw: list[bytes]) -> Iterator[np.ndarray]:
-    words, at = texts_hashes(raw)
+def _hashed(raw: list[bytes], seed: int = 0) -> Iterator[np.ndarray]:
+    words, at = texts_hashes(raw, seed)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         yield words[a:b]
 
@@ -55,8 +55,13 @@ def window_digests(raw: bytes, starts: np.ndarray, length: int) -> np.ndarray:
     return np.frombuffer(b"".join(made), "<i8").reshape(-1, 2)
 
 
+def _handle() -> Column:
+    """One number for (id, row). Documents that share it by chance share their anchors, which only adds candidates."""
+    return F.xxhash64("id", "row")
+
+
 def _anchors(docs: DataFrame, length: int, anchor: int, hottest: dict[int, int]) -> DataFrame:
-    """(id, row, anchor, parts): the anchors of each document, with the parts of the hottest, 0 for others."""
+    """(doc, anchor, parts): the anchors of each document, with the parts of the hottest, 0 for others."""
     known = np.array(sorted(hottest), np.int64)
     dealt = np.array([hottest[k] for k in known.tolist()] or [0], np.int32)
 
@@ -66,30 +71,30 @@ def _anchors(docs: DataFrame, length: int, anchor: int, hottest: dict[int, int])
         for h in held:
             at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
             parts.append(np.where(known[at] == h, dealt[at], 0) if len(known) else np.zeros(len(h), np.int32))
-        yield {"id": cols["id"], "row": cols["row"], "anchors": held, "parts": parts}
+        yield {"doc": cols["doc"], "anchors": held, "parts": parts}
 
-    made = arrow_map(docs, step, "id long, row long, anchors array<long>, parts array<int>")
-    return made.select("id", "row", F.explode(F.arrays_zip("anchors", "parts")).alias("a")).select("id", "row", F.col("a.anchors").alias("anchor"), F.col("a.parts").alias("parts"))
+    made = arrow_map(docs.select(_handle().alias("doc"), "text"), step, "doc long, anchors array<long>, parts array<int>")
+    return made.select("doc", F.explode(F.arrays_zip("anchors", "parts")).alias("a")).select("doc", F.col("a.anchors").alias("anchor"), F.col("a.parts").alias("parts"))
 
 
 def hottest_anchors(docs: DataFrame, length: int, anchor: int, hot: int) -> dict[int, int]:
     """The anchors that are frequent in a bounded sample of documents, and the parts that their windows are dealt to."""
     every = max(1, docs.count() // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64("id", "row"), F.lit(every)) == 0)
+    some = docs.filter(F.pmod(_handle(), F.lit(every)) == 0)
     often = _anchors(some, length, anchor, {}).groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
     rows = often.orderBy(F.desc("n"), "anchor").limit(HOTTEST).collect()
     return {r.anchor: max(1, -(-r.n * every // hot)) for r in rows}
 
 
 def shared_anchors(docs: DataFrame, length: int, anchor: int, hot: int) -> DataFrame:
-    """For each document (id, row) that holds anchors of several: those, and in how many parts their windows are dealt
-    out. docs: id, row, text. The hottest anchors are known to be shared, so their rows needn't meet."""
+    """For each document (doc) that holds anchors of several: those, and in how many parts their windows are dealt out.
+    docs: id, row, text. The hottest anchors are known to be shared, so their rows needn't meet."""
     held = _anchors(docs, length, anchor, hottest_anchors(docs, length, anchor, hot))
-    salt = F.when(F.col("parts") > 0, F.pmod(F.xxhash64("id", "row"), F.lit(SALTS))).otherwise(0)
+    salt = F.when(F.col("parts") > 0, F.pmod("doc", F.lit(SALTS))).otherwise(0)
     n = F.count("*").over(Window.partitionBy("anchor", "salt"))
     shared = held.withColumn("salt", salt).withColumn("n", n).filter("n > 1 or parts > 0")
-    lists = shared.groupBy("id", "row").agg(F.collect_set(F.struct("anchor", F.greatest("parts", F.lit(1)).alias("parts"))).alias("a"))
-    return lists.select("id", "row", F.col("a.anchor").alias("anchors"), F.col("a.parts").alias("parts"))
+    lists = shared.groupBy("doc").agg(F.collect_set(F.struct("anchor", F.greatest("parts", F.lit(1)).alias("parts"))).alias("a"))
+    return lists.select("doc", F.col("a.anchor").alias("anchors"), F.col("a.parts").alias("parts"))
 
 
 def whole_copies(docs: DataFrame) -> DataFrame:
@@ -100,7 +105,9 @@ def whole_copies(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(by_id: DataFrame, shared: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(id, row, pos, first): the windows whose words also start in a document with a smaller id, the smallest being first."""
+    """(id, row, pos, first): the windows whose words also start in a document with a smaller id, the smallest being first.
+
+    A document tells of equal windows once, at their first place: pos is twice the place, plus one where others follow."""
 
     def windows(cols: dict) -> Iterator[dict]:
         out: dict[str, list] = {k: [] for k in ("low", "high", "id", "row", "pos", "parts")}
@@ -113,12 +120,16 @@ def repeated_windows(by_id: DataFrame, shared: DataFrame, length: int, anchor: i
             at = np.minimum(np.searchsorted(own, seed), len(own) - 1)
             pos = np.flatnonzero(own[at] == seed)
             digests = window_digests(t, pos, length)
-            for k, v in zip(out, (digests[:, 0], digests[:, 1], np.full(len(pos), i, np.int64), np.full(len(pos), r, np.int64), pos.astype(np.int32), parts[at[pos]])):
+            again = np.zeros(len(pos), bool)
+            if len(np.unique(digests[:, 0])) < len(pos):
+                once, times = np.unique(digests.view("V16").ravel(), return_index=True, return_counts=True)[1:]
+                digests, pos, again = digests[once], pos[once], times > 1
+            for k, v in zip(out, (digests[:, 0], digests[:, 1], np.full(len(pos), i, np.int64), np.full(len(pos), r, np.int64), (2 * pos + again).astype(np.int32), parts[at[pos]])):
                 out[k].append(v)
         if out["id"]:
             yield {k: np.concatenate(v) for k, v in out.items()}
 
-    texts = by_id.join(shared, ["id", "row"]).select("id", "row", "text", "anchors", "parts")
+    texts = by_id.join(shared, "doc").select("id", "row", "text", "anchors", "parts")
     seen = arrow_map(texts, windows, "low long, high long, id long, row long, pos int, parts int")
     window = ["low", "high", "salt"]
     rows = seen.filter("low is not null and high is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).repartition(*window)
@@ -128,7 +139,20 @@ def repeated_windows(by_id: DataFrame, shared: DataFrame, length: int, anchor: i
     hot = hot.select("low", "high", "overall", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     own = rows.withColumn("least", F.min("id").over(Window.partitionBy(*window))).join(hot, window, "left")
     first = F.when(F.col("parts") > 1, F.col("overall")).otherwise(F.col("least"))
-    return own.select("id", "row", "pos", first.alias("first")).filter("id > first")
+    return own.select("id", "row", "pos", first.alias("first")).filter("id > first").withColumn("doc", _handle())
+
+
+def _all_places(raw: bytes, pos: np.ndarray, firsts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of windows given as repeated_windows() gives them, in order, with the others of the same words."""
+    at = pos >> 1
+    if not (pos & 1).any():
+        return at, firsts
+    both = [run_hashes(next(_hashed([raw], seed)), length, salt=2).tobytes() for seed in (0, 1)]
+    told = np.stack([np.frombuffer(b, np.uint64) for b in both], axis=1).copy().view("V16").ravel()  # two hashes of each window
+    own, order = np.unique(told[at], return_index=True)
+    near = np.minimum(np.searchsorted(own, told), len(own) - 1)
+    places = np.flatnonzero(own[near] == told)
+    return places, firsts[order[near[places]]]
 
 
 def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -145,11 +169,11 @@ def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: s
     docs = docs.select("id", F.xxhash64("text").alias("row"), "text")
     keyed = docs.filter("id is not null")
     copies = whole_copies(keyed)
-    shared = shared_anchors(keyed, length, anchor, hot).join(copies, ["id", "row"], "left_anti")
-    by_id = keyed.repartition("id", "row")
-    later = repeated_windows(by_id, shared, length, anchor).groupBy("id", "row")
+    shared = shared_anchors(keyed, length, anchor, hot).join(copies.select(_handle().alias("doc")), "doc", "left_anti")
+    by_id = keyed.withColumn("doc", _handle()).repartition("doc")
+    later = repeated_windows(by_id, shared, length, anchor).groupBy("doc", "id", "row")
     later = later.agg(F.sort_array(F.collect_set(F.struct("pos", "first"))).alias("r"))  # a set: rows may be repeated
-    later = later.select("id", "row", F.col("r.pos").alias("at"), F.col("r.first").alias("firsts"))
+    later = later.select("doc", "id", "row", F.col("r.pos").alias("at"), F.col("r.first").alias("firsts"))
 
     def cut(cols: dict) -> Iterator[dict]:
         out: dict[str, list] = {k: [] for k in ("id", "n_words", "n_removed", "text", "span_starts", "span_ends", "span_firsts")}
@@ -159,7 +183,7 @@ def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: s
             if whole is not None and len(words) >= length:
                 kept, n, starts, ends, holders = [], len(words), [0], [len(words)], [whole]
             elif at:
-                at = np.array(at)
+                at, firsts = _all_places(raw, np.array(at), np.array(firsts), length)
                 new = np.flatnonzero(np.diff(at, prepend=-length - 1) > length)  # windows that neither overlap nor adjoin
                 begin, end = at[new], np.append(at[new[1:] - 1], at[-1]) + length
                 kept, done = [], 0
@@ -167,12 +191,12 @@ def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: s
                     kept += words[done:a]
                     done = b
                 kept += words[done:]
-                n, starts, ends, holders = int((end - begin).sum()), begin.tolist(), end.tolist(), [firsts[j] for j in new]
+                n, starts, ends, holders = int((end - begin).sum()), begin.tolist(), end.tolist(), firsts[new].tolist()
             for k, v in zip(out, (i, len(words), n, b" ".join(kept).decode("utf-8", "surrogatepass"), starts, ends, holders)):
                 out[k].append(v)
         yield out
 
-    rows = by_id.join(later, ["id", "row"], "left").join(copies, ["id", "row"], "left").select("id", "text", "at", "firsts", F.col("first").alias("whole"))
+    rows = by_id.join(later, ["doc", "id", "row"], "left").join(copies.withColumn("doc", _handle()), ["doc", "id", "row"], "left").select("id", "text", "at", "firsts", F.col("first").alias("whole"))
     none = F.lit(None).cast("array<int>")
     void = docs.filter("id is null").select("id", "text", none.alias("at"), none.cast("array<long>").alias("firsts"), F.lit(None).cast("long").alias("whole"))
     schema = "id long, n_words long, n_removed long, text string, span_starts array<int>, span_ends array<int>, span_firsts array<long>"
