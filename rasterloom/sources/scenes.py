@@ -5,6 +5,8 @@ few hundred thousand rows. Only sequential recipes (walks, packing, growth) are
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -86,44 +88,76 @@ def random_walks(walks: DataFrame, height: int, width: int, steps: int, radius:
 
 
 def packed_blocks(scenes: DataFrame, size: int, largest: int = 40, pad: int = 3) -> DataFrame:
-    """Squares of random side 1..largest placed greedily row by row with padding. scenes: image_id, seed."""
+    """Squares of random side 1..largest, placed greedily in scan order wherever one fits with `pad` pixels to all others.
+
+    scenes: image_id, seed. At each free pixel the side is drawn from those that fit: as far as the free run to the right
+    and the canvas go. A column is blocked down to the row under the last square near it, which is all that the fit needs,
+    since squares come in scan order."""
 
     def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, out, r = np.random.default_rng(int(pdf.seed.iloc[0])), [], 0
-        while r < size:
-            c, tallest = 0, 0
+        rng, out = np.random.default_rng(int(pdf.seed.iloc[0])), []
+        free_from = np.zeros(size, np.int64)  # the first row in which each column is free
+        for r in range(size):
+            c = 0
             while c < size:
-                side = int(rng.integers(1, largest + 1))
-                if r + side > size or c + side > size:
-                    break
+                ahead = free_from[c : c + min(largest, size - r)] > r
+                if ahead[0]:
+                    c += 1
+                    continue
+                run = int(ahead.argmax()) if ahead.any() else len(ahead)
+                side = int(rng.integers(1, run + 1))
                 out.append((key[0], r, c, side, side))
-                c, tallest = c + side + pad, max(tallest, side)
-            if not tallest:
-                break
-            r += tallest + pad
+                beside = free_from[max(0, c - pad) : c + side + pad]
+                np.maximum(beside, r + side + pad, out=beside)
+                c += side + pad
         return pd.DataFrame(out, columns=["image_id", "r0", "c0", "h", "w"]).astype("int64")
 
     return scenes.groupBy("image_id").applyInPandas(place, RECT)
 
 
-def organic_blobs(seeds: DataFrame, height: int, width: int, least: int = 5) -> DataFrame:
-    """Blobs grown from seeds (image_id, blob, r, c, radius, seed): a neighbour joins with a chance that falls with
-    its distance over the radius, until the drawn size is met; smaller ones than `least` are dropped."""
+def grown(rng: np.random.Generator, r0: int, c0: int, radius: int, height: int, width: int, taken: np.ndarray | None = None) -> set[tuple[int, int]]:
+    """A blob from one pixel, first in, first out: a pixel's free 4-neighbours join with a chance of 1 - (its distance
+    over the radius) ** 1.5, until a drawn size is met. Empty when it stays below the least size that could be drawn."""
+    most = int(np.pi * radius**2 * rng.uniform(0.4, 0.9))
+    least = max(5, int(0.3 * most))
+    goal = int(rng.integers(least, max(least, most) + 1))
+    body, edge = {(r0, c0)}, deque([(r0, c0)])
+    while edge and len(body) < goal:
+        r, c = edge.popleft()
+        chance = 1 - (max(abs(r - r0), abs(c - c0)) / radius) ** 1.5
+        for a, b in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+            if len(body) < goal and 0 <= a < height and 0 <= b < width and (a, b) not in body and (taken is None or not taken[a, b]) and rng.random() < chance:
+                body.add((a, b))
+                edge.append((a, b))
+    return body if len(body) >= least else set()
+
+
+def organic_blobs(seeds: DataFrame, height: int, width: int) -> DataFrame:
+    """Blobs grown from seeds (image_id, blob, r, c, radius, seed), each by itself; too small ones are dropped."""
 
     def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
-        rng, radius = np.random.default_rng(int(row.seed)), int(row.radius)
-        most = int(np.pi * radius**2 * rng.uniform(0.4, 0.9))
-        goal = int(rng.integers(max(5, int(0.3 * most)), max(6, most + 1)))
-        body, edge = {(int(row.r), int(row.c))}, [(int(row.r), int(row.c))]
-        while edge and len(body) < goal:
-            r, c = edge.pop(int(rng.integers(len(edge))))
-            for a, b in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
-                far = max(abs(a - row.r), abs(b - row.c)) / radius
-                if 0 <= a < height and 0 <= b < width and (a, b) not in body and far < 1 and rng.random() < 1 - far**1.5:
-                    body.add((a, b))
-                    edge.append((a, b))
-        kept = body if len(body) >= least else ()
-        return pd.DataFrame([(row.image_id, a, b) for a, b in kept], columns=["image_id", "r", "c"]).astype("int64")
+        body = grown(np.random.default_rng(int(row.seed)), int(row.r), int(row.c), int(row.radius), height, width)
+        return pd.DataFrame([(row.image_id, a, b) for a, b in body], columns=["image_id", "r", "c"]).astype("int64")
 
     return seeds.groupBy("image_id", "blob").applyInPandas(grow, PIXEL).distinct()
+
+
+def organic_scenes(scenes: DataFrame, height: int, width: int, target: int, separation: int = 20, radius: tuple[int, int] = (5, 100), tries: int = 20) -> DataFrame:
+    """(image_id, blob, r, c) of up to `target` blobs a scene (image_id, seed), with at most tries * target attempts; no
+    pixel of a blob lies within `separation` of an earlier one's. One group a scene, since each blob depends on the last."""
+
+    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        rng, near, out, made = np.random.default_rng(int(pdf.seed.iloc[0])), np.zeros((height, width), bool), [], 0
+        for _ in range(tries * target):
+            if made == target:
+                break
+            r, c = int(rng.integers(height)), int(rng.integers(width))
+            body = set() if near[r, c] else grown(rng, r, c, int(rng.integers(radius[0], radius[1] + 1)), height, width, near)
+            for a, b in body:
+                out.append((key[0], made, a, b))
+                near[max(0, a - separation) : a + separation + 1, max(0, b - separation) : b + separation + 1] = True
+            made += bool(body)
+        return pd.DataFrame(out, columns=["image_id", "blob", "r", "c"]).astype("int64")
+
+    return scenes.groupBy("image_id").applyInPandas(draw, "image_id long, blob long, r long, c long")

@@ -98,10 +98,21 @@ def test_generators(spark):
     assert components.blobs(walked, 400).count() == 1 and 1 < walked.count() <= 3001
     blocks = scenes.packed_blocks(spark.createDataFrame([(0, 1), (1, 2)], "image_id long, seed long"), 200).cache()
     cells = scenes.pixels_of_rects(blocks)
+    for image in (0, 1):  # nowhere does another pixel with its padding fit, and no two squares are nearer than that
+        near = np.zeros((200, 200), np.int64)
+        for b in blocks.filter(F.col("image_id") == image).collect():
+            near[max(0, b.r0 - 3) : b.r0 + b.h + 3, max(0, b.c0 - 3) : b.c0 + b.w + 3] += 1
+            near[b.r0 : b.r0 + b.h, b.c0 : b.c0 + b.w] += 100
+        assert near.min() > 0 and near.max() == 101
     assert cells.count() == blocks.agg(F.sum(F.col("h") * F.col("w"))).first()[0] and blocks.filter("h not between 1 and 40").count() == 0
     grown = scenes.organic_blobs(spark.createDataFrame([(0, i, 50 + 100 * i, 100, 20, i) for i in range(3)], "image_id long, blob long, r long, c long, radius long, seed long"), 400, 400)
     table = components.blobs(grown, 400)
-    assert table.count() <= 3 and table.agg(F.min("area")).first()[0] >= 5
+    assert 1 <= table.count() <= 3 and table.agg(F.min("area")).first()[0] >= int(0.3 * int(np.pi * 400 * 0.4))
+    drawn = scenes.organic_scenes(spark.createDataFrame([(0, 5)], "image_id long, seed long"), 300, 300, 8, 20, (5, 30)).cache()
+    own = drawn.select("image_id", "r", "c").distinct()
+    assert own.count() == drawn.count() and components.blobs(own, 300).count() == drawn.select("blob").distinct().count() > 3
+    near = drawn.alias("a").join(drawn.alias("b"), F.expr("a.blob < b.blob and abs(a.r - b.r) <= 20 and abs(a.c - b.c) <= 20"))
+    assert near.count() == 0
     disc = scenes.discs(spark.createDataFrame([(0, 20, 20, 5)], "image_id long, r long, c long, radius long"), 100, 100)
     assert disc.count() == sum(a * a + b * b <= 25 for a in range(-5, 5) for b in range(-5, 5))
 
