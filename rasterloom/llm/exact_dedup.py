@@ -25,12 +25,13 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     The range partitioning is by (first characters, digest, salt); rows are then sorted and grouped on those and the
     whole normalised text, so neighbours with equal digests are compared byte by byte, without another shuffle.
-    Only one row per group and salt goes on to the second, small shuffle."""
+    Only one row per group and salt goes on to the second, small shuffle. The salt comes from the key and the row's
+    place in its input partition, so equal rows with one key or none are split as well; it only deals rows out."""
     body = F.col("body")
     rows = df.select(
         normalised(F.col(text)).alias("body"),
         F.struct((-F.length(F.coalesce(F.col(text), F.lit("")))).alias("less"), F.col(key).alias("id")).alias("row"),
-        F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SALTS)).alias("salt"),
+        F.pmod(F.xxhash64(F.col(key).cast("string")) + F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"),
     )
     rows = rows.select(F.substring(body, 1, SPLITTER_CHARS).alias("head"), F.sha2(body, 256).alias("text_sha256"), "salt", "body", "row")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -48,7 +49,8 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     Texts are equal when they are the same after all white space is deleted; of equal ones the row with the most
     code points stays, then the smallest key. Null texts equal empty ones. Rows repeated with the same key and text
-    count in group_size and get the same result. A null key sorts first. Extra columns are ignored."""
+    count in group_size and get the same result. A null key sorts first. Texts may be of any length; an empty table gives
+    none. Extra columns are ignored, whatever their names."""
     groups = written(exact_groups(df, key, text), "groups")  # a table, not an aggregate: so the join may split a hot group's rows
     rows = df.select(F.col(key).alias("__key"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256"))
     return rows.join(groups, "text_sha256").select(
