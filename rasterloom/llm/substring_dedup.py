@@ -129,7 +129,7 @@ def repeated_windows(by_id: DataFrame, shared: DataFrame, length: int, anchor: i
         if out["id"]:
             yield {k: np.concatenate(v) for k, v in out.items()}
 
-    texts = by_id.join(shared, "doc").select("id", "row", "text", "anchors", "parts")
+    texts = by_id.filter("whole is null").join(shared, "doc").select("id", "row", "text", "anchors", "parts")
     seen = arrow_map(texts, windows, "low long, high long, id long, row long, pos int, parts int")
     window = ["low", "high", "salt"]
     rows = seen.filter("low is not null and high is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).repartition(*window)
@@ -168,12 +168,14 @@ def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: s
     docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.select("id", F.xxhash64("text").alias("row"), "text")
     keyed = docs.filter("id is not null")
-    copies = whole_copies(keyed)
-    shared = shared_anchors(keyed, length, anchor, hot).join(copies.select(_handle().alias("doc")), "doc", "left_anti")
-    by_id = keyed.withColumn("doc", _handle()).repartition("doc")
-    later = repeated_windows(by_id, shared, length, anchor).groupBy("doc", "id", "row")
-    later = later.agg(F.sort_array(F.collect_set(F.struct("pos", "first"))).alias("r"))  # a set: rows may be repeated
-    later = later.select("doc", "id", "row", F.col("r.pos").alias("at"), F.col("r.first").alias("firsts"))
+    copies = whole_copies(keyed).groupBy(_handle().alias("doc")).agg(F.collect_set(F.struct("id", "row", "first")).alias("c"))
+    shared = shared_anchors(keyed, length, anchor, hot)
+    same = lambda x: (x.id == F.col("id")) & (x.row == F.col("row"))
+    # every join is on the one number by which the texts are dealt out, so that they are shuffled once
+    by_id = keyed.withColumn("doc", _handle()).repartition("doc").join(copies, "doc", "left").withColumn("whole", F.get(F.filter("c", same), F.lit(0)).first).drop("c")
+    later = repeated_windows(by_id, shared, length, anchor).groupBy("doc")
+    later = later.agg(F.collect_set(F.struct("id", "row", "pos", "first")).alias("r"))  # a set: rows may be repeated
+    found = F.sort_array(F.transform(F.filter("r", same), lambda x: F.struct(x.pos.alias("pos"), x.first.alias("first"))))
 
     def cut(cols: dict) -> Iterator[dict]:
         out: dict[str, list] = {k: [] for k in ("id", "n_words", "n_removed", "text", "span_starts", "span_ends", "span_firsts")}
@@ -196,7 +198,7 @@ def remove_repeats(df: DataFrame, length: int = 13, anchor: int = ANCHOR, key: s
                 out[k].append(v)
         yield out
 
-    rows = by_id.join(later, ["doc", "id", "row"], "left").join(copies.withColumn("doc", _handle()), ["doc", "id", "row"], "left").select("id", "text", "at", "firsts", F.col("first").alias("whole"))
+    rows = by_id.join(later, "doc", "left").withColumn("r", found).select("id", "text", F.col("r.pos").alias("at"), F.col("r.first").alias("firsts"), "whole")
     none = F.lit(None).cast("array<int>")
     void = docs.filter("id is null").select("id", "text", none.alias("at"), none.cast("array<long>").alias("firsts"), F.lit(None).cast("long").alias("whole"))
     schema = "id long, n_words long, n_removed long, text string, span_starts array<int>, span_ends array<int>, span_firsts array<long>"
