@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,3 +122,111 @@ def quality_features(text):
         "stop_share": len(re.findall(r"[.?!](?=[\x20\x09-\x0D]|\Z)", text)) / w, "comma_share": text.count(",") / w, "distinct_line_share": len(set(lines)) / rows,
         "chars_per_word": n / w, "words_per_line": len(words) / rows,
     }
+
+
+def conversation_rows(rows):
+    """conv -> rows (turn, role, text) after the damage, in order. rows: (conv, turn, role, text)."""
+    out = defaultdict(list)
+    for conv, turn, role, text in rows:
+        name = lambda v: " " if v is None else str(v)
+        h = zlib.crc32(f"{name(conv)}:{name(turn)}".encode()) % 20
+        role, text = (" " if v is None else v for v in (role, text))
+        text = "" if h == 1 else re.sub("[.!?]", "", text) if h == 2 else text
+        out[conv] += [] if h == 0 else [(turn, "user" if h == 4 else role, text)] * (1 + (h == 3))
+    return {k: sorted(v, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])) for k, v in out.items()}
+
+
+def repaired(rows):
+    """The contract's columns of a conversation, by the cheapest and least audit for each role given out last."""
+    seen, faults, turns = set(), [], [r[0] for r in rows if r[0] is not None]
+    for _, role, text in rows:
+        body = text.rstrip(" \t\n\x0b\x0c\r")
+        faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    follows = {"": "us", "s": "u", "u": "a", "a": "u"}
+
+    def inserted(ways):
+        for _ in range(3):
+            new = {s: [w] for s, w in ways.items()}
+            for b, (c, a, t) in ways.items():
+                x = "a" if b == "u" else "u"
+                new.setdefault(x, []).append((c + 3, a + "I", (*t, {"u": "user:", "a": "assistant:"}[x])))
+            ways = {s: min(v) for s, v in new.items()}
+        return ways
+
+    ways = {"": (0, "", ())}
+    for (_, role, text), fault in zip(rows, faults):
+        ways = inserted(ways)
+        new = defaultdict(list)
+        for s, (c, a, t) in ways.items():
+            new[s].append((c + 4, a + "D", t))
+            if fault not in ("blank", "duplicate"):
+                more = 3 * (fault == "truncated")
+                if role[:1] and role[:1] in follows[s]:
+                    new[role[0]].append((c + more, a + "K", (*t, f"{role}:{text}")))
+                for x, name in (("u", "user"), ("a", "assistant")):
+                    if x in follows[s]:
+                        new[x].append((c + more + 3, a + "R", (*t, f"{name}:{text}")))
+        ways = {s: min(v) for s, v in new.items()}
+    ways = inserted(ways)
+    cost, audit, lines = min(ways[s] for s in ("", "a") if s in ways)
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    return (gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, sha("\n".join(lines)))
+
+
+BENCH_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower_ascii(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def leaks(docs, items):
+    """doc -> n_words, n_hit, n_items, digest, contaminated, spans. docs, items: (id, text)."""
+    windows = defaultdict(set)
+    for k, t in items:
+        w = BENCH_WORD.findall(lower_ascii(t))
+        for i in range(max(len(w) - 9, min(len(w), 1))):
+            windows[tuple(w[i : i + 10])].add(k)
+    sizes, out = {len(w) for w in windows}, {}
+    for k, t in docs:
+        found = list(BENCH_WORD.finditer(lower_ascii(t)))
+        w, hit, met = [m[0] for m in found], set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if (x := tuple(w[i : i + n])) in windows:
+                    hit |= set(range(i, i + n))
+                    met |= windows[x]
+        spans = [(found[i].start(), next(found[j].end() for j in range(i, len(w)) if j + 1 not in hit)) for i in sorted(hit) if i - 1 not in hit]
+        names = sorted(str(x) for x in met if x is not None)
+        out[k] = (len(w), len(hit), len(names), sha(",".join(names)), bool(hit), spans)
+    return out
+
+
+def variants(rows):
+    """word -> form, root, n, n_near, form_n."""
+    counts = defaultdict(int)
+    for k, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = lower_ascii(run)
+            h = zlib.crc32(f"{'' if k is None else k}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+    by = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            by[w[:i], w[i + 1 :], 1].add(w)  # one character replaced
+            by[w[:i] + w[i + 1 :]].add(w)
+    out = {}
+    for w, n in words.items():
+        near = {x for i in range(len(w)) for x in by[w[:i], w[i + 1 :], 1]} | {w[:i] + w[i + 1 :] for i in range(len(w))} & set(words) | by.get(w, set())
+        near = [x for x in near - {w} if x in words]
+        best = min(((-words[x], x) for x in near), default=None)
+        out[w] = (best[1] if best and -best[0] >= 2 * n else None, n, len(near), words)
+    def last(w):
+        while out[w][0]:
+            w = out[w][0]
+        return w
+
+    return {w: (form, last(w), n, m, words[form] if form else None) for w, (form, n, m, _) in out.items()}
