@@ -28,7 +28,7 @@ def marked(text: Column) -> Column:
     library's own normalisation."""
     low = F.lower(text)
     words = F.regexp_replace(low, f"('s|'t|'re|'ve|'m|'ll|'d|\\p{{L}}+|\\p{{N}}|[^{_SPACES}\\p{{L}}\\p{{N}}]+)", f"$1{END}")
-    return F.when(text.rlike(f"^{_PLAIN}$") & ~text.contains("<|"), words)
+    return F.when(text.rlike(f"\\A{_PLAIN}\\z") & ~text.contains("<|"), words)
 
 
 class WordBpe:

@@ -33,7 +33,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "symbols": count(r"[#%&$*=<>{}^~\\@_|]"),
         "exclaims": count("!!"),
         "digits": count("[0-9]"),
-        "stops": count(r"[.?!](?=[\x20\x09-\x0D]|$)"),
+        "stops": count(r"[.?!](?=[\x20\x09-\x0D]|\z)"),
         "commas": count(","),
         "n_lines": F.size(lines).cast("double"),
         "distinct_lines": F.size(F.array_distinct(lines)).cast("double"),
