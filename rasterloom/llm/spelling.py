@@ -182,7 +182,7 @@ def near_words(vocabulary: DataFrame, block: int = BLOCK) -> DataFrame:
         yield out
 
     asked = arrow_map(lists.select("side", "s", "n"), deal, "side int, part int, s string, n long").withColumn("asks", F.lit(True))
-    met = lists.withColumn("asks", F.lit(False)).unionByName(asked).repartition("side", "part").sortWithinPartitions("side", "part", "asks", "s")
+    met = lists.withColumn("asks", F.lit(False)).unionByName(asked).repartition(n_blocks, "side", "part").sortWithinPartitions("side", "part", "asks", "s")
     out, arrow = schemas("word string, n_near long, less long, form string")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
