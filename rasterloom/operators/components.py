@@ -42,10 +42,15 @@ def _own_folder() -> str:
 _made: list[str] = []
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    _made.append(f"{shared_folder(spark)}/raster-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a step to the shared folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/raster-{uuid.uuid4().hex}"
-    _made.append(path)
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -59,20 +64,57 @@ def forget(spark: SparkSession) -> int:
     return n
 
 
+#: Counts that iterative operators have observed while they wrote their steps, by name, in order.
+_counts: list[tuple[str, int]] = []
+
+
+def counted(name: str, n: int) -> None:
+    _counts.append((name, int(n)))
+
+
+def counters() -> list[tuple[str, int]]:
+    """What has been counted since the last call: (name, count) of each step, taken by the jobs that wrote it."""
+    out = list(_counts)
+    _counts.clear()
+    return out
+
+
 def label_runs(runs: DataFrame, connectivity: int = 4, tile: tuple[int, int] = TILE, merge: bool = True) -> DataFrame:
     """(image_id, run_id, blob_id) for every run. Runs jobs when called.
 
     tile: rows and columns of the tiles. Without merge, runs end at tiles and components too."""
-    pieces = _labelled_pieces(runs, connectivity, tile)
+    pieces = labelled_pieces(runs, connectivity, tile)
     if not merge:
         return pieces.select("image_id", "run_id", F.col("local").alias("blob_id"))
     pieces = written(pieces)
-    roots = merged_labels(_border_links(pieces, connectivity, tile))
+    roots = merged_labels(border_links(pieces, connectivity, tile))
     first = pieces.filter("piece = run_id").select("image_id", "run_id", "local")
     return first.join(roots, ["image_id", "local"], "left").select("image_id", "run_id", F.coalesce("root", "local").alias("blob_id"))
 
 
-def _labelled_pieces(runs: DataFrame, connectivity: int, tile: tuple[int, int]) -> DataFrame:
+def touching_pairs(r: np.ndarray, s: np.ndarray, e: np.ndarray, reach: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of runs that touch in neighbouring rows; runs are in scan order, columns from 0 to width - 1."""
+    wide = width + 4  # room for the reach
+    low = np.searchsorted(r * wide + e + 2, (r + 1) * wide + s + 2 - reach)  # runs of the next row that end behind this one's start
+    high = np.searchsorted(r * wide + s + 2, (r + 1) * wide + e + 2 + reach, side="right")
+    n = np.maximum(high - low, 0)
+    return np.repeat(np.arange(len(r)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the numbers 0 to n - 1 that links a - b reach, for each: larger roots are hooked under smaller, then all paths shortened."""
+    lab = np.arange(n)
+    while len(a):
+        la, lb = lab[a], lab[b]
+        live = la != lb
+        a, b = a[live], b[live]
+        np.minimum.at(lab, np.maximum(la, lb)[live], np.minimum(la, lb)[live])
+        while (lab[lab] != lab).any():
+            lab = lab[lab]
+    return lab
+
+
+def labelled_pieces(runs: DataFrame, connectivity: int, tile: tuple[int, int]) -> DataFrame:
     """Runs cut at tiles: image_id, run_id, piece (linear index of its first pixel), r, s, e, local (the smallest piece of
     its component inside the tile)."""
     reach, width = int(connectivity == 8), tile[1]
@@ -82,27 +124,14 @@ def _labelled_pieces(runs: DataFrame, connectivity: int, tile: tuple[int, int])
 
     def label(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("piece")
-        wide = width + 4  # columns of a tile with room for the reach
-        r, s, e = ((rows[c] - o).to_numpy(np.int64) for c, o in (("r", key[1] * tile[0]), ("s", key[2] * width - 2), ("e", key[2] * width - 2)))
-        low = np.searchsorted(r * wide + e, (r + 1) * wide + s - reach)  # runs of the next row that end behind this one's start
-        high = np.searchsorted(r * wide + s, (r + 1) * wide + e + reach, side="right")
-        n = np.maximum(high - low, 0)
-        a = np.repeat(np.arange(len(r)), n)
-        b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        lab = np.arange(len(r))
-        while len(a):  # hook the larger root under the smaller, then shorten all paths
-            la, lb = lab[a], lab[b]
-            live = la != lb
-            a, b = a[live], b[live]
-            np.minimum.at(lab, np.maximum(la, lb)[live], np.minimum(la, lb)[live])
-            while (lab[lab] != lab).any():
-                lab = lab[lab]
+        r, s, e = ((rows[c] - o).to_numpy(np.int64) for c, o in (("r", key[1] * tile[0]), ("s", key[2] * width), ("e", key[2] * width)))
+        lab = joined(len(r), *touching_pairs(r, s, e, reach, width))
         return rows.assign(local=rows["piece"].to_numpy()[lab])[["image_id", "run_id", "piece", "r", "s", "e", "local"]]
 
     return cut.groupBy("image_id", "strip", "block").applyInPandas(label, "image_id long, run_id long, piece long, r long, s long, e long, local long")
 
 
-def _border_links(pieces: DataFrame, connectivity: int, tile: tuple[int, int]) -> DataFrame:
+def border_links(pieces: DataFrame, connectivity: int, tile: tuple[int, int]) -> DataFrame:
     """(image_id, a, b): labels of pieces that touch over the border of a tile."""
     rows, columns = tile
     on = (F.col("r") % rows).isin(0, rows - 1) | (F.col("s") % columns == 0) | ((F.col("e") + 1) % columns == 0)
@@ -148,8 +177,9 @@ def blobs(pixels: DataFrame, width: int, connectivity: int = 4) -> DataFrame:
     return blob_table(runs, label_runs(runs, connectivity))
 
 
-def labelled_pixels(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    return runs.join(labels, ["image_id", "run_id"]).select("image_id", "blob_id", "r", F.explode(F.sequence("s", "e")).alias("c"))
+def labelled_pixels(runs: DataFrame, labels: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """The pixels of each blob, with further columns of the labels on demand."""
+    return runs.join(labels, ["image_id", "run_id"]).select("image_id", "blob_id", *(carried or []), "r", F.explode(F.sequence("s", "e")).alias("c"))
 
 
 def ordinals(table: DataFrame) -> DataFrame:

@@ -1,19 +1,13 @@
-"""Seeded fill: the blobs that hold a seed, breadth-first levels, the visited ring, iterations and work distribution."""
+"""Seeded fill: the blobs that hold a seed, the visited ring, iterations and work distribution."""
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rasterloom.operators.components import TILE, label_runs, written
+from rasterloom.operators.components import label_runs
+from rasterloom.operators.levels import OFFSETS, levels, levels_of_runs  # noqa: F401
 from rasterloom.operators.runs import runs_of_pixels
 
-OFFSETS = {4: [(1, 0), (-1, 0), (0, 1), (0, -1)], 8: [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]}
-
-
 def first_foreground(pixels: DataFrame) -> DataFrame:
     """The first pixel of each image in row-major order."""
     return pixels.groupBy("image_id").agg(F.min(F.struct("r", "c")).alias("p")).select("image_id", "p.r", "p.c")
@@ -41,66 +35,6 @@ def seed_blobs(pixels: DataFrame, seeds: DataFrame, width: int, connectivity: in
     return pixels_of_runs(seeded_runs(runs_of_pixels(pixels, width), seeds, connectivity))
 
 
-def levels(blob: DataFrame, seeds: DataFrame, connectivity: int = 8, tile: tuple[int, int] = TILE) -> DataFrame:
-    """(image_id, r, c, level): geodesic distance of each reached pixel from its image's nearest seed. Runs jobs when called.
-
-    Each round spreads levels inside the tiles that new ones have entered, a group a tile, and hands what leaves them to
-    the neighbours; it ends when nothing leaves that is nearer than what is known. Rounds follow the number of tiles on
-    the longest of the shortest paths, not its pixels."""
-    at, where = ["image_id", "r", "c"], ["image_id", "strip", "block"]
-    placed = lambda df: df.withColumns({"strip": F.floor(F.col("r") / tile[0]), "block": F.floor(F.col("c") / tile[1])})
-    steps = OFFSETS[connectivity]
-
-    def spread(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        body, entries = rows[~rows["entry"]], rows[rows["entry"]]
-        r0, c0 = key[1] * tile[0] - 1, key[2] * tile[1] - 1  # a frame of background around the tile
-        far = np.full((tile[0] + 2, tile[1] + 2), -1, np.int64)
-        r, c = body["r"].to_numpy() - r0, body["c"].to_numpy() - c0
-        unknown = 1 << 52
-        known = body["level"].fillna(unknown).astype("int64").to_numpy()
-        far[r, c] = known
-        waiting: dict[int, list] = {}
-        for i, j, level in zip(entries["r"].to_numpy() - r0, entries["c"].to_numpy() - c0, entries["level"].to_numpy().astype(np.int64)):
-            if far[i, j] > level:
-                far[i, j] = level
-                waiting.setdefault(int(level), []).append((i, j))
-        due = list(waiting)
-        heapq.heapify(due)
-        while due:  # all places of one level at once, the lowest first
-            level = heapq.heappop(due)
-            now = np.array(waiting.pop(level))
-            now = now[far[now[:, 0], now[:, 1]] == level]
-            near = (now[:, None, :] + np.array(steps)[None]).reshape(-1, 2)
-            near = np.unique(near[far[near[:, 0], near[:, 1]] > level + 1], axis=0)
-            if len(near):
-                far[near[:, 0], near[:, 1]] = level + 1
-                if level + 1 not in waiting:
-                    heapq.heappush(due, level + 1)
-                waiting.setdefault(level + 1, []).extend(map(tuple, near))
-        got = far[r, c]
-        out = body.assign(level=pd.array(np.where(got == unknown, -1, got), "Int64"), fresh=got < known).drop(columns="entry")
-        out.loc[out["level"] < 0, "level"] = pd.NA
-        return out[["image_id", "strip", "block", "r", "c", "level", "fresh"]]
-
-    schema = "image_id long, strip long, block long, r long, c long, level long, fresh boolean"
-    state = written(placed(blob.select(*at).distinct()).select(*where, "r", "c", F.lit(None).cast("long").alias("level")))
-    entries = placed(seeds.select(*at).distinct()).select(*where, "r", "c", F.lit(0).cast("long").alias("level"))
-    entries = written(entries.join(state.select(*at), at, "left_semi"))
-    while not entries.isEmpty():
-        tiles = entries.select(*where).distinct()
-        rows = state.join(tiles, where, "left_semi").withColumn("entry", F.lit(False)).unionByName(entries.withColumn("entry", F.lit(True)))
-        made = written(rows.groupBy(*where).applyInPandas(spread, schema))
-        edge = (F.col("r") % tile[0]).isin(0, tile[0] - 1) | (F.col("c") % tile[1]).isin(0, tile[1] - 1)
-        move = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps]))
-        out = made.filter(F.col("fresh") & edge).select(*where, "r", "c", "level", move.alias("m"))
-        out = out.select("image_id", F.col("strip").alias("s0"), F.col("block").alias("b0"), (F.col("r") + F.col("m.i")).alias("r"), (F.col("c") + F.col("m.j")).alias("c"), (F.col("level") + 1).alias("level"))
-        out = placed(out).filter((F.col("s0") != F.col("strip")) | (F.col("b0") != F.col("block"))).groupBy(*where, "r", "c").agg(F.min("level").alias("level"))
-        state = written(state.join(tiles, where, "left_anti").unionByName(made.drop("fresh")))
-        known = state.select(*where, "r", "c", F.col("level").alias("known"))
-        entries = written(out.join(known, [*where, "r", "c"]).filter("known is null or known > level").select(*where, "r", "c", "level"))
-    return state.filter("level is not null").select(*at, "level")
-
-
 def frontier_sizes(reached: DataFrame) -> DataFrame:
     return reached.groupBy("image_id", "level").agg(F.count("*").alias("pixels"))
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterloom.functions import colour, reports
-from rasterloom.functions.predicates import frame_layer, is_red, is_red_tolerant, not_white, on_tile_frame
+from rasterloom.functions.predicates import is_red, is_red_tolerant, not_white
 from rasterloom.operators import components, fill, runs, scan, stats, tiles
 from rasterloom.sinks import png
-from rasterloom.sources import images, scenes
+from rasterloom.sources import images, png_source, scenes
 
 #: Sides of the canvases, and the keys that share one (dots: seven).
 SIZE, DOTS, ORDERS = 400, 200, 15_000
@@ -123,7 +123,7 @@ def seeded_fill(spark, sf_dir):
 
 def bfs_levels(spark, sf_dir):
     filled, seeds = _filled(spark, sf_dir)
-    return fill.levels(fill.pixels_of_runs(filled), seeds)
+    return fill.levels_of_runs(filled, seeds)
 
 
 def frontier_sizes(spark, sf_dir):
@@ -151,27 +151,36 @@ def edge_pixels(spark, sf_dir):
     return fill.edge_pixels(_runs(spark, sf_dir))
 
 
+def _passes(spark, sf_dir):
+    return tiles.tier_passes(_runs(spark, sf_dir))
+
+
 def tile_tier(spark, sf_dir):
-    return tiles.tile_tiers(_pixels(spark, sf_dir))
+    return _passes(spark, sf_dir).select("image_id", "blob_id", "area", "tile_tier", "frame_pixels")
+
+
+def tier_passes(spark, sf_dir):
+    """What each pass over growing tiles finds whole and what it puts off."""
+    return tiles.pass_counts(_passes(spark, sf_dir))
 
 
 def visited_state(spark, sf_dir):
-    return tiles.states(tiles.tile_tiers(_pixels(spark, sf_dir))).groupBy("state").agg(F.count("*").alias("blobs"), F.sum("area").alias("pixels"))
+    return tiles.states(_passes(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("blobs"), F.sum("area").alias("pixels"))
 
 
 def boundary_pixels(spark, sf_dir):
-    return tiles.boundary_pixels(_pixels(spark, sf_dir)).select("image_id", "blob_id", "r", "c", "tile_size")
+    return tiles.boundary_pixels(_passes(spark, sf_dir))
 
 
 def boundary_overlay(spark, sf_dir):
-    return png.boundary_overlay(tiles.boundary_pixels(_pixels(spark, sf_dir)))
+    return png.boundary_overlay(tiles.boundary_pixels(_passes(spark, sf_dir)))
 
 
 def state_overlay(spark, sf_dir):
     """The pixels of each blob in the colour of its state."""
-    cells = _pixels(spark, sf_dir)
-    state = tiles.states(tiles.tile_tiers(cells)).select("image_id", "blob_id", "state")
-    return png.painted(cells.join(state, ["image_id", "blob_id"]), png.state_colour())
+    made, labels = _labelled(spark, sf_dir)
+    state = tiles.states(tiles.tier_passes(made)).select("image_id", "blob_id", "state")
+    return png.painted(components.labelled_pixels(made, labels.join(state, ["image_id", "blob_id"]), ["state"]), png.state_colour())
 
 
 def grid_overlay(spark, sf_dir):
@@ -180,18 +189,16 @@ def grid_overlay(spark, sf_dir):
 
 
 def frame_pixel_count(spark, sf_dir):
-    p = scenes.pixels_of_rects(_rects(spark, sf_dir))
-    return p.groupBy("image_id").agg(F.count_if(on_tile_frame(100)).alias("on_100"), F.count_if(on_tile_frame(400)).alias("on_400"), F.count("*").alias("pixels"))
+    on = lambda size: F.sum(tiles.frame_pixels(size))
+    return _runs(spark, sf_dir).groupBy("image_id").agg(on(100).alias("on_100"), on(400).alias("on_400"), F.sum(F.col("e") - F.col("s") + 1).alias("pixels"))
 
 
 def tile_local_components(spark, sf_dir):
-    made, labels = tiles.tile_components(scenes.pixels_of_rects(_rects(spark, sf_dir)), SIZE, 100)
-    return components.blob_table(made, labels).select("image_id", "blob_id", "area")
+    return components.blob_table(*tiles.tile_components(_runs(spark, sf_dir), 100)).select("image_id", "blob_id", "area")
 
 
 def frame_layers(spark, sf_dir):
-    p = scenes.pixels_of_rects(_rects(spark, sf_dir)).withColumn("layer", frame_layer(100))
-    return p.groupBy("layer").agg(F.count("*").alias("pixels"))
+    return tiles.layer_counts(_runs(spark, sf_dir), 100)
 
 
 def scan_ticks(spark, sf_dir):
@@ -285,8 +292,8 @@ def bench_argmax(spark, sf_dir):
 
 def bench_grouping_sets(spark, sf_dir):
     e = _table(spark, sf_dir, "events").withColumn("slot", F.col("user_id") % 4)
-    e.createOrReplaceTempView("raster_events")
-    return spark.sql("SELECT event_type, slot, count(*) AS runs, max(value) AS most, round(avg(value), 6) AS mean FROM raster_events GROUP BY GROUPING SETS ((event_type), (slot), ())")
+    type_, slot = F.col("event_type"), F.col("slot")
+    return e.groupingSets([[type_], [slot], []], type_, slot).agg(F.count("*").alias("runs"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 def first_and_last(spark, sf_dir):
@@ -316,6 +323,17 @@ def image_blobs(spark, sf_dir):
     return components.blob_table(made, components.label_runs(made))
 
 
+def image_file_blobs(spark, sf_dir):
+    """The blobs of PNG files on disk: canvases are written by the data source, band after band, and read back through it."""
+    red = F.struct(F.lit(255).alias("red"), F.lit(0).alias("green"), F.lit(0).alias("blue"))
+    folder = components.new_folder(spark)
+    png_source.write_png_files(png.named_bands(png.painted(fill.pixels_of_runs(_runs(spark, sf_dir)), red), SIZE, SIZE), folder)
+    read = png_source.read_png_files(spark, folder, "exact_red").filter("error is null")
+    image = F.regexp_extract("path", r"image_(\d+)\.png\z", 1).cast("long")
+    made = read.select(image.alias("image_id"), "run_id", "r", "s", "e")
+    return components.blob_table(made, components.label_runs(made))
+
+
 def vector_add(spark, sf_dir):
     o = _table(spark, sf_dir, "lineitem")
     return o.select("l_orderkey", "l_linenumber", (F.col("l_quantity") + F.col("l_extendedprice")).alias("total"))
@@ -323,9 +341,9 @@ def vector_add(spark, sf_dir):
 
 _OWN = (
     scene_pixels, scene_runs, pixel_runs, blob_table_4, blob_table_8, dots_blobs_4, dots_blobs_8, blob_count, multi_image_blob_counts, object_points, seed_first_red, seeded_fill,
-    bfs_levels, frontier_sizes, fill_iterations, chunk_distribution, slice_distribution, visited_ring, edge_pixels, tile_tier, visited_state, boundary_pixels, boundary_overlay, state_overlay, grid_overlay, frame_pixel_count, tile_local_components,
+    bfs_levels, frontier_sizes, fill_iterations, chunk_distribution, slice_distribution, visited_ring, edge_pixels, tile_tier, tier_passes, visited_state, boundary_pixels, boundary_overlay, state_overlay, grid_overlay, frame_pixel_count, tile_local_components,
     frame_layers, scan_ticks, scan_first_found, scan_last_found, scan_colours, tolerant_vs_exact, pack_unpack_rgb, worker_blue, size_and_duration_text, memory_text, occupancy, blocks_per_processor,
-    queue_work, sweep_grid, bench_group_stats, bench_topk, bench_argmax, bench_grouping_sets, first_and_last, used_workers, tanh_sum, vector_add, image_blobs,
+    queue_work, sweep_grid, bench_group_stats, bench_topk, bench_argmax, bench_grouping_sets, first_and_last, used_workers, tanh_sum, vector_add, image_blobs, image_file_blobs,
 )
 QUERIES = {f.__name__: f for f in _OWN} | {f"blob_recolour_{k}": _recolour(k) for k in colour.SCHEMES}
 

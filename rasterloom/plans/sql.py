@@ -86,6 +86,7 @@ SELECT image_id, level, pixels, chunks, least(chunks, 4) AS busy_blocks, one::BI
     "visited_ring": f"{_FILL} SELECT DISTINCT image_id, r + i AS r, c + j AS c FROM body, {_STEP} WHERE r + i BETWEEN 0 AND 399 AND c + j BETWEEN 0 AND 399",
     "edge_pixels": f"WITH {_ONE} SELECT a.image_id, a.r, a.c FROM px a JOIN px b ON a.image_id = b.image_id AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND abs(b.r - a.r) <= 1 GROUP BY ALL HAVING count(*) < 9",
     "tile_tier": f"{_TIERS} SELECT * FROM tiers",
+    "tier_passes": f"{_TIERS} SELECT size::INT AS tile_size, count(*) FILTER (tile_tier = size) AS done, count(*) FILTER (coalesce(tile_tier, 801) > size) AS put_off FROM tiers, (SELECT unnest([100, 400, 800]) AS size) GROUP BY size",
     "visited_state": f"{_TIERS}, s AS (SELECT CASE tile_tier WHEN 100 THEN 1 WHEN 400 THEN 2 ELSE 3 END AS state, area FROM tiers) SELECT state, count(*) AS blobs, sum(area)::BIGINT AS pixels FROM s GROUP BY state",
     "boundary_pixels": f"{_SCENE}, m AS (SELECT image_id, blob_id, min(r * 400 + c) AS p FROM cells WHERE {_ON(100)} GROUP BY image_id, blob_id) SELECT image_id, blob_id, p // 400 AS r, p % 400 AS c, 100 AS tile_size FROM m",
     "boundary_overlay": f"{_SCENE}, m AS (SELECT image_id, min(r * 400 + c) AS p FROM cells WHERE {_ON(100)} GROUP BY image_id, blob_id) SELECT image_id, p // 400 AS r, p % 400 AS c, 0 AS red, 255 AS green, 0 AS blue FROM m",
@@ -120,6 +121,7 @@ SELECT count(*) FILTER (red = 255 AND green = 0 AND blue = 0) AS exact_red, coun
     "used_workers": "WITH a AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS n FROM events GROUP BY user_id) SELECT count(*) FILTER (n > 0) AS used, 100.0::DOUBLE * count(*) FILTER (n > 0) / 100 AS used_pct FROM a",
     "tanh_sum": "WITH m AS (SELECT ceil(sqrt(max(event_id) + 1))::BIGINT AS side FROM events), t AS (SELECT sum(tanh(value / 100)) AS total FROM events, m WHERE event_id // side = event_id % side) SELECT event_type, round(sum(value + total), 4) AS value FROM events, t GROUP BY event_type",
     "image_blobs": f"{_SCENE} SELECT * FROM blobs",
+    "image_file_blobs": f"{_SCENE} SELECT * FROM blobs",
     "vector_add": "SELECT l_orderkey, l_linenumber, l_quantity + l_extendedprice AS total FROM lineitem",
     "blob_recolour_label": f"{_SCENE} SELECT image_id, blob_id, (blob_id * 123457 % 256)::INT AS red, (blob_id * 98765 % 256)::INT AS green, (blob_id * 54321 % 256)::INT AS blue FROM blobs",
     "blob_recolour_ordinal": f"{_NUMBERED} SELECT image_id, blob_id, ((53 * (i - 1) + 7) % 253 + 1)::INT AS red, ((101 * (i - 1) + 11) % 253 + 1)::INT AS green, ((197 * (i - 1) + 13) % 253 + 1)::INT AS blue FROM n",

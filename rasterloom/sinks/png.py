@@ -30,9 +30,9 @@ def joined_adler(sums: list[tuple[int, int]]) -> int:
     return b << 16 | a
 
 
-def png_files(pixels: DataFrame, height: int, width: int, background: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
-    """(image_id, png) of 8-bit RGB files from (image_id, r, c, red, green, blue); pixels that are not listed get the
-    background."""
+def png_bands(pixels: DataFrame, height: int, width: int, background: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
+    """(image_id, band, data, adler, size): raw deflate parts of 8-bit RGB rows in bands of BAND, with checksum and length of the
+    rows, from (image_id, r, c, red, green, blue); pixels that are not listed get the background."""
     count = -(-height // BAND)
 
     def band(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -46,17 +46,29 @@ def png_files(pixels: DataFrame, height: int, width: int, background: tuple[int,
         data = squeeze.compress(raw) + squeeze.flush(zlib.Z_FINISH if key[1] == count - 1 else zlib.Z_FULL_FLUSH)
         return pd.DataFrame({"image_id": [key[0]], "band": [key[1]], "data": [data], "adler": [zlib.adler32(raw)], "size": [len(raw)]})
 
+    listed = pixels.select("image_id", F.floor(F.col("r") / BAND).alias("band"), "r", "c", "red", "green", "blue")
+    every = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("band"))
+    rows = every.join(listed, ["image_id", "band"], "left")
+    return rows.groupBy("image_id", "band").applyInPandas(band, "image_id long, band long, data binary, adler long, size long")
+
+
+def named_bands(pixels: DataFrame, height: int, width: int, background: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
+    """png_bands() as the PNG data source writes them: image <image_id>.png."""
+    name = F.concat(F.lit("image_"), F.col("image_id").cast("string"), F.lit(".png"))
+    size = {"height": F.lit(height).cast("long"), "width": F.lit(width).cast("long")}
+    return png_bands(pixels, height, width, background).select(name.alias("name"), *(v.alias(k) for k, v in size.items()), "band", "data", "adler", "size")
+
+
+def png_files(pixels: DataFrame, height: int, width: int, background: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
+    """(image_id, png): whole files as rows, for small images; sources.png_source streams bands to files of any size."""
+
     def put_together(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("band")
         body = b"\x78\x9c" + b"".join(pdf["data"]) + struct.pack(">I", joined_adler(list(zip(pdf["adler"].tolist(), pdf["size"].tolist()))))
         head = chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0))
         return pd.DataFrame({"image_id": [key[0]], "png": [b"\x89PNG\r\n\x1a\n" + head + chunk(b"IDAT", body) + chunk(b"IEND", b"")]})
 
-    listed = pixels.select("image_id", F.floor(F.col("r") / BAND).alias("band"), "r", "c", "red", "green", "blue")
-    every = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("band"))
-    rows = every.join(listed, ["image_id", "band"], "left")
-    bands = rows.groupBy("image_id", "band").applyInPandas(band, "image_id long, band long, data binary, adler long, size long")
-    return bands.groupBy("image_id").applyInPandas(put_together, "image_id long, png binary")
+    return png_bands(pixels, height, width, background).groupBy("image_id").applyInPandas(put_together, "image_id long, png binary")
 
 
 def painted(pixels: DataFrame, colour) -> DataFrame:

@@ -38,10 +38,9 @@ def test_rectangles(spark, n, low, high, red, rows, blobs, total, ring):
     labels = components.label_runs(made).cache()
     assert made.count() == rows
     assert components.blob_table(made, labels).agg(F.count("*"), F.sum("blob_id"), F.sum("area")).first() == (blobs, total, red)
-    cells = components.labelled_pixels(made, labels)
     assert fill.visited_ring(made, 900, 900).count() == ring
     want = {100: {57: (7, 33, 6, 11)}.get(blobs), 1000: (3, 4, 0, 1)}[n]
-    got = {r.tile_tier: r["count"] for r in tiles.tile_tiers(cells).groupBy("tile_tier").count().collect()}
+    got = {r.tile_tier: r["count"] for r in tiles.tier_passes(made).groupBy("tile_tier").count().collect()}
     assert tuple(got.get(k, 0) for k in (100, 400, 800, None)) == want
 
 
@@ -237,3 +236,180 @@ def test_harness(spark, tmp_path):
     at = data.index(b"IDAT")
     raw = zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]])
     assert np.frombuffer(raw, np.uint8).reshape(2, 10)[:, 1:].sum() == 3 * 255
+
+
+def plain_levels(body, seeds, connectivity):
+    far, now = {p: 0 for p in seeds if p in body}, [p for p in seeds if p in body]
+    while now:
+        near = {(r + i, c + j) for r, c in now for i, j in fill.OFFSETS[connectivity]} & body - far.keys()
+        far |= {p: far[now[0]] + 1 for p in near}
+        now = list(near)
+    return far
+
+
+def test_levels_over_many_tiles(spark, monkeypatch):
+    """A maze over 64 tiles, random scenes and a full one; what is written is linear in the pixels and read from counters."""
+    import random
+
+    from rasterloom.operators import levels as module
+
+    rows = []
+
+    def recorded(df, write=components.written):
+        out = write(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "written", recorded)
+    maze = {(r, c) for r in range(64) for c in range(64) if r % 2 == 0 or c == 0} - {(r, 20) for r in range(0, 64, 6)}  # corridors from a spine, some cut
+    rng = random.Random(4)
+    noise = {(r, c) for r in range(60) for c in range(75) if rng.random() < 0.66} | {(30, 30)}
+    full = {(r, c) for r in range(33) for c in range(47)}
+    for body, seeds, connectivity, tile, limit in ((maze, [(0, 0), (1, 1)], 4, (8, 8), 16), (noise, [(0, 1), (1, 1), (30, 30)], 4, (20, 19), 2), (noise, [(30, 30)], 8, (16, 25), 16), (full, [(32, 46), (99, 99)], 8, (12, 12), 16), (full, [(5, 5)], 4, (7, 50), 16)):
+        monkeypatch.setattr(module, "ROUNDS", limit)
+        monkeypatch.setattr(module, "BROADCAST", 10 if limit == 2 else 200_000)
+        rows.clear()
+        components.counters()
+        got = {(r.r, r.c): r.level for r in fill.levels(pixels(spark, sorted(body)), pixels(spark, seeds), connectivity, tile).collect()}
+        assert got == plain_levels(body, seeds, connectivity)
+        assert sum(rows) <= len(body)
+        told = [n for name, n in components.counters() if name == "level_entries"]
+        assert told[-1] == 0 and len(told) > 2
+
+
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_tier_passes(spark, connectivity):
+    """Passes over small tiles on noise, against tiers read off the pixels of labelled blobs; counts of each pass."""
+    import random
+
+    from rasterloom.functions.predicates import on_tile_frame
+
+    rng = random.Random(connectivity)
+    cells = [(i, r, c) for i in range(3) for r in range(70) for c in range(67) if rng.random() < (0.3, 0.5, 0.64)[i]]
+    made = runs.runs_of_pixels(spark.createDataFrame(cells, scenes.PIXEL), 67).cache()
+    sizes = (6, 12, 36)
+    components.counters()
+    got = {(r.image_id, r.blob_id): tuple(r)[2:] for r in tiles.tier_passes(made, connectivity, sizes).collect()}
+    told = dict(components.counters())
+    per = components.labelled_pixels(made, components.label_runs(made, connectivity)).groupBy("image_id", "blob_id").agg(
+        F.count("*").alias("n"), *[F.max(on_tile_frame(t)).alias(f"on_{t}") for t in sizes], F.count_if(on_tile_frame(6)).alias("frame"), F.min(F.when(on_tile_frame(6), F.struct("r", "c"))).alias("first")
+    )
+    want = {(r.image_id, r.blob_id): (r.n, next((t for t in sizes if not r[f"on_{t}"]), None), r.frame, *(r["first"] or (None, None))) for r in per.collect()}
+    assert got == want
+    # what a pass puts off are its own parts of blobs, never fewer than the blobs
+    for t in sizes:
+        left = sum(v[1] is None or v[1] > t for v in want.values())
+        assert told[f"put_off_{t}"] >= left > 0 and told[f"border_pieces_{t}"] > 0
+    assert told["border_pieces_6"] > told["border_pieces_12"] > told["border_pieces_36"]
+    counts = {r.tile_size: (r.done, r.put_off) for r in tiles.pass_counts(tiles.tier_passes(made, connectivity, sizes), sizes).collect()}
+    assert counts == {t: (sum(v[1] == t for v in want.values()), sum(v[1] is None or v[1] > t for v in want.values())) for t in sizes}
+    with pytest.raises(ValueError):
+        tiles.tier_passes(made, connectivity, (6, 9))
+
+
+@pytest.mark.parametrize("size", [2, 5, 10])
+def test_frames_in_closed_form(spark, size):
+    from collections import Counter
+
+    from rasterloom.functions.predicates import frame_layer, on_tile_frame
+
+    made = spark.createDataFrame([(0, 100 * r + s, r, s, s + n) for r in range(23) for s, n in ((0, r), (30, 2 * r), (80 + r % 7, r % 3))], "image_id long, run_id long, r long, s long, e long").cache()
+    cells = fill.pixels_of_runs(made).cache()
+    assert made.agg(F.sum(tiles.frame_pixels(size))).first()[0] == cells.filter(on_tile_frame(size)).count()
+    first = {(r.r, r.s): r.c for r in made.select("r", "s", tiles.first_frame_column(size).alias("c")).collect()}
+    on = {(r.r, r.c) for r in cells.filter(on_tile_frame(size)).collect()}
+    assert first == {(r.r, r.s): next((c for c in range(r.s, r.e + 1) if (r.r, c) in on), None) for r in made.collect()}
+    assert {r.layer: r.pixels for r in tiles.layer_counts(made, size).collect()} == dict(Counter(r.x for r in cells.select(frame_layer(size).alias("x")).collect()))
+    inner = tiles.without_frames(made, size)
+    assert {(r.r, r.c) for r in fill.pixels_of_runs(inner).collect()} == {(r.r, r.c) for r in cells.collect()} - on and inner.filter(F.col("run_id") != 100 * F.col("r") + F.col("s")).isEmpty()
+
+
+def _png(rgb_or_samples, depth, colour, laced=False, palette=None, cut=None):
+    """A PNG file made plainly: samples (height, width, channels), filter by row number."""
+    height, width, channels = rgb_or_samples.shape
+
+    def packed(rows):
+        if depth == 16:
+            return rows.astype(">u2").reshape(len(rows), -1).view(np.uint8).reshape(len(rows), -1)
+        if depth == 8:
+            return rows.astype(np.uint8).reshape(len(rows), -1)
+        bits = (rows.reshape(len(rows), -1)[:, :, None] >> np.arange(depth)[::-1]) & 1
+        return np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1)
+
+    def filtered(rows):
+        out, above, n = b"", np.zeros(rows.shape[1], np.int64), max(1, channels * depth // 8)
+        for i, row in enumerate(rows.astype(np.int64)):
+            kind = (0, 1, 2)[i % 3]
+            left = np.concatenate([np.zeros(n, np.int64), row[:-n]]) if len(row) > n else np.zeros(len(row), np.int64)
+            out += bytes([kind]) + ((row - (0, left, above)[kind]) % 256).astype(np.uint8).tobytes()
+            above = row
+        return out
+
+    steps = images.PASSES if laced else ((0, 0, 1, 1),)
+    raw = b"".join(filtered(packed(rgb_or_samples[t::d, l::a])) for l, t, a, d in steps if l < width and t < height)
+    data = zlib.compress(raw)[:cut]
+    parts = [png.chunk(b"IDAT", data[i : i + 50]) for i in range(0, len(data), 50)]
+    head = png.chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, int(laced)))
+    return b"\x89PNG\r\n\x1a\n" + head + (png.chunk(b"PLTE", bytes(palette)) if palette is not None else b"") + b"".join(parts) + png.chunk(b"IEND", b"")
+
+
+def test_png_kinds(spark):
+    """Every colour type, depth and interlacing; broken files keep a row with their error."""
+    rng = np.random.default_rng(1)
+    files, want = [], {}
+    for colour, depths in images.DEPTHS.items():
+        for depth in depths:
+            for laced in (False, True):
+                for height, width in ((11, 13), (1, 1), (5, 3)):
+                    samples = rng.integers(0, 1 << depth, (height, width, images.CHANNELS[colour]))
+                    if colour in (2, 6):
+                        samples[rng.random((height, width)) < 0.5, :3] = ((1 << depth) - 1, 0, 0)
+                    palette = rng.integers(0, 256, (1 << depth, 3)) if colour == 3 else None
+                    if colour == 3:
+                        palette[: len(palette) // 2 + 1] = (255, 255, 255)
+                    eight = samples >> 8 if depth == 16 else samples if depth == 8 or colour == 3 else samples * (255 // ((1 << depth) - 1))
+                    rgb = palette[samples[:, :, 0]] if colour == 3 else eight[:, :, :3] if colour in (2, 6) else np.repeat(eight[:, :, :1], 3, axis=2)
+                    data = _png(samples, depth, colour, laced, None if palette is None else palette.astype(np.uint8).ravel())
+                    assert np.array_equal(np.concatenate(list(images.png_bands(memoryview(data)))), rgb), (colour, depth, laced)
+                    want[len(files)] = {(r, c) for r, c in zip(*np.nonzero((rgb != 255).any(axis=2)))}
+                    files.append((len(files), bytearray(data)))
+    good = _png(rng.integers(0, 256, (9, 9, 3)), 8, 2)
+    broken = [None, b"", b"no image", good[:60], good[:-30], _png(rng.integers(0, 256, (9, 9, 3)), 8, 2, cut=-20), good.replace(b"IDAT", b"JDAT"), _png(np.full((3, 3, 1), 200), 8, 3, palette=[1, 2, 3]), good[:24] + b"\x03" + good[25:]]
+    files += [(1000 + i, None if b is None else bytearray(b)) for i, b in enumerate(broken)]
+    df = spark.createDataFrame(files, "image_id long, png binary")
+    got = images.read_png(df, "not_white").collect()
+    assert {r.image_id: bool(r.error) for r in got if r.error} == {1000 + i: True for i in range(len(broken))}
+    found = {}
+    for r in got:
+        if not r.error:
+            found.setdefault(r.image_id, set()).update((r.r, c) for c in range(r.s, r.e + 1))
+    assert found == {k: v for k, v in want.items() if v}
+    assert images.runs_of_png(df, "not_white").count() == len(got) - len(broken)
+
+
+def test_png_source(spark, tmp_path):
+    """Files of several bands from several partitions are written and read back; broken ones keep a row; a failed write leaves none."""
+    from rasterloom.sources import png_source
+
+    points = [(i, r, (r * 7 + i) % 40) for i in range(3) for r in range(0, 1000, 3)]
+    red = F.struct(F.lit(255).alias("red"), F.lit(0).alias("green"), F.lit(0).alias("blue"))
+    bands = png.named_bands(png.painted(spark.createDataFrame(points, scenes.PIXEL).repartition(5), red), 1000, 40)
+    folder = tmp_path / "files"
+    png_source.write_png_files(bands, str(folder))
+    assert sorted(p.name for p in folder.iterdir()) == [f"image_{i}.png" for i in range(3)]
+    assert (folder / "image_0.png").read_bytes().count(b"IDAT") == 5
+    (folder / "broken.png").write_bytes((folder / "image_0.png").read_bytes()[:300])
+    (folder / "other.txt").write_text("no image")
+    got = png_source.read_png_files(spark, str(folder), "exact_red").collect()
+    assert {(int(r.path[-5]), r.r, c) for r in got if r.error is None for c in range(r.s, r.e + 1)} == set(points)
+    assert [r.path.endswith("broken.png") for r in got if r.error] == [True]
+    one = spark.read.format(png_source.NAME).load(str(folder)).filter(f"path = '{folder}/image_1.png' and foreground = 'red_tolerant'")
+    assert one.rdd.getNumPartitions() == 1 and {r.path[-5] for r in one.collect()} == {"1"} and one.count() == len(points) // 3
+    png_source.write_png_files(bands.filter("name like '%2.png'"), str(folder), "overwrite")
+    assert sorted(p.name for p in folder.iterdir()) == ["image_2.png", "other.txt"]
+    # a band that is missing fails the task: nothing is left, the old file stays
+    with pytest.raises(Exception, match="missing"):
+        png_source.write_png_files(bands.filter("band != 1"), str(folder))
+    assert sorted(p.name for p in folder.iterdir()) == ["image_2.png", "other.txt"]
+    with pytest.raises(Exception, match="write bands"):
+        spark.range(1).write.format(png_source.NAME).mode("append").save(str(folder))
