@@ -13,9 +13,9 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
-from rasterloom.operators.runs import runs_of_pixels, touching
+from rasterloom.operators.runs import lookup, runs_of_pixels, touching
 
 #: Rows and columns of the tiles in which runs are labelled side by side.
 TILE = (128, 256)
@@ -147,21 +147,25 @@ def merged_labels(links: DataFrame) -> DataFrame:
     """(image_id, local, root): the smallest label that links reach, for labels with a link to another.
 
     Alternating large-star and small-star steps, a written table a round; a hot label is pre-aggregated."""
-    now, before = written(links.select("image_id", F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()), None
+    def step(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        """A written round, and its number and checksum of pairs, both taken while it is written."""
+        seen = Observation()
+        out = written(pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("image_id", "u", "v").cast("decimal(38,0)")).alias("h")))
+        counted("label_links", seen.get["n"])
+        return out, (seen.get["n"], seen.get["h"])
+
+    (now, state), before = step(links.select("image_id", F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()), None
 
     def with_least(pairs: DataFrame) -> DataFrame:
         least = pairs.groupBy("image_id", "u").agg(F.min("v").alias("m")).select("image_id", "u", F.least("u", "m").alias("m"))
         return pairs.join(least, ["image_id", "u"])
 
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("image_id", "u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
+    while state[0] and state != before:
         before = state
         both = now.select("image_id", "u", "v").union(now.select("image_id", F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both).filter("v > u").select("image_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = with_least(large)
-        now = written(small.select("image_id", "u", "m").union(small.select("image_id", "v", "m")).filter("u != m").select("image_id", "u", F.col("m").alias("v")).distinct())
+        now, state = step(small.select("image_id", "u", "m").union(small.select("image_id", "v", "m")).filter("u != m").select("image_id", "u", F.col("m").alias("v")).distinct())
     return now.select("image_id", F.col("u").alias("local"), F.col("v").alias("root"))
 
 
@@ -196,11 +200,33 @@ def ordinals(table: DataFrame) -> DataFrame:
     return numbered.withColumn("object_id", (F.col("ahead") + F.col("inside")).cast("int")).select(*table.columns, "object_id")
 
 
-def objects(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """object_id with its points in scan order: a row as large as its blob; object_summary() needs none of them."""
-    ids = ordinals(labels.select("image_id", "blob_id").distinct())
-    points = labelled_pixels(runs, labels).groupBy("image_id", "blob_id").agg(F.array_sort(F.collect_list(F.struct("r", "c"))).alias("points"))
-    return points.join(ids, ["image_id", "blob_id"])
+def object_chunks(runs: DataFrame, labels: DataFrame, size: int = 10_000) -> DataFrame:
+    """The points of each object in scan order as rows of bounded size; runs jobs when called.
+
+    Returns image_id, object_id, blob_id, chunk, first (ordinal of its first point in the object, from 0), points and runs, an array of
+    (first, r, s, e). A chunk has the runs that begin within the next `size` points, so under twice as many, since longer runs are cut.
+    The runs are dealt out in ranges of their order and summed inside each; a small table adds what an object has before a range, so
+    a blob of any size is many tasks."""
+    at = ["image_id", "blob_id"]
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = runs.join(labels, ["image_id", "run_id"]).select(*at, "r", "e", F.explode(F.sequence(F.col("s"), F.col("e"), F.lit(size).cast("long"))).alias("s"))
+    cut = cut.select(*at, "r", "s", F.least(F.col("e"), F.col("s") + size - 1).alias("e"))
+    ranged = written(cut.repartitionByRange(n, *at, "r", "s").withColumn("range", F.spark_partition_id()))
+    length = F.col("e") - F.col("s") + 1
+    held = ranged.groupBy(*at, "range").agg(F.sum(length).alias("held"))
+    ahead = held.select(*at, "range", (F.sum("held").over(Window.partitionBy(*at).orderBy("range")) - F.col("held")).alias("ahead"))
+    inside = F.sum(length).over(Window.partitionBy(*at, "range").orderBy("r", "s")) - length
+    placed = ranged.withColumn("inside", inside).join(ahead, [*at, "range"]).withColumn("first", F.col("ahead") + F.col("inside"))
+    run = F.struct("first", "r", "s", "e")
+    chunks = placed.groupBy(*at, F.floor(F.col("first") / size).alias("chunk")).agg(F.min("first").alias("first"), F.sum(length).alias("points"), F.array_sort(F.collect_list(run)).alias("runs"))
+    return chunks.join(ordinals(labels.select(*at).distinct()), at).select("image_id", "object_id", "blob_id", "chunk", "first", "points", "runs")
+
+
+def chunk_points(chunks: DataFrame) -> DataFrame:
+    """(image_id, object_id, ordinal, r, c) of the points in chunks."""
+    runs = chunks.select("image_id", "object_id", F.explode("runs").alias("x"))
+    points = runs.select("image_id", "object_id", "x", F.explode(F.sequence("x.s", "x.e")).alias("c"))
+    return points.select("image_id", "object_id", (F.col("x.first") + F.col("c") - F.col("x.s")).alias("ordinal"), "x.r", "c")
 
 
 def object_summary(runs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -215,5 +241,5 @@ def components_with_seeds(expansion: DataFrame, seeds: DataFrame, width: int, co
     """Blobs of the expansion and seed pixels together that hold a seed: for variants whose two predicates differ."""
     runs = runs_of_pixels(expansion.union(seeds).distinct(), width)
     labels = label_runs(runs, connectivity)
-    with_seed = labelled_pixels(runs, labels).join(seeds, ["image_id", "r", "c"], "left_semi").select("image_id", "blob_id").distinct()
+    with_seed = labels.join(lookup(runs, seeds), ["image_id", "run_id"], "left_semi").select("image_id", "blob_id").distinct()
     return blob_table(runs, labels).join(with_seed, ["image_id", "blob_id"], "left_semi")

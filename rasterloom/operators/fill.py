@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterloom.operators.components import label_runs
 from rasterloom.operators.levels import OFFSETS, levels, levels_of_runs  # noqa: F401
-from rasterloom.operators.runs import runs_of_pixels
+from rasterloom.operators.runs import lookup, runs_of_pixels
 
 def first_foreground(pixels: DataFrame) -> DataFrame:
     """The first pixel of each image in row-major order."""
@@ -21,7 +21,7 @@ def first_of_runs(runs: DataFrame) -> DataFrame:
 def seeded_runs(runs: DataFrame, seeds: DataFrame, connectivity: int) -> DataFrame:
     """The runs of the blobs whose runs hold a seed (image_id, r, c); a seed on background fills nothing."""
     labels = label_runs(runs, connectivity)
-    held = runs.join(seeds.select("image_id", "r", "c"), ["image_id", "r"]).filter("c between s and e").select("image_id", "run_id")
+    held = lookup(runs, seeds.select("image_id", "r", "c")).select("image_id", "run_id")
     hit = labels.join(held, ["image_id", "run_id"], "left_semi").select("image_id", "blob_id").distinct()
     return runs.join(labels.join(hit, ["image_id", "blob_id"], "left_semi").select("image_id", "run_id"), ["image_id", "run_id"]).select(*runs.columns)
 

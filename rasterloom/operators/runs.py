@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 #: Columns of a block: runs meet inside a block, so a row with very many runs is no single join key.
 BLOCK = 1024
+#: The same for points that are looked up in runs: a block has at most half as many runs.
+LOOKUP_BLOCK = 256
 
 
 def runs_of_pixels(pixels: DataFrame, width: int, tile: int | None = None) -> DataFrame:
@@ -30,3 +32,13 @@ def touching(runs: DataFrame, connectivity: int, carried: list[str]) -> DataFram
 def adjacent_runs(runs: DataFrame, connectivity: int = 4) -> DataFrame:
     """Pairs (image_id, a, b) of runs that touch in neighbouring rows."""
     return touching(runs, connectivity, ["run_id"]).select("image_id", F.col("run_id_a").alias("a"), F.col("run_id_b").alias("b")).distinct()
+
+
+def lookup(runs: DataFrame, points: DataFrame) -> DataFrame:
+    """The points (image_id, r, c and other columns) that lie in a run, each with run_id.
+
+    Runs are cut at blocks of columns and points fall into one, so both meet on (image, row, block): a row of very many runs and
+    points is many keys, and a block compares at most its own width. Runs must be disjoint; repeated points are kept."""
+    cut = runs.select("image_id", "r", F.explode(F.sequence(F.floor(F.col("s") / LOOKUP_BLOCK), F.floor(F.col("e") / LOOKUP_BLOCK))).alias("block"), "run_id", F.col("s").alias("run_s"), F.col("e").alias("run_e"))
+    placed = points.withColumn("block", F.floor(F.col("c") / LOOKUP_BLOCK))
+    return placed.join(cut, ["image_id", "r", "block"]).filter("c between run_s and run_e").drop("block", "run_s", "run_e")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.functions import colour, reports
+from rasterloom.functions import colour, reports, tables
 from rasterloom.functions.predicates import is_red, is_red_tolerant, not_white
 from rasterloom.operators import components, fill, runs, scan, stats, tiles
 from rasterloom.sinks import png
@@ -97,6 +97,33 @@ def object_points(spark, sf_dir):
     return components.object_summary(*_labelled(spark, sf_dir))
 
 
+def object_chunks(spark, sf_dir):
+    """The points of each object as chunks of runs in scan order."""
+    made = components.object_chunks(*_labelled(spark, sf_dir), size=50)
+    first = F.col("runs")[0]
+    return made.select("image_id", "object_id", "chunk", "first", "points", F.size("runs").cast("long").alias("n_runs"), first.r.alias("first_r"), first.s.alias("first_c"))
+
+
+def sql_tile_labels(spark, sf_dir):
+    """Runs of rows and components of tiles by table functions in SQL."""
+    tables.register(spark)
+    made = spark.sql(
+        f"""WITH cells AS (SELECT image_id, r, c, c div 100 AS block FROM {{dots}}),
+        made AS (SELECT * FROM raster_runs(TABLE(cells) PARTITION BY (image_id, r, block) ORDER BY (c), {DOTS})),
+        placed AS (SELECT *, r div 100 AS strip, s div 100 AS block FROM made)
+        SELECT * FROM raster_tile_labels(TABLE(placed) PARTITION BY (image_id, strip, block), 4)""",
+        dots=_dots(spark, sf_dir),
+    )
+    return made.select("image_id", "run_id", "blob_id")
+
+
+def points_in_runs(spark, sf_dir):
+    """Which of the places where orders lie on each canvas are covered by a rectangle, and by which run."""
+    k, q = F.col("o_orderkey"), F.expr(f"o_orderkey div {ORDERS}")
+    points = _table(spark, sf_dir, "orders").select(k, q.cast("long").alias("image_id"), (k * 7919 % SIZE).alias("r"), (k * 104729 % 49999 % SIZE).alias("c"))
+    return runs.lookup(_runs(spark, sf_dir), points).select("o_orderkey", "image_id", "run_id")
+
+
 def _recolour(scheme: str):
     def query(spark, sf_dir):
         table = components.ordinals(_blobs(spark, sf_dir))
@@ -343,7 +370,8 @@ _OWN = (
     scene_pixels, scene_runs, pixel_runs, blob_table_4, blob_table_8, dots_blobs_4, dots_blobs_8, blob_count, multi_image_blob_counts, object_points, seed_first_red, seeded_fill,
     bfs_levels, frontier_sizes, fill_iterations, chunk_distribution, slice_distribution, visited_ring, edge_pixels, tile_tier, tier_passes, visited_state, boundary_pixels, boundary_overlay, state_overlay, grid_overlay, frame_pixel_count, tile_local_components,
     frame_layers, scan_ticks, scan_first_found, scan_last_found, scan_colours, tolerant_vs_exact, pack_unpack_rgb, worker_blue, size_and_duration_text, memory_text, occupancy, blocks_per_processor,
-    queue_work, sweep_grid, bench_group_stats, bench_topk, bench_argmax, bench_grouping_sets, first_and_last, used_workers, tanh_sum, vector_add, image_blobs, image_file_blobs,
+    queue_work, sweep_grid, bench_group_stats, bench_topk, bench_argmax, bench_grouping_sets, first_and_last, used_workers, tanh_sum, vector_add, image_blobs, image_file_blobs, object_chunks, sql_tile_labels,
+    points_in_runs,
 )
 QUERIES = {f.__name__: f for f in _OWN} | {f"blob_recolour_{k}": _recolour(k) for k in colour.SCHEMES}
 

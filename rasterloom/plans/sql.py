@@ -74,6 +74,13 @@ ORACLE_SQL = {
     "blob_count": f"{_SCENE} SELECT image_id, count(DISTINCT blob_id) AS blobs, sum(area)::BIGINT AS area, max(area) AS largest FROM blobs GROUP BY image_id",
     "multi_image_blob_counts": f"WITH RECURSIVE {_NATIONS}, {_labels(400)} SELECT image_id, count(*) AS blobs, sum(area)::BIGINT AS area FROM blobs GROUP BY image_id",
     "object_points": f"{_SCENE}, p AS (SELECT image_id, blob_id, count(*) AS points, arg_min(c, r * 400 + c) AS first_c, max(r) AS last_r FROM cells GROUP BY image_id, blob_id) SELECT row_number() OVER (PARTITION BY image_id ORDER BY blob_id)::INT AS object_id, * FROM p",
+    "object_chunks": f"""{_SCENE}, cut AS (SELECT image_id, blob_id, r, unnest(range(s, e + 1, 50)) AS s, e FROM runs JOIN labels USING (image_id, run_id)),
+o AS (SELECT image_id, blob_id, row_number() OVER (PARTITION BY image_id ORDER BY blob_id)::INT AS object_id FROM blobs),
+n AS (SELECT image_id, blob_id, r, s, least(e, s + 49) - s + 1 AS n FROM cut),
+f AS (SELECT *, (sum(n) OVER (PARTITION BY image_id, blob_id ORDER BY r, s) - n)::BIGINT AS first FROM n)
+SELECT image_id, object_id, first // 50 AS chunk, min(first) AS first, sum(n)::BIGINT AS points, count(*) AS n_runs, arg_min(r, first) AS first_r, arg_min(s, first) AS first_c FROM f JOIN o USING (image_id, blob_id) GROUP BY image_id, object_id, chunk""",
+    "sql_tile_labels": f"WITH RECURSIVE {_DOTS}, {_labels(200, 0, 'px', 'a.r // 100 = b.r // 100 AND a.s // 100 = b.s // 100')} SELECT image_id, run_id, blob_id FROM labels",
+    "points_in_runs": f"{_SCENE} SELECT o_orderkey, o.image_id, run_id FROM (SELECT o_orderkey, o_orderkey // 15000 AS image_id, o_orderkey * 7919 % 400 AS r, o_orderkey * 104729 % 49999 % 400 AS c FROM orders) o JOIN runs USING (image_id, r) WHERE c BETWEEN s AND e",
     "seed_first_red": f"WITH {_NATIONS}, m AS (SELECT image_id, min(r * 400 + c) AS p FROM px GROUP BY image_id) SELECT image_id, p // 400 AS r, p % 400 AS c FROM m",
     "seeded_fill": f"{_FILL} SELECT * FROM body",
     "bfs_levels": f"{_LEVELS} SELECT * FROM bfs",

@@ -413,3 +413,67 @@ def test_png_source(spark, tmp_path):
     assert sorted(p.name for p in folder.iterdir()) == ["image_2.png", "other.txt"]
     with pytest.raises(Exception, match="write bands"):
         spark.range(1).write.format(png_source.NAME).mode("append").save(str(folder))
+
+
+def test_lookup_of_a_long_row(spark):
+    """A row of 1e5 runs and 1e5 points, a run over all columns, repeated points and points beside runs."""
+    import time
+
+    row = spark.range(100_000).select(F.lit(0).cast("long").alias("image_id"), (F.col("id") * 4).alias("run_id"), F.lit(7).cast("long").alias("r"), (F.col("id") * 4).alias("s"), (F.col("id") * 4 + 1).alias("e"))
+    wide = spark.createDataFrame([(0, 900_000, 9, 0, 399_999)], row.schema)
+    points = spark.range(100_000).select(F.lit(0).cast("long").alias("image_id"), F.lit(7).cast("long").alias("r"), (F.col("id") * 4 + F.col("id") % 4).alias("c"), F.col("id").alias("name"))
+    points = points.union(points.withColumn("r", F.lit(9).cast("long"))).union(points.limit(1).withColumn("r", F.lit(9).cast("long")))
+    began = time.time()
+    got = runs.lookup(row.union(wide), points).groupBy("r").agg(F.count("*").alias("n"), F.count_if(F.col("run_id") == F.col("name") * 4).alias("own")).collect()
+    assert {r.r: (r.n, r.own) for r in got} == {7: (50_000, 50_000), 9: (100_001, 0)}
+    assert time.time() - began < 60
+
+
+def test_object_chunks(spark):
+    """A blob of 1e7 pixels as rows of bounded size, in scan order."""
+    made = scenes.runs_of_rects(scenes.centred_square(spark, 3200, 3200, 3164), 3200)
+    made = made.union(spark.createDataFrame([(0, 5, 0, 5, 9)], made.schema)).withColumns({c: F.col(c).cast("long") for c in made.columns})
+    labels = components.label_runs(made)
+    chunks = components.object_chunks(made, labels, 10_000).cache()
+    rows = chunks.select("object_id", "chunk", "first", "points", F.size("runs").alias("n"), F.col("runs")[0].alias("a"), F.expr("runs[size(runs) - 1]").alias("z")).collect()
+    big = sorted((r for r in rows if r.object_id == 2), key=lambda r: r.chunk)
+    assert sum(r.points for r in big) == 3164**2 and max(r.points for r in rows) < 20_000 and max(r.n for r in rows) <= 5 and len(rows) == len(big) + 1
+    at = 0
+    for r, after in zip(big, [*big[1:], None]):
+        assert r.first == at == r.a.first
+        at += r.points
+        assert after is None or (r.z.r, r.z.e) < (after.a.r, after.a.s)
+    few = components.chunk_points(components.object_chunks(*(lambda m: (m, components.label_runs(m, 8)))(runs.runs_of_pixels(pixels(spark, dots(45)), 40)), size=3))
+    want = {}
+    for b, r, c in sorted((r.blob_id, r.r, r.c) for r in components.labelled_pixels(*(lambda m: (m, components.label_runs(m, 8)))(runs.runs_of_pixels(pixels(spark, dots(45)), 40))).collect()):
+        want.setdefault(b, []).append((r, c))
+    got = {}
+    for o, k, r, c in sorted((r.object_id, r.ordinal, r.r, r.c) for r in few.collect()):
+        assert k == len(got.setdefault(o, []))
+        got[o].append((r, c))
+    assert [got[o] for o in sorted(got)] == [want[b] for b in sorted(want)]
+
+
+def test_table_functions(spark):
+    from rasterloom.functions import tables as functions
+
+    functions.register(spark)
+    cells = pixels(spark, dots(45)).union(pixels(spark, [(0, 0), (0, 0), (39, 39)], 3))
+    made = spark.sql("SELECT * FROM raster_runs(TABLE({cells}) PARTITION BY (image_id, r) ORDER BY (c), 40)", cells=cells)
+    want = runs.runs_of_pixels(cells.distinct(), 40)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(made) == key(want)
+    for connectivity in (4, 8):
+        labels = spark.sql(f"SELECT * FROM raster_tile_labels(TABLE({{made}}) PARTITION BY (image_id), {connectivity})", made=made)
+        assert key(labels) == key(components.label_runs(want, connectivity))
+    assert spark.sql("SELECT * FROM raster_runs(TABLE({none}) PARTITION BY (image_id, r) ORDER BY (c), 40)", none=cells.limit(0)).collect() == []
+
+
+def test_rounds_end_on_observed_counts(spark, monkeypatch):
+    """Label rounds take their end from the writes: no job but those of the writes runs."""
+    made = runs.runs_of_pixels(pixels(spark, dots(60)), 40).cache()
+    made.count()
+    components.counters()
+    components.label_runs(made, 4, (5, 5))
+    told = [n for name, n in components.counters() if name == "label_links"]
+    assert len(told) >= 2 and told[-1] == told[-2] > 0
