@@ -1,7 +1,8 @@
 """Scenes: rectangles, squares, discs, walks, packed blocks and organic blobs, as rectangles, runs or pixels.
 
 Rectangles stay rectangles as long as possible: runs come from them row by row, so a scene of 81 million pixels is a
-few hundred thousand rows. Only sequential recipes (walks, packing, growth) are made group by group in Python."""
+few hundred thousand rows. Sequential recipes (walks, packing, growth) are made in Python, a
+group for each walk, strip of a packed scene or cell of an organic one."""
 
 from __future__ import annotations
 
@@ -11,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from rasterloom.operators.components import written
+
 RECT = "image_id long, r0 long, c0 long, h long, w long"
 PIXEL = "image_id long, r long, c long"
 
@@ -87,32 +90,61 @@ def random_walks(walks: DataFrame, height: int, width: int, steps: int, radius:
     return walks.groupBy("image_id", "walk").applyInPandas(walk, PIXEL).distinct()
 
 
-def packed_blocks(scenes: DataFrame, size: int, largest: int = 40, pad: int = 3) -> DataFrame:
-    """Squares of random side 1..largest, placed greedily in scan order wherever one fits with `pad` pixels to all others.
-
-    scenes: image_id, seed. At each free pixel the side is drawn from those that fit: as far as the free run to the right
-    and the canvas go. A column is blocked down to the row under the last square near it, which is all that the fit needs,
-    since squares come in scan order."""
-
-    def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, out = np.random.default_rng(int(pdf.seed.iloc[0])), []
-        free_from = np.zeros(size, np.int64)  # the first row in which each column is free
-        for r in range(size):
-            c = 0
-            while c < size:
-                ahead = free_from[c : c + min(largest, size - r)] > r
-                if ahead[0]:
-                    c += 1
-                    continue
-                run = int(ahead.argmax()) if ahead.any() else len(ahead)
-                side = int(rng.integers(1, run + 1))
-                out.append((key[0], r, c, side, side))
-                beside = free_from[max(0, c - pad) : c + side + pad]
-                np.maximum(beside, r + side + pad, out=beside)
+def packed_blocks(scenes: DataFrame, size: int, largest: int = 40, pad: int = 3, strip: int = 256) -> DataFrame:
+    """Squares of random side 1..largest, placed greedily in scan order wherever one fits with `pad` pixels to all others and
+    to the edge of the canvas. scenes: image_id, seed. Runs a job.
+
+    Strips of columns are packed side by side, first those of even number, then the others around what reaches into them; squares
+    do not cross strips. At each free pixel the side is drawn from those that fit. A column is blocked down to the row under the last square
+    near it, which is all that squares of the own strip need, since they come in scan order; those of the neighbours are a mask."""
+    n = max(1, -(-(size - 2 * pad) // strip))
+
+    def pack(rng: np.random.Generator, low: int, wide: int, blocked: np.ndarray) -> list[tuple]:
+        out, free_from = [], np.zeros(wide, np.int64)  # the first row in which each column is free
+        for r in range(pad, size - pad):
+            taken, c = (free_from > r) | blocked[r], 0
+            while c < wide:
+                if taken[c]:
+                    free = ~taken[c:]
+                    if not free.any():
+                        break
+                    c += int(free.argmax())
+                ahead = taken[c : c + min(largest, size - pad - r)]
+                most = int(ahead.argmax()) if ahead.any() else len(ahead)
+                while blocked[r : r + most, c : c + most].any():
+                    most -= 1
+                side = int(rng.integers(1, most + 1))
+                out.append((r, low + c, side, side))
+                beside = slice(max(0, c - pad), c + side + pad)
+                np.maximum(free_from[beside], r + side + pad, out=free_from[beside])
+                taken[beside] = True
                 c += side + pad
-        return pd.DataFrame(out, columns=["image_id", "r0", "c0", "h", "w"]).astype("int64")
-
-    return scenes.groupBy("image_id").applyInPandas(place, RECT)
+        return out
+
+    def place(key: tuple, scene: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        if scene.empty:
+            return pd.DataFrame([], columns=["image_id", "strip", "r0", "c0", "h", "w"]).astype("int64")
+        number = int(key[1])
+        low = pad + number * strip
+        wide = min(strip, size - pad - low)
+        blocked = np.zeros((size, wide), bool)
+        for x in around.itertuples(index=False):
+            blocked[max(0, x.r0 - pad) : x.r0 + x.h + pad, max(0, x.c0 - pad - low) : max(0, x.c0 + x.w + pad - low)] = True
+        rows = pack(np.random.default_rng([int(scene.seed.iloc[0]), number]), low, wide, blocked)
+        return pd.DataFrame([(key[0], number, *x) for x in rows], columns=["image_id", "strip", "r0", "c0", "h", "w"]).astype("int64")
+
+    strips = scenes.select("image_id", "seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("strip"))
+    schema = f"image_id long, strip long, {RECT.partition(', ')[2]}"
+
+    def packed(part: DataFrame, around: DataFrame) -> DataFrame:
+        return part.groupBy("image_id", "strip").cogroup(around.groupBy("image_id", "strip")).applyInPandas(place, schema)
+
+    none = scenes.sparkSession.createDataFrame([], schema)
+    first = written(packed(strips.filter("strip % 2 = 0"), none))
+    reach = first.filter((F.col("c0") - pad < pad + F.col("strip") * strip) | (F.col("c0") + F.col("w") + pad > pad + (F.col("strip") + 1) * strip))
+    beside = reach.withColumn("strip", F.explode(F.array(F.col("strip") - 1, F.col("strip") + 1)))
+    rest = packed(strips.filter("strip % 2 = 1"), beside)
+    return first.unionByName(rest).drop("strip")
 
 
 def grown(rng: np.random.Generator, r0: int, c0: int, radius: int, height: int, width: int, taken: np.ndarray | None = None) -> set[tuple[int, int]]:
@@ -143,21 +175,72 @@ def organic_blobs(seeds: DataFrame, height: int, width: int) -> DataFrame:
     return seeds.groupBy("image_id", "blob").applyInPandas(grow, PIXEL).distinct()
 
 
+#: A blob as a row: its number in its scene, the phase and order in which it was drawn, its seed, its runs.
+BODY = "image_id long, blob long, phase int, number long, r long, c long, rs array<long>, ss array<long>, es array<long>"
+
+
+def organic_bodies(scenes: DataFrame, height: int, width: int, target: int, separation: int = 20, radius: tuple[int, int] = (5, 100), tries: int = 20) -> DataFrame:
+    """Up to `target` blobs a scene (image_id, seed) as rows (BODY), with at most tries * target attempts. Runs jobs.
+
+    A seed has no pixel of an earlier blob within `separation`, and no blob grows into another. The canvas is cut into
+    cells of at least twice the largest radius and the separation, dealt to four phases like the fields of a chessboard, so that
+    cells of one phase can't reach each other; each cell is a group that knows the earlier blobs near it, and has its share of the
+    target and the attempts by its area."""
+    reach = radius[1] + separation
+    cell = max(512, 2 * radius[1] + separation + 1)
+    low, high, right = reach, max(reach + 1, height - reach), max(reach + 1, width - reach)  # where seeds lie
+    long = lambda n: F.lit(n).cast("long")
+    cells = scenes.select("image_id", "seed", F.explode(F.sequence(long(0), long((height - 1) // cell))).alias("strip"))
+    cells = cells.select("*", F.explode(F.sequence(long(0), long((width - 1) // cell))).alias("block"))
+    ahead = lambda n, top: F.least(F.greatest(n * cell, F.lit(low)), F.lit(top)) - low
+    a0, a1, b0, b1 = ahead(F.col("strip"), high), ahead(F.col("strip") + 1, high), ahead(F.col("block"), right), ahead(F.col("block") + 1, right)
+    before, after = a0 * (right - low) + (a1 - a0) * b0, a0 * (right - low) + (a1 - a0) * b1
+    share = lambda area: F.floor(area * target / ((high - low) * (right - low)))
+    cells = cells.withColumns({"quota": share(after) - share(before), "phase": (F.col("strip") % 2 * 2 + F.col("block") % 2).cast("int")}).filter("quota > 0")
+    across = (width - 1) // cell + 1
+
+    def draw(key: tuple, own: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for x in own.itertuples(index=False):
+            r0, c0 = max(0, x.strip * cell - reach), max(0, x.block * cell - reach)
+            r1, c1 = min(height, (x.strip + 1) * cell + reach), min(width, (x.block + 1) * cell + reach)
+            taken = np.zeros((r1 - r0, c1 - c0), bool)
+            for rs, ss, es in zip(around["rs"], around["ss"], around["es"]):
+                for r, s, e in zip(rs, ss, es):
+                    if r0 <= r < r1 and e >= c0:
+                        taken[r - r0, max(0, s - c0) : max(0, e + 1 - c0)] = True
+            rng, made = np.random.default_rng([int(x.seed), int(x.strip), int(x.block)]), 0
+            rows, columns = (max(x.strip * cell, low), min((x.strip + 1) * cell, high)), (max(x.block * cell, low), min((x.block + 1) * cell, right))
+            for _ in range(tries * int(x.quota)):
+                if made == x.quota:
+                    break
+                r, c = int(rng.integers(*rows)) - r0, int(rng.integers(*columns)) - c0
+                if taken[max(0, r - separation) : r + separation + 1, max(0, c - separation) : c + separation + 1].any():
+                    continue
+                body = grown(rng, r, c, int(rng.integers(radius[0], radius[1] + 1)), r1 - r0, c1 - c0, taken)
+                if body:
+                    at = np.array(sorted(body))
+                    taken[at[:, 0], at[:, 1]] = True
+                    begins = np.flatnonzero((np.diff(at[:, 0], prepend=-1) != 0) | (np.diff(at[:, 1], prepend=-9) != 1))
+                    ends = np.append(begins[1:] - 1, len(at) - 1)
+                    number = (int(x.strip) * across + int(x.block)) * tries * target + made
+                    out.append((x.image_id, number, x.phase, made, r + r0, c + c0, at[begins, 0] + r0, at[begins, 1] + c0, at[ends, 1] + c0))
+                    made += 1
+        return pd.DataFrame(out, columns=["image_id", "blob", "phase", "number", "r", "c", "rs", "ss", "es"]).astype({k: "int64" for k in ("image_id", "blob", "number", "r", "c")} | {"phase": "int32"})
+
+    at = ["image_id", "strip", "block"]
+    done = scenes.sparkSession.createDataFrame([], BODY)
+    for phase in range(4):
+        span = lambda low, high, size: F.explode(F.sequence(F.greatest(F.floor((low - reach) / cell), F.lit(0)), F.floor((high + reach) / cell)))
+        near = done.withColumn("strip", span(F.array_min("rs"), F.array_max("rs"), height)).withColumn("block", span(F.array_min("ss"), F.array_max("es"), width))
+        now = cells.filter(F.col("phase") == phase)
+        made = now.groupBy(*at).cogroup(near.join(now.select(*at), at, "left_semi").groupBy(*at)).applyInPandas(draw, BODY)
+        done = done.unionByName(written(made))
+    return done
+
+
 def organic_scenes(scenes: DataFrame, height: int, width: int, target: int, separation: int = 20, radius: tuple[int, int] = (5, 100), tries: int = 20) -> DataFrame:
-    """(image_id, blob, r, c) of up to `target` blobs a scene (image_id, seed), with at most tries * target attempts; no
-    pixel of a blob lies within `separation` of an earlier one's. One group a scene, since each blob depends on the last."""
-
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, near, out, made = np.random.default_rng(int(pdf.seed.iloc[0])), np.zeros((height, width), bool), [], 0
-        for _ in range(tries * target):
-            if made == target:
-                break
-            r, c = int(rng.integers(height)), int(rng.integers(width))
-            body = set() if near[r, c] else grown(rng, r, c, int(rng.integers(radius[0], radius[1] + 1)), height, width, near)
-            for a, b in body:
-                out.append((key[0], made, a, b))
-                near[max(0, a - separation) : a + separation + 1, max(0, b - separation) : b + separation + 1] = True
-            made += bool(body)
-        return pd.DataFrame(out, columns=["image_id", "blob", "r", "c"]).astype("int64")
-
-    return scenes.groupBy("image_id").applyInPandas(draw, "image_id long, blob long, r long, c long")
+    """(image_id, blob, r, c): the pixels of organic_bodies()."""
+    made = organic_bodies(scenes, height, width, target, separation, radius, tries)
+    runs = made.select("image_id", "blob", F.explode(F.arrays_zip("rs", "ss", "es")).alias("x"))
+    return runs.select("image_id", "blob", F.col("x.rs").alias("r"), F.explode(F.sequence("x.ss", "x.es")).alias("c"))
