@@ -1,5 +1,5 @@
-"""Personal data: four base kinds by pattern, then bootstrapped contextual extraction. Base finds, and values that follow
-a word for a credential, are the seeds; the words before, after and around them are lexical patterns; a pattern-instance
+"""Personal data: four base kinds by pattern, then bootstrapped contextual extraction. Base finds, and hexadecimal values that
+follow a word for a credential, are the seeds; the words before, after and around them are lexical patterns; a pattern-instance
 graph is scored until no pattern is added; patterns of high confidence discover further identifiers: digit groups joined
 by blanks, dashes, dots or brackets, tokens with a digit, @, (at) or [at], and values behind a key such as `tel:`.
 
@@ -27,6 +27,9 @@ SECRET = (
     r"(?<=(?i:token|secret|passw(?:or)?d|pwd|credentials?|(?:api|access|auth|private|secret)[_\x20-]?key)[\"']?[\x20\t]{0,2}[=:][\x20\t]{0,2}[\"']?)"
     r"[A-Za-z0-9_+/-]++(?:\.[A-Za-z0-9_+/-]++)*+=*+"
 )
+#: Of those values the ones that are seeds: hexadecimal digits only. The others have to be found by their contexts; those whose context is not
+#: learned are still told by SECRET, and counted apart.
+SEED_SECRET = r"\A[0-9A-Fa-f]{32,}\z"
 #: Identifier-like tokens: those with a digit, an @, (at) or [at]. A text without TOKEN_NEEDS has none.
 TOKEN = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@(\[]++|\((?!at\))|\[(?!at\]))*+(?:[0-9@]|\(at\)|\[at\])[^\x20\x09-\x0D]*+"
 #: A text without these has no match of the kind.
@@ -87,7 +90,7 @@ def _matches(kind: str, gaps: Column, hits: Column) -> Column:
 
 def _candidates(df: DataFrame, key: str, text: str) -> DataFrame:
     """All matches with their places: id, row (digest that tells rows of one key apart), kind, start, end, hit, gap, before,
-    after, seed (found by pattern, not a token), base (of the base kinds)."""
+    after, seed (of a base kind, or a SEED_SECRET), base (of the base kinds)."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("id"), F.xxhash64(body).alias("row"), body.alias("text"))
     kinds = {**KINDS, "secret": SECRET, "token": TOKEN}
@@ -103,7 +106,8 @@ def _candidates(df: DataFrame, key: str, text: str) -> DataFrame:
     so_far = Window.partitionBy("id", "row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).withColumn("start", F.col("end") - F.col("size"))
     hits = hits.filter(F.col("valid") & (F.col("hit").isNotNull() | (F.col("kind") != "token")))
-    return hits.select("id", "row", "kind", "start", "end", "hit", "gap", "before", "after", (F.col("kind") != "token").alias("seed"), F.col("kind").isin(*KINDS).alias("base"))
+    seed = (F.col("kind") != "token") & ((F.col("kind") != "secret") | F.coalesce(F.col("hit").rlike(SEED_SECRET), F.lit(False)))
+    return hits.select("id", "row", "kind", "start", "end", "hit", "gap", "before", "after", seed.alias("seed"), F.col("kind").isin(*KINDS).alias("base"))
 
 
 def _free_tokens(hits: DataFrame) -> DataFrame:
@@ -113,7 +117,7 @@ def _free_tokens(hits: DataFrame) -> DataFrame:
     back = Window.partitionBy("id", "row").orderBy(F.desc("start"))  # running minima from the end: linear in the row's finds
     held = held.withColumn("after_start", F.min(F.when(F.col("seed"), F.col("start"))).over(back.rangeBetween(Window.unboundedPreceding, 0)))
     free = (F.coalesce("before_end", F.lit(-1)) <= F.col("start")) & (F.coalesce(F.col("after_start") >= F.col("end"), F.lit(True)))
-    return held.filter(F.col("hit").isNotNull() & (F.col("seed") | free)).drop("before_end", "after_start")
+    return held.filter(F.col("hit").isNotNull() & (F.col("seed") | (free & (F.col("kind") == "token")))).drop("before_end", "after_start")
 
 
 def _core(hit: Column) -> tuple[Column, Column, Column]:
@@ -194,17 +198,17 @@ def _scored(graph: DataFrame) -> DataFrame:
     per = graph.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count("*").alias("instances"))
     sides = labelled.join(fitting, ["pattern", "kind"], "full").na.fill(0, ["seeds", "fitting"]).join(per, "pattern")
     sides = written(sides.withColumn("other", F.greatest(F.lit(0), F.col("instances") - F.col("seeds") - F.col("fitting"))), "sides")
-    known, before = seeds, -1
+    known, before = seeds, None
     while True:
         score = known.groupBy("pattern", "kind").agg(F.sum("belief").alias("belief"), F.count("*").alias("support")).filter(F.col("support") >= SUPPORT)
         unknown = F.greatest(F.lit(0), F.col("seeds") + F.col("fitting") - F.col("support"))
         confidence = F.col("belief") / (F.col("belief") + F.col("other") + DOUBT * unknown + 1)
         strong = score.join(sides, ["pattern", "kind"]).withColumn("confidence", confidence).filter(F.col("confidence") >= CONFIDENCE)
         strong = written(strong.select("pattern", "kind", "confidence"), "patterns")
-        n = strong.count()
-        if n == before or n == 0:
+        state = strong.agg(F.count("*").alias("n"), F.sum(F.xxhash64("pattern", "kind").cast("decimal(38,0)")).alias("h")).first()  # the set, not its size
+        if state == before or state.n == 0:
             return strong
-        before = n
+        before = state
         new = (
             free.join(strong, "pattern").filter(_fits(F.col("kind")))
             .groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("belief"))
@@ -218,14 +222,16 @@ def _fits(kind: Column) -> Column:
 
 
 def find_spans(df: DataFrame, key: str = "doc_id", text: str = "text", contextual: bool = True) -> DataFrame:
-    """All spans: id, row, kind, start, end (code points), base (of a base kind, found by pattern) or not.
+    """All spans: id, row, kind, start, end (code points), base (of a base kind, found by pattern) or not, graph (discovered by a
+    strong pattern of the graph) or not.
 
     Base kinds are matched leftmost and non-overlapping over the whole text, each kind alone. The others are credentials
     (kind secret) and what strong patterns discover, of at most LONGEST code points. Null and empty texts and an empty
     table have none. Rows repeated with the same key and text count once; texts and tokens of any length, null keys and
     several texts of a key are allowed; other columns are ignored, whatever their names."""
     hits = written(_candidates(df, key, text), "finds")
-    spans = hits.filter(F.col("base") | (F.col("seed") if contextual else F.lit(False))).select("id", "row", "kind", "start", "end", "base")
+    told = F.col("base") | ((F.col("kind") == "secret") if contextual else F.lit(False))
+    spans = hits.filter(told).select("id", "row", "kind", "start", "end", "base", F.lit(False).alias("graph"))
     if not contextual:
         return spans
     edges = _patterns(_instances(_free_tokens(hits)))
@@ -233,13 +239,15 @@ def find_spans(df: DataFrame, key: str = "doc_id", text: str = "text", contextua
     strong = _scored(written(edges.select("pattern", "instance", "kind").distinct(), "graph"))
     more = edges.filter("kind is null").drop("kind").join(strong, "pattern").filter(_fits(F.col("kind")))
     best = more.groupBy("id", "row", "start", "instance").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    found = best.select("id", "row", "kind", "start", (F.col("start") + F.length("instance")).alias("end"), F.lit(False).alias("base"))
-    return spans.union(found)
+    found = best.select("id", "row", "kind", "start", (F.col("start") + F.length("instance")).alias("end"), F.lit(False).alias("base"), F.lit(True).alias("graph"))
+    # a credential that SECRET tells and the graph discovers is one span, the graph's
+    return spans.union(found).groupBy("id", "row", "kind", "start").agg(F.max("end").alias("end"), F.max("base").alias("base"), F.max("graph").alias("graph"))
 
 
 def span_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, counts of the base kinds, base_sha256, spans (kind:start:end by kind as listed, then start; kind
-    secret last) and n_found, the spans that the method added. Equal rows give equal results; see find_spans()."""
+    secret last), n_found, the spans that are not of the base kinds' patterns, and n_graph, those of them that patterns of the graph
+    discovered (the others are credentials that SECRET tells). Equal rows give equal results; see find_spans()."""
     order = F.array_position(F.array(*map(F.lit, [*KINDS, "secret"])), F.col("kind"))
     item = F.struct(order.alias("o"), "start", "end", F.concat_ws(":", "kind", "start", "end").alias("name"))
     listed = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, item))), lambda x: x.getField("name")), ",")
@@ -248,6 +256,7 @@ def span_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         listed(F.col("base")).alias("base_spans"),
         listed(F.lit(True)).alias("spans"),
         F.count(F.when(~F.col("base"), 1)).alias("n_found"),
+        F.count_if("graph").alias("n_graph"),
     )
     rows = df.select(F.col(key).alias("own"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own_row"))
     same = F.col("own").eqNullSafe(F.col("id")) & (F.col("own_row") == F.col("row"))
@@ -255,7 +264,7 @@ def span_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     empty = F.lit("")
     return rows.join(per, same, "left").select(
         F.col("own").alias(key), *zero, F.sha2(F.coalesce("base_spans", empty), 256).alias("base_sha256"), F.coalesce("spans", empty).alias("spans"),
-        F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_found", "n_graph")),
     )
 
 

@@ -105,6 +105,8 @@ def test_pii_secrets(spark):
     for k, (t, hit) in odd.items():
         assert got[k] == ((f"secret:{t.index(hit)}:{t.index(hit) + len(hit)}", 1) if hit else ("", 0)), k
     assert all(got[i][0].startswith("secret:") for i in range(20))
+    # 100's value is found by its learned context, 101's by the rule alone
+    assert {r.doc_id: (r.n_found, r.n_graph) for r in pii.span_digests(df).filter("doc_id >= 100").collect()} == {100: (1, 1), 101: (1, 0), 102: (0, 0), 103: (0, 0)}
 
 
 def test_pii_unseen(spark):
