@@ -393,6 +393,16 @@ def test_exact_hot_rows(spark):
     assert {r.doc_id: r["count"] for r in out if r.doc_id in (None, 7)} == {None: 1000, 7: 1000}
 
 
+def test_exact_neighbours(spark):
+    """The texts decide, not their digests: all rows under one digest, many of them beginning alike, one text hot."""
+    head = "x" * 100
+    rows = [(i, (head + str(i % 700)) if i % 3 else (head + " y")) for i in range(3000)] + [(3000, None), (3001, ""), (3002, head), (3003, head + " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = exact_dedup.exact_dedup(df, digest=lambda body: F.concat(F.lit("one"), F.substring(body, 1, 0))).collect()
+    assert {r.text_sha256 for r in out} == {"one"} and len(out) == len(rows)
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in out} == {k: v[:3] for k, v in brute.exact(rows).items()}
+
+
 def test_near(docs, rows):
     short = [(k, t) for k, t in rows if len(t or "") < 8000 or k > 9_000_023]
     some = docs.join(docs.sparkSession.createDataFrame([(k,) for k, _ in short], "doc_id long"), "doc_id")
