@@ -22,6 +22,8 @@ from rasterloom.llm.hashing import encoded, mix, run_hashes, texts_hashes
 BINS, ROWS = 128, 4
 #: Members of a star, and rows of a shingle, that one group compares.
 STAR, BLOCK = 128, 1024
+#: 64-bit words of a set's parity bits.
+PARITY = 8
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -47,6 +49,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return values[_ORDER[np.arange(BINS), full[_ORDER].argmax(axis=1)]]
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """64 * PARITY bits, each turned over by every shingle that falls on it. Shingles that two sets share cancel out,
+    so two sets differ in at least as many shingles as these bits differ."""
+    bits = np.bincount((mix(shingles) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(raw: list[bytes], n: int, seed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted distinct hashes of the n-word shingles of each text, and where each first occurs; a text of fewer words
     is one shingle, a text without words none."""
@@ -191,8 +200,10 @@ def _residual(hits: DataFrame, texts: DataFrame, joined: DataFrame, shingle: int
     """The pairs (a, b) that may link different components among the documents of buckets that still hold several.
 
     Shingles are ordered by how many of these documents hold them. Sets of n shingles that reach the similarity share
-    one of the first n - ceil(n * percent / 100) + 1 of that order, so documents of a template, whose own words are the
-    rare ones, never meet. Pairs that meet there and can still reach the similarity by sizes and places remain to be confirmed."""
+    one of the first n - ceil(n * percent / 100) + 1 of that order, so documents of a template whose own words are the
+    rare ones never meet. Those that fill its slots from few values do meet, on common shingles; they are told apart where
+    they meet by their parity bits, which bound the difference of two sets from below. Only pairs that can still reach the
+    similarity by sizes, places and parity bits leave the join; they remain to be confirmed."""
     member = hits.join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
     member = member.select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
@@ -200,9 +211,9 @@ def _residual(hits: DataFrame, texts: DataFrame, joined: DataFrame, shingle: int
 
     def step(cols: dict) -> Iterator[dict]:
         sets = [s for s, _ in shingle_sets(encoded(cols["text"], lower=True), shingle)]
-        yield {"id": cols["id"], "component": cols["component"], "n": [len(s) for s in sets], "x": [s.view(np.int64) for s in sets]}
+        yield {"id": cols["id"], "component": cols["component"], "n": [len(s) for s in sets], "x": [s.view(np.int64) for s in sets], "bits": [parity(s) for s in sets]}
 
-    sets = written(arrow_map(rest.join(texts, "id").select("id", "component", "text"), step, "id long, component long, n long, x array<long>"), "sets")
+    sets = written(arrow_map(rest.join(texts, "id").select("id", "component", "text"), step, "id long, component long, n long, x array<long>, bits array<long>"), "sets")
     each = sets.select("id", "component", "n", F.explode("x").alias("x"))
     counts = written(each.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1"), "counts")
     held = each.join(counts, "x").groupBy("id").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
@@ -212,17 +223,21 @@ def _residual(hits: DataFrame, texts: DataFrame, joined: DataFrame, shingle: int
     places = written(held.select("id", "component", "n", "alone", F.posexplode("s.x").alias("place", "x")).withColumn("place", F.col("alone") + F.col("place") + 1), "places")
     groups = places.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("component").alias("low"), F.max("component").alias("high"))
     groups = written(groups.filter("low != high").select("x", "parts"), "groups")
-    rows = places.join(groups, "x").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = places.join(groups, "x").join(sets.select("id", "bits"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
 
+    names = ("id", "component", "n", "place", "bits")
+
     def side(name: str, p: Column, q: Column) -> DataFrame:
-        named = [F.col(c).alias(f"{c}_{name}") for c in ("id", "component", "n", "place")]
-        return rows.select("x", p.alias("p"), *named, "own", "parts").select("x", "p", q.alias("q"), *[f"{c}_{name}" for c in ("id", "component", "n", "place")])
+        named = [F.col(c).alias(f"{c}_{name}") for c in names]
+        return rows.select("x", p.alias("p"), *named, "own", "parts").select("x", "p", q.alias("q"), *[f"{c}_{name}" for c in names])
 
     # a shingle of many rows is a grid of blocks, each a key of its own
     pairs = side("a", F.col("own"), every).join(side("b", every, F.col("own")), ["x", "p", "q"])
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     most = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     fits = (100 * small >= percent * large) & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+    differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(PARITY)), F.lit(0))
+    fits &= differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
     pairs = pairs.filter((F.col("id_a") > F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits)
     return written(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")

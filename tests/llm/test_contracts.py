@@ -404,7 +404,7 @@ def test_exact_neighbours(spark):
 
 
 def test_near(docs, rows):
-    short = [(k, t) for k, t in rows if len(t or "") < 8000 or k > 9_000_023]
+    short = [(k, t) for k, t in rows if len(t or "") < 8000 or k > 9_000_000]
     some = docs.join(docs.sparkSession.createDataFrame([(k,) for k, _ in short], "doc_id long"), "doc_id")
     for n in (2, 5):
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_groups(some, shingle=n).collect()}
@@ -459,6 +459,56 @@ def test_template(spark, monkeypatch):
     assert sum(asked) < 35 * len(data)  # each member has at most one centre in each of the 32 bands
 
 
+def test_slots(spark, monkeypatch):
+    """Slots filled from few values: documents meet on common shingles, but only linked ones leave the join as pairs."""
+    import random
+
+    rng, asked, whole = random.Random(5), [], minhash._residual
+
+    def text(values):
+        return " ".join(f"t{i}" if i % 4 else f"s{i}v{values[i // 4]}" for i in range(100))
+
+    def counted(*args):
+        pairs = whole(*args)
+        asked.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_residual", counted)
+    for n in (300, 600):
+        slots = [[rng.randrange(3) for _ in range(25)] for _ in range(n)]
+        for i in range(0, n, 20):  # some differ from another in a few slots only
+            slots[i] = [v if rng.random() > 0.15 else rng.randrange(3) for v in slots[i + 1]]
+        data = [(i, text(v)) for i, v in enumerate(slots)]
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_groups(spark.createDataFrame(data, "doc_id long, text string"), shingle=2).collect()}
+        assert got == brute.near(data) and 0 < sum(not v[2] for v in got.values()) < n // 10
+    assert max(asked) < 60, asked  # 37,000 and 150,000 pairs meet
+
+
+def test_parity_bounds():
+    """Never more than the shingles in which two sets differ."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 30, 100, 3000):
+        both, own, other = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (n, n // 3, n // 5))
+        a, b = (minhash.parity(np.unique(np.append(both, x))) for x in (own, other))
+        differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in a ^ b)
+        assert differ <= len(own) + len(other) and (differ - len(own) - len(other)) % 2 == 0 and len(a) == minhash.PARITY
+
+
+def test_colliding_words(spark):
+    """Words that polynomial hashes can't tell apart are different words to the operators that compare shingles or windows."""
+    a, b = brute.thue_morse(2048), brute.thue_morse(2048, "b", "a")
+    words = [f"t{i}" for i in range(30)]
+    data = [(i, " ".join(words[: 3 * i] + [(a, b)[i % 2]] * (1 + i // 4) + words[3 * i :])) for i in range(8)]
+    data += [(10 + i, " ".join([w] * 3 + words[:10])) for i, w in enumerate((a, b, a, b))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for n in (2, 5):
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_groups(df, shingle=n).collect()} == brute.near(data, n)
+    out = substring_dedup.remove_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("s")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.s) for r in out} == brute.substring(data)
+
+
 def test_quality(spark, sf_dir):
     from pyspark.sql import functions as F
 
