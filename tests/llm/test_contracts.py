@@ -1,5 +1,6 @@
 """Every operator against a plain Python version, on the smallest tables with odd cases added."""
 
+import random
 import sys
 import zlib
 from pathlib import Path
@@ -41,6 +42,33 @@ def test_substring(docs, rows, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.s) for r in hot.collect()} == got
 
 
+@pytest.mark.parametrize("hot, most", [(20_000, 200_000), (2, 200_000), (20_000, 3), (3, 2)])
+def test_substring_extends(spark, hot, most):
+    """Texts of few words, so that a seed meets many others around it: extended, looked up, dealt to tasks, and without memory."""
+    pick = random.Random(7)
+    word = lambda: pick.choice("ab") if pick.random() < 0.8 else pick.choice(["c" * 70, "c" * 71])
+    pool, texts = [word() for _ in range(300)], []
+    for _ in range(60):  # pieces of one pool with single words changed, so that repeats begin and end at any place
+        parts = [pool[at : at + pick.randrange(8, 40)] for at in (pick.randrange(280) for _ in range(pick.randrange(5)))]
+        texts.append([word() if pick.random() < 0.05 else w for part in parts for w in part])
+    texts += [["a"] * n for n in (12, 13, 40)] + [list("ab") * n for n in (6, 7, 30)] + [texts[3][5:] + texts[4][:40], texts[5] + texts[5]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    pick.shuffle(rows)
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot, most=most)
+    got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.text)) for r in out.collect()}
+    assert got == brute.substring(rows)
+    assert sum(n > 0 for _, n, _ in got.values()) > 10
+
+
+def test_seed_places():
+    import numpy as np
+
+    runs = np.array([5, 3, 3, 9, 1, 1, 1, 7, 8, 2, 2, 6], np.uint64)
+    for width in range(1, 13):
+        assert substring_dedup.seed_places(runs, width).tolist() == [i + int(runs[i : i + width].argmin()) for i in range(13 - width)]
+    assert len(substring_dedup.seed_places(runs, 13)) == 0
+
+
 def test_substring_spans(spark):
     df = spark.createDataFrame([(1, brute.PASSAGE), (2, f"a b {brute.PASSAGE} c"), (2, brute.PASSAGE), (2, f"a b {brute.PASSAGE} c"), (None, brute.PASSAGE)], "doc_id int, text string")
     out = substring_dedup.remove_repeats(df).collect()
