@@ -173,7 +173,8 @@ def default_files() -> tuple[str, str]:
 def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, offsets: bool = True) -> DataFrame:
     """Encode every whole text. Returns key, ids, starts and ends (code points of each id; null without offsets).
 
-    Null and empty texts give empty lists; repeated rows give repeated results; other columns are ignored."""
+    Null and empty texts give empty lists; null keys stay; repeated rows give repeated results; texts may be of any
+    length; other columns are ignored, whatever their names; an empty table gives none."""
     path, pattern = path or default_files()[0], pattern or default_files()[1]
 
     def step(cols: dict) -> Iterator[dict]:
@@ -188,7 +189,10 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", path:
 
 
 def decode_column(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Decode lists of ids. Returns key, bytes, text; null lists count as empty."""
+    """Decode lists of ids. Returns key, bytes, text (bytes that are no UTF-8 are replaced there).
+
+    Null lists count as empty; null keys stay; repeated rows give repeated results; lists may be of any length; other
+    columns are ignored, whatever their names; an empty table gives none."""
     path, pattern = path or default_files()[0], pattern or default_files()[1]
 
     def step(cols: dict) -> Iterator[dict]:

@@ -153,7 +153,9 @@ def read_back(windows: DataFrame) -> DataFrame:
 
     Needs the windows of a conversation together and in order, as format_windows() leaves them. Returns conv_id,
     n_turns, turns_sha256 (role, newline, text, newline for each turn once), loss_chars, loss_sha256, formatted_chars,
-    n_windows."""
+    n_windows. A null text is a window without turns, null places mask nothing, null repeated_turns repeat none; a null
+    conv_id is a conversation; a window given twice counts twice; texts may be of any length; other columns are
+    ignored, whatever their names; an empty table gives none."""
     kind = windows.schema["conv_id"].dataType.simpleString()
     out, arrow = schemas(f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
@@ -176,10 +178,11 @@ def read_back(windows: DataFrame) -> DataFrame:
                         if state is not None:
                             finish()
                         now, state = conv, {"n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "size": 0, "windows": 0}
-                    for role, content in parse(text)[repeated:]:
+                    text = text or ""
+                    for role, content in parse(text)[repeated or 0 :]:
                         state["n"] += 1
                         state["turns"].update(f"{role}\n{content}\n".encode("utf-8", "surrogatepass"))
-                    for a, b in zip(starts, ends):
+                    for a, b in zip(starts or (), ends or ()):
                         target = unescape(text[a:b])
                         state["chars"] += len(target)
                         state["loss"].update(target.encode("utf-8", "surrogatepass"))

@@ -150,8 +150,8 @@ def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", tiles:
     """Store each text as an image, read it back, and describe it.
 
     Returns key, n_bytes, media (the file), payload (samples read back), tile (NPY of a 32 x 32 area-resized copy),
-    dhash. Null and empty texts give one row of zero samples; repeated rows give repeated results; other columns are
-    ignored; an empty table gives an empty one."""
+    dhash. Null and empty texts give one row of zero samples; null keys stay; repeated rows give repeated results; texts
+    may be of any length; other columns are ignored; an empty table gives an empty one."""
 
     def step(cols: dict) -> Iterator[dict]:
         out: dict[str, list] = {k: [] for k in ("key", "n_bytes", "media", "payload", "tile", "dhash")}
@@ -193,7 +193,9 @@ def decode_column(df: DataFrame, key: str = "doc_id", data: str = "data", side:
 
 
 def media_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """media_columns() with digests in place of the binary columns, taken in the task that reads the file back."""
+    """media_columns() with digests in place of the binary columns, taken in the task that reads the file back.
+
+    Nulls, empty and long texts, repeated rows, other columns and empty tables are treated as there."""
 
     def step(cols: dict) -> Iterator[dict]:
         names = ("key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256")

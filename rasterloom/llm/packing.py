@@ -151,8 +151,8 @@ def pack(df: DataFrame, path: str | None = None, size: int = 2048, end_id: int =
     A document of more than `size` tokens fills sequences of its own, its remainder is placed by the rule. At the
     end of a task the sequences that the rule has left partly filled are poured together and the last few tokens go to
     sequences of a power of two, so none needs padding; until then a task holds their ids, at most those of its input.
-    Null and empty texts are the end id alone; repeated rows are packed each;
-    other columns are ignored; an empty table gives no pieces."""
+    Null and empty texts are the end id alone; null keys are packed like others; repeated rows are packed each; texts may
+    be of any length; other columns are ignored; an empty table gives no pieces."""
     import public_tokenizers
     import pyarrow as pa
     from pyspark import TaskContext

@@ -181,7 +181,7 @@ def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 
     labels (key, quality) serve the fit only. Null and empty texts are scored like any other, by features of no
     words; texts may be of any length; repeated rows are scored each, equal ones alike; a null key is held out of the
-    fit; other columns are ignored, whatever their names; an empty table gives none. Without labelled rows, or with one
+    fit; a key with several labels counts once for each in it; other columns are ignored, whatever their names; an empty table gives none. Without labelled rows, or with one
     label only, all scores are the same."""
     named = {"key": key} | {f"keep_{i}": c for i, c in enumerate(keep)}
     rows = df.select(*(F.col(c).alias(n) for n, c in named.items()), F.coalesce(F.col(text), F.lit("")).alias("body"))

@@ -408,6 +408,42 @@ def test_chat(spark, sf_dir):
     assert all(r.n_tokens <= chat.BUDGET for r in many) and any(r.repeated_turns > 1 for r in many)
 
 
+def test_read_back_odd(spark):
+    """Windows with nulls in any column, given twice, with further columns, and none."""
+    one = chat.format_windows(spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo")], "conv_id long, turn int, role string, text string"))
+    fields = ["conv_id", "text", "repeated_turns", "loss_starts", "loss_ends"]
+    (w,) = one.select(*fields).collect()
+    data = [(*w, 1), (*w, 1), (2, w.text, None, None, None, 1), (3, None, None, None, None, 1), (None, *w[1:], 1)]
+    df = spark.createDataFrame(data, "conv_id long, text string, repeated_turns long, loss_starts array<long>, loss_ends array<long>, n_turns int").coalesce(1)
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.n_windows, r.formatted_chars) for r in chat.read_back(df).collect()}
+    n = len(w.text)
+    assert got == {1: (4, 4, 2, 2 * n), 2: (2, 0, 1, n), 3: (0, 0, 1, 0), None: (2, 2, 1, n)}
+    assert chat.read_back(df.limit(0)).count() == 0
+
+
+def test_long_texts(spark):
+    """Texts of megabytes through chat formatting, quality, media and byte-level BPE."""
+    long = "Some <words> of a long text, \\### and 3.14 more!\n" * 45_000
+    chats = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, "user", "short")], "conv_id long, turn int, role string, text string")
+    (r,) = chat.read_back(chat.format_windows(chats)).collect()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (3, len(long), brute.sha(long))
+    df = spark.createDataFrame([(1, long), (None, "x"), (1, long)], "doc_id long, text string")
+    want = brute.quality_features(long)
+    for r in quality.features(df.select(F.col("doc_id").alias("key"), F.col("text").alias("body")), ["key"]).filter("key = 1").collect():
+        assert all(abs(r[f"x_{k}"] - want[k]) < 1e-9 for k in quality.FEATURES)
+    assert sorted((r.n_bytes, r.payload.rstrip(bytes(1)) == long.encode()) for r in media.media_columns(df).select("n_bytes", "payload").collect()) == [(1, False), *[(len(long), True)] * 2]
+
+
+def test_bpe_columns(spark):
+    """The columns operators with nulls, repeated rows, names that clash, and empty tables."""
+    df = spark.createDataFrame([(1, "héllo", 1), (1, "héllo", 1), (None, None, 1), (2, "", None)], "doc_id long, text string, key int").withColumn("bytes", F.lit(1))
+    ids = byte_bpe.encode_column(df)
+    back = byte_bpe.decode_column(ids.withColumns({"text": F.lit(1), "bytes": F.lit(2), "key": F.lit(3)}))
+    assert sorted((r.doc_id or 0, bytes(r.bytes).decode(), r.text) for r in back.collect()) == [(0, "", ""), (1, "héllo", "héllo"), (1, "héllo", "héllo"), (2, "", "")]
+    assert [r.text for r in byte_bpe.decode_column(spark.createDataFrame([(1, None)], "doc_id int, ids array<int>")).collect()] == [""]
+    assert byte_bpe.encode_column(df.limit(0)).count() == 0 == byte_bpe.decode_column(ids.limit(0)).count()
+
+
 def test_exact(docs, rows):
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(docs).collect()}
     assert got == brute.exact(rows)
@@ -594,6 +630,13 @@ def test_tables(spark, case):
     }
     assert {k: v.count() for k, v in made.items()} == dict.fromkeys(made, n)
     assert packing.pack(df).count() >= n
+    plain = df.select("doc_id", "text")
+    same = {
+        "substring": substring_dedup.remove_repeats(plain), "digests": media.media_digests(plain), "exact": exact_dedup.exact_dedup(plain), "near": minhash.near_groups(plain),
+        "counts": token_counts.count_tokens(plain, token_counts.new_cache(spark), path), "quality": quality.score_quality(plain, labels), "bytes": byte_bpe.round_trip_digests(plain),
+    }
+    for k, v in same.items():  # other columns don't matter, whatever their names
+        assert v.columns == made[k].columns and sorted(map(str, v.collect())) == sorted(map(str, made[k].collect())), k
     own = df.filter("doc_id = 5").select("doc_id", "text").first()
     if case == "clash":
         packed = packing.pack(df).collect()
