@@ -345,7 +345,7 @@ def tanh_sum(spark, sf_dir):
 def image_blobs(spark, sf_dir):
     """The blobs of PNG images: each canvas is encoded, and the bytes of the files are decoded to runs again."""
     red = F.struct(F.lit(255).alias("red"), F.lit(0).alias("green"), F.lit(0).alias("blue"))
-    drawn = png.png_files(png.painted(fill.pixels_of_runs(_runs(spark, sf_dir)), red), SIZE, SIZE)
+    drawn = png.png_files(png.painted(_runs(spark, sf_dir), red), SIZE, SIZE)
     made = images.runs_of_png(drawn, "exact_red")
     return components.blob_table(made, components.label_runs(made))
 

@@ -126,6 +126,40 @@ def test_png_and_reader(spark, tmp_path):
     assert {(r.r, r.c, r.red, r.green, r.blue) for r in back.collect()} == {(0, 0, 255, 0, 7), (2, 3, 255, 0, 7), (299, 1, 255, 0, 7)}
 
 
+def test_png_from_runs(spark):
+    """Runs give the files that their pixels give, over several bands, one of them empty; what lies off the canvas is told or left out."""
+    red = F.struct(F.lit(255).alias("red"), F.lit(0).alias("green"), F.lit(7).alias("blue"))
+    drawn = [(i, 30 * r + s, r, s, s + n) for i in range(3) for r in (*range(0, 256, 7), 600, 699) for s, n in ((0, i), (9, 0), (20, 9))]
+    made = spark.createDataFrame(drawn, images.RUN)
+    files = {x.image_id: bytes(x.png) for x in png.png_files(png.painted(made, red), 700, 30).collect()}
+    assert files == {x.image_id: bytes(x.png) for x in png.png_files(png.painted(fill.pixels_of_runs(made), red), 700, 30).collect()}
+    back = images.runs_of_png(spark.createDataFrame(list(files.items()), "image_id long, png binary"), "not_white")
+    assert sorted(map(tuple, back.collect())) == sorted(drawn)
+    bands = png.png_bands(png.painted(made, red), 700, 30)
+    assert sorted((x.image_id, x.band) for x in bands.collect()) == [(i, b) for i in range(3) for b in range(3)]
+    below = png.painted(spark.createDataFrame([(0, 0, 700 + 256, 3, 4)], images.RUN), red)
+    assert [x.band for x in png.png_bands(below, 700, 30).orderBy("band").collect()] == [0, 1, 2]
+    with pytest.raises(Exception, match="leave the canvas"):
+        png.png_bands(png.painted(spark.createDataFrame([(0, 0, 5, 28, 30)], images.RUN), red), 700, 30).collect()
+
+
+@pytest.mark.parametrize("query", ["image_blobs"])
+def test_canvases_are_drawn_from_runs(spark, sf_dir, query, monkeypatch):
+    """No row for each pixel is sorted and grouped, and the bands are dealt to all shuffle partitions even if their cells are few bytes."""
+    from rasterloom.plans import catalog
+
+    seen, drawn = [], png.png_bands
+
+    def watched(cells, *rest):
+        bands = drawn(cells, *rest)
+        seen.append((cells.count(), bands.rdd.getNumPartitions()))
+        return bands
+
+    monkeypatch.setattr(png, "png_bands", watched)
+    catalog.QUERIES[query](spark, sf_dir)
+    assert seen == [(catalog.scene_runs(spark, sf_dir).count(), int(spark.conf.get("spark.sql.shuffle.partitions")))]
+
+
 def test_image_file_of_16_million_pixels(spark, tmp_path):
     """A 4000 x 4000 file becomes runs by bands, from Spark's image source and from the bytes, within 3 GB."""
     import resource
