@@ -354,7 +354,7 @@ def image_file_blobs(spark, sf_dir):
     """The blobs of PNG files on disk: canvases are written by the data source, band after band, and read back through it."""
     red = F.struct(F.lit(255).alias("red"), F.lit(0).alias("green"), F.lit(0).alias("blue"))
     folder = components.new_folder(spark)
-    png_source.write_png_files(png.named_bands(png.painted(fill.pixels_of_runs(_runs(spark, sf_dir)), red), SIZE, SIZE), folder)
+    png_source.write_png_files(png.named_bands(png.painted(_runs(spark, sf_dir), red), SIZE, SIZE), folder)
     read = png_source.read_png_files(spark, folder, "exact_red").filter("error is null")
     image = F.regexp_extract("path", r"image_(\d+)\.png\z", 1).cast("long")
     made = read.select(image.alias("image_id"), "run_id", "r", "s", "e")

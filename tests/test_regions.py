@@ -143,7 +143,7 @@ def test_png_from_runs(spark):
         png.png_bands(png.painted(spark.createDataFrame([(0, 0, 5, 28, 30)], images.RUN), red), 700, 30).collect()
 
 
-@pytest.mark.parametrize("query", ["image_blobs"])
+@pytest.mark.parametrize("query", ["image_blobs", "image_file_blobs"])
 def test_canvases_are_drawn_from_runs(spark, sf_dir, query, monkeypatch):
     """No row for each pixel is sorted and grouped, and the bands are dealt to all shuffle partitions even if their cells are few bytes."""
     from rasterloom.plans import catalog
