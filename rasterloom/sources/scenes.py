@@ -26,19 +26,29 @@ def clip(rects: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def pixels_of_rects(rects: DataFrame) -> DataFrame:
-    rows = rects.withColumn("r", F.explode(F.sequence(F.col("r0"), F.col("r0") + F.col("h") - 1)))
-    return rows.select("image_id", "r", F.explode(F.sequence(F.col("c0"), F.col("c0") + F.col("w") - 1)).alias("c")).distinct()
+    """The pixels of the union of rectangles, each once: rows are merged as intervals, so pixels are spelt out as the last step and no
+    task ever holds them. The rows are dealt to as many partitions as shuffles have, since they are few bytes for their pixels."""
+    n = int(rects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _merged(_rows_of_rects(rects).repartition(n, "image_id", "r")).select("image_id", "r", F.explode(F.sequence("s", "e")).alias("c"))
 
 
 def runs_of_rects(rects: DataFrame, width: int) -> DataFrame:
     """Maximal runs (image_id, run_id, r, s, e) of the union of rectangles, merged as intervals row by row."""
-    rows = rects.select("image_id", F.explode(F.sequence(F.col("r0"), F.col("r0") + F.col("h") - 1)).alias("r"), F.col("c0").alias("s"), (F.col("c0") + F.col("w") - 1).alias("e"))
+    return _merged(_rows_of_rects(rects)).select("image_id", (F.col("r") * width + F.col("s")).alias("run_id"), "r", "s", "e")
+
+
+def _rows_of_rects(rects: DataFrame) -> DataFrame:
+    """(image_id, r, s, e) of each row of each rectangle."""
+    return rects.select("image_id", F.explode(F.sequence(F.col("r0"), F.col("r0") + F.col("h") - 1)).alias("r"), F.col("c0").alias("s"), (F.col("c0") + F.col("w") - 1).alias("e"))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """The intervals (image_id, r, s, e) of each row, those that overlap or adjoin as one."""
     row = Window.partitionBy("image_id", "r").orderBy("s", "e")
     reach = F.max("e").over(row.rowsBetween(Window.unboundedPreceding, -1))
     fresh = rows.withColumn("fresh", F.when(F.col("s") <= reach + 1, 0).otherwise(1))
     part = fresh.withColumn("part", F.sum("fresh").over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = part.groupBy("image_id", "r", "part").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return merged.select("image_id", (F.col("r") * width + F.col("s")).alias("run_id"), "r", "s", "e")
+    return part.groupBy("image_id", "r", "part").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("image_id", "r", "s", "e")
 
 
 def centred_square(spark: SparkSession, height: int, width: int, side: int, image_id: int = 0) -> DataFrame:

@@ -44,6 +44,18 @@ def test_rectangles(spark, n, low, high, red, rows, blobs, total, ring):
     assert tuple(got.get(k, 0) for k in (100, 400, 800, None)) == want
 
 
+def test_pixels_of_rects_are_spelt_out_last(spark):
+    """Each pixel of overlapping, adjoining and repeated rectangles once; after pixels are made nothing sorts, groups or deals them."""
+    rects = [(i, 3 * k % 17, 5 * k % 23, 1 + k % 6, 1 + k * i % 9) for i in range(3) for k in range(25)] + [(0, 0, 40, 2, 3), (0, 0, 43, 2, 3), (0, 0, 40, 2, 3), (7, 5, 5, 1, 1)]
+    made = scenes.pixels_of_rects(spark.createDataFrame(rects, scenes.RECT).repartition(3))
+    want = {(i, r, c) for i, r0, c0, h, w in rects for r in range(r0, r0 + h) for c in range(c0, c0 + w)}
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+    plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(x for x in plan if "Project" not in x).lstrip(" +-").startswith("Generate explode(sequence(")
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert scenes.pixels_of_rects(spark.createDataFrame([], scenes.RECT)).isEmpty()
+
+
 def test_square_levels(spark):
     square = scenes.pixels_of_rects(scenes.centred_square(spark, 80, 80, 40)).cache()
     seed = spark.createDataFrame([(0, 40, 40)], scenes.PIXEL)
